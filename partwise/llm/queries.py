@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partwise.llm import bpe, jaccard, media, mixing, quality, secrets, sharding, toxicity, urls
+from partwise.llm import bpe, jaccard, media, mixing, quality, secrets, sharding, suffixes, toxicity, urls
 from partwise.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_quality_rules, op4_sharding, op5_mixing, op6_bpe, op7_toxicity, op8_url_filters, op9_media_columns, op10_jaccard_join)
+    for f in (op1_secret_scans, op2_quality_rules, op3_suffix_dedup, op4_sharding, op5_mixing, op6_bpe, op7_toxicity, op8_url_filters, op9_media_columns, op10_jaccard_join)
 }
 
 #: None of the ten can be told whole in SQL: models, checksums or tokenizers
