@@ -1,0 +1,264 @@
+"""Queries over the driver's tables, each with the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from partwise.functions import scalars
+from partwise.functions.binary import big, raw
+from partwise.functions.detect import detect_file_type, dimensions
+from partwise.operators import review
+from partwise.operators.clean import clean
+from partwise.operators.entries import entries
+from partwise.operators.walk import walk
+from partwise.plans.process import process
+from partwise.sources.fixtures import MAGIC, TYPES, containers, magic_files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _query(name: str, sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name], ORACLE_SQL[name] = f, sql
+        return f
+
+    return add
+
+
+_KINDS = " ".join(f"WHEN {i} THEN '{t}'" for i, (t, _) in enumerate(MAGIC))
+
+
+@_query("q_detect", f"SELECT doc_id, CASE doc_id % {len(MAGIC) + 1} {_KINDS} ELSE 'unknown' END AS file_type FROM documents")
+def detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return magic_files(_table(spark, sf_dir, "documents")).select("doc_id", detect_file_type(F.col("content")).alias("file_type"))
+
+
+#: SQL for the entries of the containers: (type, part number, category, name, value).
+_S = "md5(coalesce(text, ''))"
+_ENTRY_ROWS = [
+    ("jpeg", 1, "'APP0'", "'JFIF Segment'", "'14 bytes'"), ("jpeg", 2, "'XMP'", "'XMP Data'", "'61 bytes'"), ("jpeg", 3, "'Comment'", "'Comment'", _S),
+    ("png", 2, "'Text'", "'Comment'", f"left(repeat({_S}, 4), 100) || '...'"), ("png", 3, "'Physical'", "'Pixel Dimensions'", "'2835x2835 per meter'"),
+    ("png", 4, "'Time'", "'Last Modified'", "'2024-01-02 03:04:05'"), ("png", 7, "'Trailing'", "'Trailing Data'", "'4 bytes'"),
+    ("webp", 3, "'EXIF'", "'EXIF Data'", "'3 bytes'"), ("webp", 4, "'XMP'", "'XMP Data'", "'32 bytes'"), ("webp", 5, "'Other'", "'abcd'", "'4 bytes'"),
+    ("wav", 3, "'Audio metadata'", "'Title'", _S), ("wav", 4, "'Audio metadata'", "'Encoder'", "'enc'"), ("wav", 5, "'Other'", "'junk'", "'1 bytes'"),
+    ("gif", 1, "'Comment'", "'Comment'", _S), ("gif", 3, "'XMP'", "'XMP Data'", "'32 bytes'"),
+    ("flac", 2, "'Audio metadata'", "'Vorbis comments'", "'66 bytes'"), ("flac", 3, "'Audio metadata'", "'Encoder (vendor)'", "'enc'"),
+    ("flac", 4, "'Audio metadata'", "'COMMENT'", _S),
+]
+
+
+def _entries_sql(only: str | None = None) -> str:
+    rows = [r for r in _ENTRY_ROWS if only in (None, r[0])]
+    return " UNION ALL ".join(
+        f"SELECT doc_id, '{t}' AS file_type, {o} AS ord, {c} AS category, {n} AS name, {v} AS value FROM documents WHERE doc_id % {len(TYPES)} = {TYPES.index(t)}"
+        for t, o, c, n, v in rows
+    )
+
+
+#: SQL for the bytes that stay, for each type whose bytes carry no checksum of variable data.
+_KEEPS = {
+    "jpeg": f"from_hex('FFD8FFEE000741646F6265FFDB0022') || {_S}::BLOB || from_hex('FFDA000400001122FF0033FFD9')",
+    "webp": f"from_hex('524946463E00000057454250' || '56503858' || '0A000000' || '20000000000000000000' || '56503820' || '20000000') || {_S}::BLOB",
+    "wav": f"from_hex('524946464400000057415645666D7420100000000100010044AC000088580100020010006461746120000000') || {_S}::BLOB",
+    "gif": f"from_hex('4749463839610200030000000021FF0B4E45545343415045322E3003010000002C0000000002000300000220') || {_S}::BLOB || from_hex('003B')",
+    "flac": f"from_hex('664C614300000022' || '10' || repeat('00', 33) || '03000020') || {_S}::BLOB || from_hex('8100000400000000FFF8') || {_S}::BLOB",
+}
+
+
+def _containers(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    files = containers(_table(spark, sf_dir, "documents"))
+    return walk(files if only is None else files.where(F.col("file_type") == only), "doc_id")
+
+
+@_query("q_extract", _entries_sql())
+def extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries(_containers(spark, sf_dir), "doc_id")
+
+
+def _add_by_type() -> None:
+    for t in TYPES:
+        _query(f"q_{t}_extract", _entries_sql(t))(lambda spark, sf_dir, t=t: entries(_containers(spark, sf_dir, t), "doc_id"))
+        if t in _KEEPS:
+            sql = f"SELECT doc_id, md5({_KEEPS[t]}) AS cleaned_md5 FROM documents WHERE doc_id % {len(TYPES)} = {TYPES.index(t)}"
+            _query(f"q_{t}_clean", sql)(lambda spark, sf_dir, t=t: clean(_containers(spark, sf_dir, t)).select("doc_id", F.md5("cleaned").alias("cleaned_md5")))
+
+
+_add_by_type()
+#: Bytes that go, for each type.
+_GONE = {"jpeg": 18 + 65 + 36 + 4, "png": 148 + 21 + 19 + 4, "webp": 12 + 40 + 12, "wav": 8 + 4 + 8 + 33 + 1 + 8 + 3 + 1 + 10, "gif": 36 + 2 + 12 + 33 + 1, "flac": 70}
+_TYPE_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TYPES)) + " END"
+_GONE_SQL = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {_GONE[t]}" for i, t in enumerate(TYPES)) + " END"
+
+
+@_query("q_process", f"SELECT doc_id, {_TYPE_SQL} AS file_type, CAST({_GONE_SQL} AS BIGINT) AS removed_bytes, CAST(0 AS BIGINT) AS remaining, 'done' AS status FROM documents")
+def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = process(containers(_table(spark, sf_dir, "documents")).select("doc_id", "content"), "doc_id")
+    return out.select("doc_id", "file_type", "removed_bytes", "remaining", "status")
+
+
+@_query("q_bytes_by_type", f"SELECT {_TYPE_SQL} AS file_type, count(*) AS files, CAST(sum({_GONE_SQL}) AS BIGINT) AS removed_bytes FROM documents GROUP BY 1")
+def bytes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(_containers(spark, sf_dir)).groupBy("file_type").agg(F.count("*").alias("files"), F.sum("removed_bytes").alias("removed_bytes"))
+
+
+@_query(
+    "q_validate",
+    f"SELECT doc_id, {_TYPE_SQL} AS file_type, CASE WHEN doc_id % 5 <> 0 THEN NULL ELSE CASE doc_id % 6 WHEN 0 THEN 'JPEG missing EOI marker' WHEN 1 THEN 'PNG missing IEND chunk' "
+    "WHEN 2 THEN 'Truncated WebP RIFF data' WHEN 3 THEN 'Truncated WAV RIFF data' WHEN 4 THEN 'GIF missing trailer' END END AS error, "
+    "CASE WHEN doc_id % 5 <> 0 THEN NULL ELSE CASE doc_id % 6 WHEN 0 THEN 'JPEG missing EOI marker' WHEN 1 THEN 'PNG missing IEND chunk' "
+    "WHEN 2 THEN 'This file appears to be corrupt or is not a valid WebP.' WHEN 3 THEN 'This file appears to be corrupt or is not a valid WAV.' WHEN 4 THEN 'GIF missing trailer' END END AS message FROM documents",
+)
+def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth file loses its end; for JPEG and PNG that is more than what trails."""
+    files = containers(_table(spark, sf_dir, "documents"))
+    less = F.when(F.col("file_type").isin("jpeg", "png"), 6).otherwise(1)
+    cut = F.when(F.col("doc_id") % 5 == 0, F.substr("content", F.lit(1), (F.octet_length("content") - less).cast("int"))).otherwise(F.col("content"))
+    walked = walk(files.withColumn("content", cut), "doc_id")
+    return walked.select("doc_id", "file_type", "error", scalars.friendly_error(F.col("file_type"), F.col("error")).alias("message"))
+
+
+@_query("q_dimensions", "SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN doc_id % 900 + 1 ELSE 2 END AS width, CAST(CASE doc_id % 6 WHEN 1 THEN 7 ELSE 3 END AS BIGINT) AS height FROM documents WHERE doc_id % 6 IN (1, 4)")
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.when(F.col("doc_id") % 6 == 1, F.concat(raw("89504E470D0A1A0A 0000000D 49484452"), big(F.col("doc_id") % 900 + 1, 4), big(7, 4)))
+    content = content.when(F.col("doc_id") % 6 == 4, raw("474946383961 0200 0300")).otherwise(raw("FFD8FF"))
+    files = _table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    d = files.select("doc_id", dimensions(F.col("content")).alias("d")).where("d is not null")
+    return d.select("doc_id", "d.width", "d.height")
+
+
+@_query("q_truncate", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS shown FROM documents")
+def truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", scalars.truncate(F.col("text"), 100).alias("shown"))
+
+
+_SIZE = "CASE " + " ".join(
+    f"WHEN n >= {at} THEN CAST(CAST(floor(floor(n / {at}.0 * 10 + 0.5) / 10) AS BIGINT) AS VARCHAR) || '.' || CAST(CAST(floor(n / {at}.0 * 10 + 0.5) AS BIGINT) % 10 AS VARCHAR) || ' {u}'"
+    for u, at in (("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10), ("B", 1))
+) + " ELSE '0 B' END"
+
+
+@_query("q_format_size", f"SELECT doc_id, {_SIZE} AS shown FROM (SELECT doc_id, CAST(n_chars * n_chars * (doc_id % 7) AS BIGINT) AS n FROM documents)")
+def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("n_chars") * F.col("n_chars") * (F.col("doc_id") % 7)).cast("long")
+    return _table(spark, sf_dir, "documents").select("doc_id", scalars.format_size(n).alias("shown"))
+
+
+_NAME = "(CASE page_id % 7 WHEN 0 THEN url || '.TXT' WHEN 1 THEN 'con.txt' WHEN 2 THEN '..' WHEN 3 THEN '../a\\' || page_id || '.JPG' WHEN 4 THEN 'COM1' WHEN 5 THEN '' ELSE '.hidden.' END)"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.expr(_NAME.replace("\\", "\\\\")).alias("name"))
+
+
+_SAFE = "(CASE page_id % 7 WHEN 0 THEN regexp_replace(regexp_extract(url || '.TXT', '([^/]+)$', 1), '^\\.+', '') WHEN 1 THEN 'con_file.txt' WHEN 2 THEN 'file' WHEN 3 THEN page_id || '.JPG' WHEN 4 THEN 'COM1_file' WHEN 5 THEN 'file' ELSE 'hidden' END)"
+
+
+@_query(
+    "q_names",
+    f"SELECT page_id, safe, CASE WHEN strpos(safe, '.') > 0 THEN regexp_replace(safe, '\\.([^.]*)$', '_clean.\\1') ELSE safe || '_clean' END AS clean, "
+    f"lower(CASE WHEN strpos(safe, '.') > 0 THEN regexp_extract(safe, '\\.([^.]*)$', 1) ELSE '' END) AS extension FROM (SELECT page_id, {_SAFE} AS safe FROM pages)",
+)
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("name")
+    return _names(spark, sf_dir).select("page_id", scalars.sanitize_name(n).alias("safe"), scalars.clean_name(n).alias("clean"), scalars.extension(scalars.sanitize_name(n)).alias("extension"))
+
+
+def _mime_sql() -> str:
+    return "SELECT doc_id, CASE doc_id % 15 " + " ".join(f"WHEN {i} THEN '{scalars.MIME.get(t, 'application/octet-stream')}'" for i, (t, _) in enumerate(MAGIC)) + " ELSE 'application/octet-stream' END AS mime, CASE doc_id % 15 " + " ".join(f"WHEN {i} THEN '{scalars.LABELS[t]}'" for i, (t, _) in enumerate(MAGIC)) + " ELSE 'file' END AS label FROM documents"
+
+
+@_query("q_mime", _mime_sql())
+def mimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = detect_file_type(F.col("content"))
+    return magic_files(_table(spark, sf_dir, "documents")).select("doc_id", scalars.mime_type(t).alias("mime"), scalars.type_label(t).alias("label"))
+
+
+#: Entries made from conversations: (category, name) by turn.
+_MADE = [("EXIF", "EXIF Data"), ("Comment", "Comment"), ("Location", "GPS"), ("Other", "junk"), ("Trailing", "Trailing Data"), ("Time", "Last Modified"), ("XMP", "XMP Data"), ("APP0", "JFIF Segment")]
+_PICK = "CASE (conv_id + turn) % 8 "
+_CATEGORY = _PICK + " ".join(f"WHEN {i} THEN '{c}'" for i, (c, _) in enumerate(_MADE)) + " END"
+_ENTRY = _PICK + " ".join(f"WHEN {i} THEN '{n}'" for i, (_, n) in enumerate(_MADE)) + " END"
+_MADE_SQL = f"(SELECT conv_id, turn AS ord, {_CATEGORY} AS category, {_ENTRY} AS name, role AS value FROM conversations)"
+
+
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("ord"), F.expr(_CATEGORY).alias("category"), F.expr(_ENTRY).alias("name"), F.col("role").alias("value"))
+
+
+_LABELLED = (
+    f"(SELECT *, CASE category WHEN 'Location' THEN 1 WHEN 'Time' THEN 5 WHEN 'Comment' THEN 7 WHEN 'EXIF' THEN 20 WHEN 'XMP' THEN 21 WHEN 'APP0' THEN 22 WHEN 'Trailing' THEN 23 ELSE 50 END AS priority, "
+    f"CASE category WHEN 'Location' THEN 'GPS location: ' || value WHEN 'Time' THEN 'timestamp: ' || value WHEN 'Comment' THEN 'comments/review data' WHEN 'EXIF' THEN 'EXIF data' "
+    f"WHEN 'XMP' THEN 'XMP data' WHEN 'APP0' THEN 'JPEG app metadata' WHEN 'Trailing' THEN 'trailing data' ELSE 'junk' END AS label FROM {_MADE_SQL})"
+)
+
+
+@_query("q_entry_label", f"SELECT conv_id, ord, priority, label FROM {_LABELLED}")
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = review.entry_label(F.col("category"), F.col("name"), F.col("value"))
+    return _made(spark, sf_dir).withColumn("x", x).select("conv_id", "ord", "x.priority", "x.label")
+
+
+@_query(
+    "q_summary",
+    "SELECT conv_id, string_agg(label, ' / ' ORDER BY place) FILTER (place <= 3) || CASE WHEN count(*) > 3 THEN ' / ' || (count(*) - 3) || ' more' ELSE '' END AS summary FROM "
+    "(SELECT conv_id, label, row_number() OVER (PARTITION BY conv_id ORDER BY priority, ord, label) AS place FROM "
+    f"(SELECT conv_id, label, min(priority) AS priority, min(ord) AS ord FROM {_LABELLED} GROUP BY conv_id, label)) GROUP BY conv_id",
+)
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.summaries(_made(spark, sf_dir), "conv_id")
+
+
+@_query(
+    "q_entries_by_category",
+    "SELECT conv_id, category, first_ord, n, row_number() OVER (PARTITION BY conv_id ORDER BY first_ord, category) AS place FROM "
+    f"(SELECT conv_id, category, min(ord) AS first_ord, count(*) AS n FROM {_MADE_SQL} GROUP BY conv_id, category)",
+)
+def by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.grouped(_made(spark, sf_dir), "conv_id")
+
+
+@_query("q_removed_entries", f"SELECT a.* FROM {_MADE_SQL} a WHERE NOT EXISTS (SELECT 1 FROM {_MADE_SQL} b WHERE b.ord % 2 = 0 AND a.conv_id = b.conv_id AND a.category = b.category AND a.name = b.name AND a.value = b.value)")
+def removed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _made(spark, sf_dir)
+    return review.removed(made, made.where("ord % 2 = 0"), "conv_id")
+
+
+_STATUS = f"(SELECT conv_id, CASE WHEN conv_id % 10 = 0 THEN 'error' WHEN count(*) FILTER (ord % 2 = 0 AND category <> 'EXIF') = 0 THEN 'done' ELSE 'warning' END AS status FROM {_MADE_SQL} GROUP BY conv_id)"
+
+
+def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.count_if((F.col("ord") % 2 == 0) & (F.col("category") != "EXIF"))
+    per = _made(spark, sf_dir).groupBy("conv_id").agg(n.alias("n"))
+    return per.select("conv_id", review.status(F.when(F.col("conv_id") % 10 == 0, F.lit("damaged")), F.col("n")).alias("status"))
+
+
+@_query("q_status", f"SELECT conv_id, status FROM {_STATUS}")
+def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _statuses(spark, sf_dir)
+
+
+@_query("q_batch_summary", f"SELECT count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'warning') AS warning, count(*) FILTER (status = 'error') AS error FROM {_STATUS}")
+def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("status")
+    return _statuses(spark, sf_dir).agg(F.count_if(s == "done").alias("done"), F.count_if(s == "warning").alias("warning"), F.count_if(s == "error").alias("error"))
+
+
+@_query(
+    "q_budget",
+    "WITH RECURSIVE t AS (SELECT conv_id, turn, strlen(text) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn, strlen(text)) AS r FROM conversations), "
+    "f AS (SELECT conv_id, turn, r, CASE WHEN s <= 600 THEN s ELSE 0 END AS total, s = 0 OR s <= 600 AS accepted FROM t WHERE r = 1 UNION ALL "
+    "SELECT t.conv_id, t.turn, t.r, CASE WHEN f.total + t.s <= 600 THEN f.total + t.s ELSE f.total END, t.s = 0 OR f.total + t.s <= 600 FROM f JOIN t ON t.conv_id = f.conv_id AND t.r = f.r + 1) "
+    "SELECT conv_id, turn, accepted FROM f",
+)
+def budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("size"))
+    return review.within_budget(rows, "turn", "size", 600, "conv_id")

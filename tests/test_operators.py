@@ -1,0 +1,75 @@
+"""Edge cases of the operators on hand-made bytes."""
+
+import zlib
+
+from pyspark.sql import functions as F
+
+from partwise.functions import scalars
+from partwise.functions.detect import detect_file_type
+from partwise.operators.clean import clean
+from partwise.operators.entries import entries
+from partwise.operators.walk import walk
+from partwise.sources.files import read_files, stream_files, zip_members
+from partwise.streaming.process import clean_stream
+
+
+def one(spark, file_type, content):
+    return walk(spark.createDataFrame([("f", file_type, content)], "path string, file_type string, content binary"))
+
+
+def test_damage_is_a_row_not_a_failure(spark):
+    rows = spark.createDataFrame(
+        [("a", "jpeg", b"\xff\xd8\xff"), ("b", "png", b"no"), ("c", "wav", None), ("d", "pdf", b"%PDF"), ("e", "gif", b""), ("f", "flac", b"fLaC\x00\x00\x00\x02ab")],
+        "path string, file_type string, content binary",
+    )
+    got = {r["path"]: r["error"] for r in clean(walk(rows)).where("cleaned is null").collect()}
+    assert got == {
+        "a": "File too small", "b": "Not a valid PNG file", "c": "Not a valid RIFF file", "d": "Unsupported file type", "e": "Not a valid GIF file",
+        "f": "FLAC missing STREAMINFO block",
+    }
+
+
+def test_jpeg_scan_with_stuffing_and_fill(spark):
+    body = b"\xff\xd8\xff\xff\xe2\x00\x0eICC_PROFILE\x00\xff\xe2\x00\x04ab\xff\xda\x00\x02\x01\xff\x00\xff\xd0\x02\xff\xd9junk"
+    r = clean(one(spark, "jpeg", body)).first()
+    assert bytes(r["cleaned"]) == b"\xff\xd8\xff\xe2\x00\x0eICC_PROFILE\x00\xff\xda\x00\x02\x01\xff\x00\xff\xd0\x02\xff\xd9"
+    got = [(e["category"], e["value"]) for e in entries(one(spark, "jpeg", body)).orderBy("ord").collect()]
+    assert got == [("APP2", "2 bytes")]
+
+
+def test_png_checksum(spark):
+    chunk = lambda k, d: len(d).to_bytes(4) + k + d + zlib.crc32(k + d).to_bytes(4)
+    good = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", bytes(13)) + chunk(b"IDAT", b"x") + chunk(b"IEND", b"")
+    assert one(spark, "png", good).first()["error"] is None
+    assert one(spark, "png", good[:-20] + b"\0" + good[-19:]).first()["error"].startswith("PNG CRC mismatch")
+
+
+def test_detection_order(spark):
+    rows = [(b"\xff\xfe<", "mp3"), (b"ID3\x04\x00\x00\x00\x00\x00\x00fLaC", "flac"), (b"ID3\x03\x00\x00\x00\x00\x7f\x7f", "unknown"), (b"", "unknown"), (None, "unknown"), (b"%PDF", "pdf"), (b"\0\0\0\x14ftypmif1\0\0\0\0heic", "heic")]
+    df = spark.createDataFrame(rows, "content binary, want string").withColumn("got", detect_file_type(F.col("content")))
+    assert [r["got"] for r in df.collect()] == [w for _, w in rows]
+
+
+def test_names_and_sizes(spark):
+    df = spark.createDataFrame([("../secret.jpg", 0), ("CON", 1023), ("NUL.txt", 1024), ("..", 1 << 20), (None, 1 << 31), ("a.b.C", 1536)], "n string, s long")
+    got = df.select(scalars.clean_name(F.col("n")), scalars.format_size(F.col("s"))).collect()
+    assert [tuple(r) for r in got] == [
+        ("secret_clean.jpg", "0 B"), ("CON_file_clean", "1023.0 B"), ("NUL_file_clean.txt", "1.0 KB"), ("file_clean", "1.0 MB"), ("file_clean", "2.0 GB"), ("a.b_clean.C", "1.5 KB"),
+    ]
+
+
+def test_files_and_stream(spark, tmp_path):
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    (source / "a.jpg").write_bytes(b"\xff\xd8\xff\xfe\x00\x04hi\xff\xd9")
+    (source / "b.bin").write_bytes(b"\0" * 50)
+    rows = {r["name"]: r for r in read_files(spark, str(source), most=40).collect()}
+    assert rows["b.bin"]["content"] is None and rows["b.bin"]["error"] and rows["a.jpg"]["error"] is None
+    clean_stream(stream_files(spark, str(source)), str(out), str(tmp_path / "ck")).awaitTermination()
+    got = {r["path"].rsplit("/", 1)[1]: r for r in spark.read.parquet(str(out)).collect()}
+    assert bytes(got["a.jpg"]["cleaned"]) == b"\xff\xd8\xff\xd9" and got["b.bin"]["error"] == "Unsupported file type"
+
+
+def test_zip_headers(spark):
+    r = zip_members(spark.createDataFrame([("é.txt", b"abc")], "name string, cleaned binary")).first()
+    assert bytes(r["header"])[:4] == b"PK\x03\x04" and bytes(r["header"]).endswith("é.txt".encode()) and r["crc"] == zlib.crc32(b"abc")
