@@ -68,7 +68,7 @@ def labelled_samples(spark: SparkSession, each: int = 4000) -> DataFrame:
     Random strings are cuts of base-64, upper-case base-64 and hexadecimal
     digests of a running number. Identifiers join two to four common words of
     program and prose text in camel, snake, kebab, path and plain style, some
-    with a number at the end.
+    with a number at the end; runs of one character count with them.
     """
     words = "get set add new old max min sum all any key map row col file path name user data list item node tree text line word page size time date code test main init load save read write open close start stop begin error value index table query count order group price total number string buffer stream socket server client request response handler manager factory builder parser reader writer message account address customer product service session context config option default result status update delete insert select internal external information international development representation implementation the and with that from this have which their there would about other into more some than then these only over also after first where most through between under again".split()
     ids = spark.range(each)
@@ -88,7 +88,8 @@ def labelled_samples(spark: SparkSession, each: int = 4000) -> DataFrame:
         .when(style == 4, F.concat(F.upper(F.array_join(parts, "_")), F.pmod(F.col("id"), F.lit(100)).cast("string")))
         .otherwise(F.array_join(parts, ""))
     )
-    return randoms.union(ids.select(F.lit(0).alias("label"), name.alias("value")))
+    runs = spark.range(4 * len(ALPHABET)).select(F.lit(0), F.repeat(F.substr(F.lit(ALPHABET), (F.col("id") % len(ALPHABET) + 1).cast("int"), F.lit(1)), F.lit(24)))
+    return randoms.union(ids.select(F.lit(0).alias("label"), name.alias("value"))).union(runs)
 
 
 def train(samples: DataFrame) -> Model:
