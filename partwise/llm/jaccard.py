@@ -11,10 +11,12 @@
    least hash that has it becomes a pivot. A node stands in the Voronoi cell of
    each pivot it meets: boundary nodes are replicated. Distances to the pivot
    are exact; nodes within r of it are linked through it.
-4. Cells whose nodes are not all linked go on with further pivots from inside,
-   eight times as many each round, until every node of the cell has been a
-   pivot or all are linked. The triangle inequality leaves out pairs whose
-   distances to the cell's pivot differ by more than r.
+4. Cells whose nodes are not all linked are joined recursively. Near members
+   go on by their differences to the centre of the cell (see _among_near). Pairs
+   with a far member meet through further pivots from inside the cell, eight
+   times as many each round, until every node has been a pivot or all are
+   linked. The triangle inequality leaves out pairs whose distances to the
+   centre differ by more than a link allows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from partwise.llm.common import map_batches, materialize, texts
+from partwise.llm.common import discard, map_batches, materialize, texts
 from partwise.llm.components import components
 
 #: Packed hash ranges hold about so many window hashes.
@@ -38,6 +40,8 @@ RANGE = 1 << 19
 #: Up to so many surviving nodes are broadcast (8 bytes each); beyond it the join shuffles.
 MOST_BROADCAST = 2_000_000
 MORE_PIVOTS = 8
+#: Members up to this distance from a cell's pivot go on by their differences to the cell's centre.
+NEAR = 0.6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -251,8 +255,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, t: Threshold) -> DataFrame:
     return materialize(rows.dropDuplicates(["node"]), "none")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b, distance, linked) for pairs of nodes (a, b), from their whole sets."""
+def _distances(pairs: DataFrame, sets: DataFrame, t: Threshold, near: float = -1.0) -> DataFrame:
+    """(a, b, distance, linked, diff) for pairs of nodes (a, b), from their whole sets; ``diff`` has the symmetric difference up to the distance ``near``."""
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
@@ -260,13 +264,70 @@ def _distances(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
             for a, b, x, y in batch:
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append((a, b, 1 - common / (len(x) + len(y) - common), t.linked(common, len(x), len(y))))
+                d = 1 - common / (len(x) + len(y) - common)
+                diff = np.setxor1d(x, y, assume_unique=True).astype(np.int64) if d <= near else None
+                out.append((a, b, d, t.linked(common, len(x), len(y)), diff))
             yield out
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return map_batches(both, "a long, b long, distance double, linked boolean", run)
+    return map_batches(both, "a long, b long, distance double, linked boolean, diff array<long>", run)
+
+
+def _among_near(rows: DataFrame, sets: DataFrame, t: Threshold, found: DataFrame) -> DataFrame:
+    """``found`` with the links among the near members of open cells.
+
+    ``rows`` has (pivot, node, n, probe, diff). Each cell moves its centre from
+    the pivot to the set of shingles that most members have; ``moved`` is a
+    member's symmetric difference to it. Two members differ by the size of the
+    symmetric difference of theirs, so they are linked if both are small
+    enough together, and else must share some of them: the join goes on, one
+    level down, on these small sets, by the rarest elements first.
+    """
+    plus, less = t.den + t.num, t.den - t.num
+    stats = rows.groupBy("pivot").agg(F.count("*").alias("m"), F.max("n").alias("n_most"))
+    counts = rows.select("pivot", F.explode("diff").alias("e")).groupBy("pivot", "e").agg(F.count("*").alias("f"))
+    hot = counts.join(stats, "pivot").where(F.col("f") * 2 > F.col("m")).groupBy("pivot").agg(F.collect_list("e").alias("hot"))
+    moved = rows.join(stats, "pivot").join(hot, "pivot", "left").withColumn("hot", F.coalesce("hot", F.array().cast("array<bigint>")))
+    moved = moved.withColumn("moved", F.concat(F.array_except("diff", "hot"), F.array_except("hot", "diff"))).withColumn("s", F.size("moved").cast("long"))
+    moved = materialize(moved.select("pivot", "node", "n", "probe", "n_most", "moved", "s"))
+
+    core = moved.groupBy("pivot").agg(F.min(F.struct("s", "node", "n")).alias("core"))
+    held = moved.join(core, "pivot").withColumn("auto", plus * (F.col("s") + F.col("core.s")) <= less * (F.col("n") + F.col("core.n")))
+    found = materialize(found.union(held.where(F.col("auto") & (F.col("node") != F.col("core.node"))).select(F.col("node").alias("a"), F.col("core.node").alias("b"))))
+    # Pairs so close that they are linked unseen, though not through the core: only where sizes differ much.
+    edge = held.where(~F.col("auto") & (plus * (F.col("s") + F.col("core.s")) <= less * (F.col("n") + F.col("n_most"))))
+    edge = edge.select("pivot", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a"))
+    unseen = edge.join(moved, "pivot").where((F.col("a") != F.col("node")) & (plus * (F.col("s_a") + F.col("s")) <= less * (F.col("n_a") + F.col("n"))))
+    found = materialize(found.union(unseen.select("a", F.col("node").alias("b"))))
+
+    comps = materialize(components(found))
+    own = moved.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    main = own.join(core, "pivot").where(F.col("node") == F.col("core.node")).select("pivot", F.col("component").alias("main"), F.col("core.s").alias("s_core"))
+    own = own.join(main, "pivot").withColumn("out", F.col("component") != F.col("main"))
+    least_out = own.where("out").groupBy("pivot").agg(F.min("s").alias("s_out"))
+    own = materialize(own.join(least_out, "pivot"))
+    reach = F.lit(less / plus) * (F.col("n") + F.least(F.col("n_most"), F.floor(F.col("n") * t.den / t.num)))
+    # How many elements a member shares at least with a partner that differs from the centre by s_other or more.
+    share = lambda s_other: F.greatest(F.lit(1), F.ceil((F.col("s") + F.greatest(s_other, F.col("s") - reach) - reach) / 2 - 1e-6))
+    own = own.withColumn("to_out", F.col("s") - share(F.col("s_out")) + 1).withColumn("to_all", F.col("s") - share(F.col("s_core")) + 1)
+    elements = own.select("pivot", "node", "n", "s", "probe", "component", "out", "to_out", "to_all", F.explode("moved").alias("e"))
+    f = own.select("pivot", F.explode("moved").alias("e")).groupBy("pivot", "e").agg(F.count("*").alias("f"))
+    rarest = Window.partitionBy("pivot", "node").orderBy("f", "e")
+    ranked = elements.join(f, ["pivot", "e"]).withColumn("place", F.row_number().over(rarest)).where(F.col("f") > 1)
+    ranked = materialize(ranked.where((F.col("place") <= F.col("to_out")) | (F.col("out") & (F.col("place") <= F.col("to_all")))))
+    x = ranked.where("out").select("pivot", "e", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "s", "probe", "component", "place", "to_out", "to_all")])
+    span = F.lit(less / plus) * (F.col("n") + F.col("n_x")) + 1e-6
+    met = x.join(
+        ranked,
+        (x.pivot == ranked.pivot) & (x.e == ranked.e) & (x.component_x != ranked.component) & (x.probe_x | ranked.probe)
+        & (ranked.place <= ranked.to_out)
+        & F.when(ranked.out, (x.place_x <= x.to_out_x) & (x.node_x < ranked.node)).otherwise(x.place_x <= x.to_all_x)
+        & (F.abs(x.s_x - ranked.s) <= span),
+    )
+    pairs = materialize(met.select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct())
+    return materialize(found.union(_distances(pairs, sets, t).where("linked").select("a", "b")))
 
 
 def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
@@ -282,37 +343,49 @@ def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
     pivots = meeting.groupBy("key").agg(F.min("node").alias("pivot"), F.max("probe").alias("any"), F.count("*").alias("m")).where("any and m > 1")
     cells = meeting.join(pivots.select("key", "pivot"), "key").groupBy("pivot", "node").agg(F.max("probe").alias("probe"), F.first("n").alias("n"))
     cells = materialize(cells)
+    discard(meeting)
     wanted = cells.select("node").distinct().join(known, "node").select("node", "rep")
     sets = _sets(docs, materialize(wanted), t)
-    first = _distances(cells.where("pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, t)
+    first = _distances(cells.where("pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, t, NEAR)
     first = materialize(first)
     if first.isEmpty():
         return None
-    near_cells = cells.join(first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance"), ["node", "pivot"], "left").fillna(0.0, ["distance"])
-    order = Window.partitionBy("pivot").orderBy("node")
-    open_cells = materialize(near_cells.withColumn("place", F.row_number().over(order)))
+    told = first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance", "diff")
+    own_diff = F.when(F.col("node") == F.col("pivot"), F.array().cast("array<bigint>")).otherwise(F.col("diff"))
+    members = cells.join(told, ["node", "pivot"], "left").fillna(0.0, ["distance"]).withColumn("diff", own_diff)
+
     found = first.where("linked").select("a", "b")
+    comps = materialize(components(found))
+    own = members.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = own.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("pivot")
+    members = materialize(members.join(materialize(apart), "pivot"))
+    found = _among_near(members.where("diff is not null").select("pivot", "node", "n", "probe", "diff"), sets, t, found)
+
+    order = Window.partitionBy("pivot").orderBy("node")
+    open_cells = members.withColumn("far", F.col("diff").isNull()).drop("diff").withColumn("place", F.row_number().over(order))
+    open_cells = materialize(open_cells.join(members.where("diff is null").select("pivot").distinct(), "pivot"))
     reach, done = (t.den - t.num) / t.den + 1e-9, 1
     while True:
         comps = materialize(components(found))
         own = open_cells.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = own.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("place").alias("size"))
-        apart = materialize(apart.where((F.col("lo") != F.col("hi")) & (F.col("size") > done)).select("pivot", "size"))
+        apart = own.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("place").alias("size"), F.max("far").alias("far"))
+        apart = materialize(apart.where((F.col("lo") != F.col("hi")) & (F.col("size") > done) & F.col("far")).select("pivot", "size"))
         most = apart.agg(F.max("size")).first()[0]
         if most is None:
             return found
         rows = materialize(own.join(apart.select("pivot"), "pivot").where(F.col("place") > done))
-        x = rows.select("pivot", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "probe", "distance", "place", "component")])
+        x = rows.select("pivot", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "probe", "distance", "place", "component", "far")])
         q = rows.where(F.col("place") <= done * MORE_PIVOTS)
         met = x.join(
             q,
-            (x.pivot == q.pivot) & (x.place_x > q.place) & (x.component_x != q.component) & (x.probe_x | q.probe)
+            (x.pivot == q.pivot) & (x.place_x > q.place) & (x.component_x != q.component) & (x.probe_x | q.probe) & (x.far_x | q.far)
             & (F.abs(x.distance_x - q.distance) <= reach)
             & (F.least(x.n_x, q.n) * t.den >= F.greatest(x.n_x, q.n) * t.num),
         )
         pairs = materialize(met.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
         more = _distances(pairs, sets, t).where("linked").select("a", "b")
         found = materialize(found.union(more))
+        discard(pairs)
         open_cells, done = rows.drop("component"), done * MORE_PIVOTS
 
 
