@@ -11,10 +11,13 @@
    least hash that has it becomes a pivot. A node stands in the Voronoi cell of
    each pivot it meets: boundary nodes are replicated. Distances to the pivot
    are exact; nodes within r of it are linked through it.
-4. Cells whose nodes are not all linked go on with further pivots from inside,
+4. Cells whose nodes are not all linked go on. First the cell sheds nodes with
+   so many shingles of their own (that no node of another component has there)
+   that no partner in the cell is left; then further pivots come from inside,
    eight times as many each round, until every node of the cell has been a
-   pivot or all are linked. The triangle inequality leaves out pairs whose
-   distances to the cell's pivot differ by more than r.
+   pivot, has left or is linked. The triangle inequality leaves out pairs whose
+   distances to the cell's pivot differ by more than r, the own shingles those
+   whose overlap cannot be enough.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from partwise.llm.common import map_batches, materialize, texts
+from partwise.llm.common import discard, map_batches, materialize, texts
 from partwise.llm.components import components
 
 #: Packed hash ranges hold about so many window hashes.
@@ -38,6 +41,8 @@ RANGE = 1 << 19
 #: Up to so many surviving nodes are broadcast (8 bytes each); beyond it the join shuffles.
 MOST_BROADCAST = 2_000_000
 MORE_PIVOTS = 8
+#: The members of a cell meet its further pivots in so many parts, so that no task gets a whole hot cell.
+PARTS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -269,6 +274,42 @@ def _distances(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return map_batches(both, "a long, b long, distance double, linked boolean", run)
 
 
+def _shed(rows: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """``rows`` (pivot, node, n, component, ...) with ``alone``, a node's shingles that no other component has in its cell, without the nodes that this bars from any link in the cell.
+
+    Counted for shingles that one or two nodes of a cell have: a lower bound,
+    from one aggregation that combines before the shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                sets = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
+                lengths = [len(x) for x in sets]
+                ids = [pa.array(np.repeat(b.column(k).to_numpy(), lengths)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate(sets))], ["pivot", "node", "component", "shingle"])
+
+    whole = rows.select("node", "pivot", "component").join(sets, "node").select("pivot", "node", "component", "shingles")
+    elements = whole.mapInArrow(run, "pivot long, node long, component long, shingle long")
+    holders = elements.groupBy("pivot", "shingle").agg(
+        F.count("*").alias("f"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi")
+    )
+    few = holders.where("f <= 2 and c_lo = c_hi").select("pivot", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("node"))
+    alone = few.groupBy("pivot", "node").agg(F.count("*").alias("alone"))
+    least = rows.groupBy("pivot").agg(F.min("n").alias("least"))
+    both = rows.join(alone, ["pivot", "node"], "left").fillna(0, ["alone"]).join(least, "pivot")
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * t.num / t.den))
+    return both.where((F.col("n") - F.col("alone")) * (t.den + t.num) >= t.num * (F.col("n") + partner)).drop("least")
+
+
+def _unlinked(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with their component so far and the cell's size, without cells whose nodes are all linked."""
+    own = rows.drop("component", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    cells = own.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    return own.join(cells.where("lo <> hi").select("pivot", "size"), "pivot")
+
+
 def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
     """Links (a, b) between nodes that join the same nodes as all links do; None if there are none.
 
@@ -289,31 +330,39 @@ def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
     if first.isEmpty():
         return None
     near_cells = cells.join(first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance"), ["node", "pivot"], "left").fillna(0.0, ["distance"])
-    order = Window.partitionBy("pivot").orderBy("node")
-    open_cells = materialize(near_cells.withColumn("place", F.row_number().over(order)))
-    found = first.where("linked").select("a", "b")
-    reach, done = (t.den - t.num) / t.den + 1e-9, 1
+    # Further pivots come in the order of a hash: "turn" in [0, 1), of which "until" has been used up.
+    turn = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40)
+    rows = materialize(near_cells.where("pivot <> node").withColumn("turn", turn).withColumn("until", F.lit(0.0)))
+    found = materialize(first.where("linked").select("a", "b"))
+    discard(cells, first)
+    reach, pivots_each = (t.den - t.num) / t.den + 1e-9, MORE_PIVOTS
     while True:
         comps = materialize(components(found))
-        own = open_cells.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = own.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("place").alias("size"))
-        apart = materialize(apart.where((F.col("lo") != F.col("hi")) & (F.col("size") > done)).select("pivot", "size"))
-        most = apart.agg(F.max("size")).first()[0]
-        if most is None:
+        open_rows = materialize(_unlinked(rows, comps))
+        shed = materialize(_shed(open_rows, sets, t))
+        left = _unlinked(shed, comps).withColumn("next", F.col("until") + (1 - F.col("until")) * pivots_each / F.col("size"))
+        left = materialize(left)
+        discard(rows, open_rows, shed, comps)
+        if left.isEmpty():
             return found
-        rows = materialize(own.join(apart.select("pivot"), "pivot").where(F.col("place") > done))
-        x = rows.select("pivot", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "probe", "distance", "place", "component")])
-        q = rows.where(F.col("place") <= done * MORE_PIVOTS)
+        names = ("node", "n", "probe", "distance", "turn", "component", "alone")
+        x = left.select("pivot", F.pmod(F.hash("node"), F.lit(PARTS)).alias("part"), *[F.col(c).alias(f"{c}_x") for c in names])
+        q = left.where("turn <= next").select("pivot", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), *names)
         met = x.join(
             q,
-            (x.pivot == q.pivot) & (x.place_x > q.place) & (x.component_x != q.component) & (x.probe_x | q.probe)
+            (x.pivot == q.pivot) & (x.part == q.part)
+            & ((x.turn_x > q.turn) | ((x.turn_x == q.turn) & (x.node_x > q.node)))
+            & (x.component_x != q.component) & (x.probe_x | q.probe)
             & (F.abs(x.distance_x - q.distance) <= reach)
-            & (F.least(x.n_x, q.n) * t.den >= F.greatest(x.n_x, q.n) * t.num),
+            & (F.least(x.n_x, q.n) * t.den >= F.greatest(x.n_x, q.n) * t.num)
+            & (F.least(x.n_x - x.alone_x, q.n - q.alone) * (t.den + t.num) >= (x.n_x + q.n) * t.num),
         )
         pairs = materialize(met.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
-        more = _distances(pairs, sets, t).where("linked").select("a", "b")
-        found = materialize(found.union(more))
-        open_cells, done = rows.drop("component"), done * MORE_PIVOTS
+        more = materialize(_distances(pairs, sets, t).where("linked").select("a", "b"))
+        found = found.union(more)
+        rows = materialize(left.where("turn > next").withColumn("until", F.col("next")).drop("next", "alone"))
+        discard(pairs, left)
+        pivots_each *= MORE_PIVOTS
 
 
 def jaccard_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
