@@ -43,6 +43,12 @@ MOST_BROADCAST = 2_000_000
 MORE_PIVOTS = 8
 #: The members of a cell meet its further pivots in so many parts, so that no task gets a whole hot cell.
 PARTS = 8
+#: Members up to this distance from a cell's pivot, and their partners, list all shingles that the pivot lacks.
+NEAR = 0.5
+#: Hashes below this are a quarter of all.
+QUARTER = 1 << 62
+#: Cells up to this size shed nothing: two rounds of pivots end them.
+SMALL = 2 * MORE_PIVOTS
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -256,49 +262,76 @@ def _sets(docs: DataFrame, wanted: DataFrame, t: Threshold) -> DataFrame:
     return materialize(rows.dropDuplicates(["node"]), "none")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """(a, b, distance, linked) for pairs of nodes (a, b), from their whole sets."""
+def _distances(pairs: DataFrame, sets: DataFrame, t: Threshold, own: bool = False) -> DataFrame:
+    """(a, b, distance, linked, own) for pairs of nodes (a, b), from their whole sets.
+
+    ``own``, if asked for, has shingles of a that b lacks: all of them up to the
+    distance NEAR + r, beyond it those of a fixed quarter of all hashes.
+    """
+    far = NEAR + (t.den - t.num) / t.den + 1e-9
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
             out = []
             for a, b, x, y in batch:
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append((a, b, 1 - common / (len(x) + len(y) - common), t.linked(common, len(x), len(y))))
+                common = np.intersect1d(x, y, assume_unique=True)
+                d = 1 - len(common) / (len(x) + len(y) - len(common))
+                rest = None
+                if own:
+                    rest = np.setdiff1d(x, common, assume_unique=True)
+                    rest = (rest if d <= far else rest[rest < QUARTER]).tobytes()
+                out.append((a, b, d, t.linked(len(common), len(x), len(y)), rest))
             yield out
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return map_batches(both, "a long, b long, distance double, linked boolean", run)
+    return map_batches(both, "a long, b long, distance double, linked boolean, own binary", run)
 
 
-def _shed(rows: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """``rows`` (pivot, node, n, component, ...) with ``alone``, a node's shingles that no other component has in its cell, without the nodes that this bars from any link in the cell.
+def _shed(rows: DataFrame, first: DataFrame, t: Threshold) -> DataFrame:
+    """``rows`` (pivot, node, n, distance, component, ...) with ``alone``, a node's shingles that no possible partner of another component has in its cell, without the nodes that this bars from any link in the cell.
 
-    Counted for shingles that one or two nodes of a cell have: a lower bound,
-    from one aggregation that combines before the shuffle.
+    ``first`` holds the nodes' shingles that the pivot lacks (see _distances).
+    Near nodes count all of them, as their partners list theirs in full; far
+    ones count those of the quarter that every node lists. Counted for shingles
+    that one or two nodes of a cell have: a lower bound, from one aggregation
+    that combines before the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["pivot", "node", "component", "shingle"]
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                sets = [np.frombuffer(x, np.int64) for x in b.column(3).to_pylist()]
-                lengths = [len(x) for x in sets]
-                ids = [pa.array(np.repeat(b.column(k).to_numpy(), lengths)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.concatenate(sets))], ["pivot", "node", "component", "shingle"])
-
-    whole = rows.select("node", "pivot", "component").join(sets, "node").select("pivot", "node", "component", "shingles")
-    elements = whole.mapInArrow(run, "pivot long, node long, component long, shingle long")
+            ids = [batch.column(k).to_pylist() for k in range(3)]
+            held: list[np.ndarray] = []
+            begin = 0
+
+            def flush(end: int) -> pa.RecordBatch:
+                lengths = [len(x) for x in held]
+                told = [pa.array(np.repeat(np.array(c[begin:end]), lengths)) for c in ids]
+                return pa.RecordBatch.from_arrays([*told, pa.array(np.concatenate(held))], names)
+
+            for k, x in enumerate(batch.column(3).to_pylist()):
+                held.append(np.frombuffer(x, np.int64))
+                if sum(map(len, held)) > 100_000:
+                    yield flush(k + 1)
+                    held, begin = [], k + 1
+            if held:
+                yield flush(len(ids[0]))
+
+    listed = first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "own")
+    whole = rows.select("node", "pivot", "component").join(listed, ["node", "pivot"])
+    elements = whole.select("pivot", "node", "component", "own").mapInArrow(run, "pivot long, node long, component long, shingle long")
+    quarter = (F.col("shingle") >= 0) & (F.col("shingle") < F.lit(QUARTER))
     holders = elements.groupBy("pivot", "shingle").agg(
         F.count("*").alias("f"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi")
     )
-    few = holders.where("f <= 2 and c_lo = c_hi").select("pivot", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("node"))
-    alone = few.groupBy("pivot", "node").agg(F.count("*").alias("alone"))
+    few = holders.where("f <= 2 and c_lo = c_hi").select("pivot", quarter.cast("long").alias("quarter"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("node"))
+    counts = few.groupBy("pivot", "node").agg(F.count("*").alias("all"), F.sum("quarter").alias("quarter"))
     least = rows.groupBy("pivot").agg(F.min("n").alias("least"))
-    both = rows.join(alone, ["pivot", "node"], "left").fillna(0, ["alone"]).join(least, "pivot")
+    alone = F.coalesce(F.when(F.col("distance") <= NEAR, F.col("all")).otherwise(F.col("quarter")), F.lit(0).cast("long"))
+    both = rows.join(counts, ["pivot", "node"], "left").withColumn("alone", alone).drop("all", "quarter").join(least, "pivot")
     partner = F.greatest(F.col("least"), F.ceil(F.col("n") * t.num / t.den))
     return both.where((F.col("n") - F.col("alone")) * (t.den + t.num) >= t.num * (F.col("n") + partner)).drop("least")
 
@@ -325,7 +358,7 @@ def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
     cells = materialize(cells)
     wanted = cells.select("node").distinct().join(known, "node").select("node", "rep")
     sets = _sets(docs, materialize(wanted), t)
-    first = _distances(cells.where("pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, t)
+    first = _distances(cells.where("pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, t, own=True)
     first = materialize(first)
     if first.isEmpty():
         return None
@@ -334,12 +367,13 @@ def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
     turn = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40)
     rows = materialize(near_cells.where("pivot <> node").withColumn("turn", turn).withColumn("until", F.lit(0.0)))
     found = materialize(first.where("linked").select("a", "b"))
-    discard(cells, first)
+    discard(cells)
     reach, pivots_each = (t.den - t.num) / t.den + 1e-9, MORE_PIVOTS
     while True:
         comps = materialize(components(found))
         open_rows = materialize(_unlinked(rows, comps))
-        shed = materialize(_shed(open_rows, sets, t))
+        small = F.col("size") <= SMALL
+        shed = materialize(_shed(open_rows.where(~small), first, t).unionByName(open_rows.where(small).withColumn("alone", F.lit(0).cast("long"))))
         left = _unlinked(shed, comps).withColumn("next", F.col("until") + (1 - F.col("until")) * pivots_each / F.col("size"))
         left = materialize(left)
         discard(rows, open_rows, shed, comps)
