@@ -47,6 +47,8 @@ PARTS = 8
 NEAR = 0.5
 #: Hashes below this are a quarter of all.
 QUARTER = 1 << 62
+#: Bytes of listed shingles that a task holds before it hands them on.
+HELD = 8 << 20
 #: Cells up to this size shed nothing: two rounds of pivots end them.
 SMALL = 2 * MORE_PIVOTS
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -272,7 +274,7 @@ def _distances(pairs: DataFrame, sets: DataFrame, t: Threshold, own: bool = Fals
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
-            out = []
+            out, held = [], 0
             for a, b, x, y in batch:
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = np.intersect1d(x, y, assume_unique=True)
@@ -282,6 +284,10 @@ def _distances(pairs: DataFrame, sets: DataFrame, t: Threshold, own: bool = Fals
                     rest = np.setdiff1d(x, common, assume_unique=True)
                     rest = (rest if d <= far else rest[rest < QUARTER]).tobytes()
                 out.append((a, b, d, t.linked(len(common), len(x), len(y)), rest))
+                held += len(rest or b"")
+                if held > HELD:
+                    yield out
+                    out, held = [], 0
             yield out
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
