@@ -11,11 +11,13 @@
    least hash that has it becomes a pivot. A node stands in the Voronoi cell of
    each pivot it meets: boundary nodes are replicated. Distances to the pivot
    are exact; nodes within r of it are linked through it.
-4. Cells whose nodes are not all linked go on. First the cell sheds nodes with
+4. Cells whose nodes are not all linked go on. First the cell (a large one in
+   later rounds too) sheds nodes with
    so many shingles of their own (that no node of another component has there)
    that no partner in the cell is left; then further pivots come from inside,
-   eight times as many each round, until every node of the cell has been a
-   pivot, has left or is linked. The triangle inequality leaves out pairs whose
+   first the one with the least share of own shingles, then eight times as many
+   each round, until every node of the cell has been a pivot, has left or is
+   linked. The triangle inequality leaves out pairs whose
    distances to the cell's pivot differ by more than r, the own shingles those
    whose overlap cannot be enough.
 """
@@ -51,6 +53,10 @@ QUARTER = 1 << 62
 HELD = 8 << 20
 #: Cells up to this size shed nothing: two rounds of pivots end them.
 SMALL = 2 * MORE_PIVOTS
+#: Cells above this size shed again in later rounds, as components have grown by then.
+LARGE = MORE_PIVOTS**3
+#: Up to so many pairs are broadcast (16 bytes each), so that the sets stay where they are.
+MOST_PAIRS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -292,7 +298,10 @@ def _distances(pairs: DataFrame, sets: DataFrame, t: Threshold, own: bool = Fals
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    if pairs.count() <= MOST_PAIRS:
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        pairs = F.broadcast(pairs)
+    both = left.join(pairs, "a").join(right, "b").select("a", "b", "x", "y")
     return map_batches(both, "a long, b long, distance double, linked boolean, own binary", run)
 
 
@@ -349,6 +358,12 @@ def _unlinked(rows: DataFrame, found: DataFrame) -> DataFrame:
     return own.join(cells.where("lo <> hi").select("pivot", "size"), "pivot")
 
 
+def _central_first(rows: DataFrame) -> DataFrame:
+    """``rows`` with the turn -1 for the node of each cell that has the least share of shingles of its own: it links most others, and nodes that are linked are not compared again."""
+    least = rows.groupBy("pivot").agg(F.min_by("node", F.struct(F.col("alone") / F.col("n"), "turn", "node")).alias("central"))
+    return rows.join(least, "pivot").withColumn("turn", F.when(F.col("node") == F.col("central"), -1.0).otherwise(F.col("turn"))).drop("central")
+
+
 def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
     """Links (a, b) between nodes that join the same nodes as all links do; None if there are none.
 
@@ -374,15 +389,18 @@ def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
     rows = materialize(near_cells.where("pivot <> node").withColumn("turn", turn).withColumn("until", F.lit(0.0)))
     found = materialize(first.where("linked").select("a", "b"))
     discard(cells)
-    reach, pivots_each = (t.den - t.num) / t.den + 1e-9, MORE_PIVOTS
+    reach, pivots_each = (t.den - t.num) / t.den + 1e-9, 0
     while True:
         comps = materialize(components(found))
-        open_rows = materialize(_unlinked(rows, comps))
-        small = F.col("size") <= SMALL
-        shed = materialize(_shed(open_rows.where(~small), first, t).unionByName(open_rows.where(small).withColumn("alone", F.lit(0).cast("long"))))
-        left = _unlinked(shed, comps).withColumn("next", F.col("until") + (1 - F.col("until")) * pivots_each / F.col("size"))
-        left = materialize(left)
-        discard(rows, open_rows, shed, comps)
+        left = _unlinked(rows, comps)
+        every = materialize(left)
+        large = F.col("size") > (LARGE if pivots_each else SMALL)
+        rest = every.where(~large) if pivots_each else every.where(~large).withColumn("alone", F.lit(0).cast("long"))
+        shed = materialize(_shed(every.where(large).drop("alone"), first, t).unionByName(rest))
+        still = materialize(_unlinked(shed, comps))
+        left = _central_first(still)
+        left = materialize(left.withColumn("next", F.col("until") + (1 - F.col("until")) * pivots_each / F.col("size")))
+        discard(rows, comps, every, shed, still)
         if left.isEmpty():
             return found
         names = ("node", "n", "probe", "distance", "turn", "component", "alone")
@@ -400,9 +418,9 @@ def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
         pairs = materialize(met.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
         more = materialize(_distances(pairs, sets, t).where("linked").select("a", "b"))
         found = found.union(more)
-        rows = materialize(left.where("turn > next").withColumn("until", F.col("next")).drop("next", "alone"))
+        rows = materialize(left.where("turn > next").withColumn("until", F.col("next")).drop("next"))
         discard(pairs, left)
-        pivots_each *= MORE_PIVOTS
+        pivots_each = max(1, pivots_each) * MORE_PIVOTS
 
 
 def jaccard_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
