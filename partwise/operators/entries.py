@@ -23,7 +23,7 @@ def _cut(text: str, n: int) -> str:
 _KEYWORD = "substring_index(decode(payload, 'ISO-8859-1'), '\\u0000', 1)"
 _PNG_VALUE = _PRINT.format("substring(payload, octet_length(encode(" + _KEYWORD + ", 'ISO-8859-1')) + 2)")
 _INFO_VALUE = "trim(" + _PRINT.format("encode(substring_index(decode(payload, 'ISO-8859-1'), '\\u0000', 1), 'ISO-8859-1')") + ")"
-_COMMENT = "decode(payload, 'UTF-8')"
+_COMMENT = "make_valid_utf8(cast(payload as string))"
 _KEY, _VALUE = f"trim(substring_index({_COMMENT}, '=', 1))", f"trim(substring({_COMMENT}, char_length(substring_index({_COMMENT}, '=', 1)) + 2))"
 _GIF_TEXT = _PRINT.format("blocks")
 _INFO_NAME = "case substring(kind, 6) " + " ".join(f"when '{k}' then '{v}'" for k, v in INFO.items()) + " else 'INFO field' end"

@@ -73,3 +73,11 @@ def test_files_and_stream(spark, tmp_path):
 def test_zip_headers(spark):
     r = zip_members(spark.createDataFrame([("é.txt", b"abc")], "name string, cleaned binary")).first()
     assert bytes(r["header"])[:4] == b"PK\x03\x04" and bytes(r["header"]).endswith("é.txt".encode()) and r["crc"] == zlib.crc32(b"abc")
+
+
+def test_flac_comment_with_broken_utf8_is_an_entry_not_a_failure(spark):
+    text = b"ARTIST=a\xffb"
+    comments = b"\x01\0\0\0v\x01\0\0\0" + bytes([len(text), 0, 0, 0]) + text
+    content = b"fLaC\0\0\0\x22" + bytes(34) + b"\x84\0\0" + bytes([len(comments)]) + comments + b"\xff\xf8"
+    got = [(e["name"], e["value"]) for e in entries(one(spark, "flac", content)).orderBy("ord").collect()]
+    assert got[1:] == [("Encoder (vendor)", "v"), ("ARTIST", "a\ufffdb")]
