@@ -21,6 +21,8 @@ LEAST = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Log-likelihood ratio, for each character, from which a run counts as random.
 MARGIN = 0.35
+#: Sum of the ratios above MARGIN from which a stretch inside a run counts as random.
+STRETCH = 12
 SPAN = "struct<start:int,ord:int,stop:int>"
 
 
@@ -107,28 +109,83 @@ def train(samples: DataFrame) -> Model:
     return Model(ratios)
 
 
-def ratio_sql(value: str, model: Model) -> str:
-    """SQL: the mean log-likelihood ratio of the characters of ``value``."""
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` for ``value``, which is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def scores_sql(value: str, model: Model) -> str:
+    """SQL: the log-likelihood ratio of each pair of neighbours in ``value``."""
     table = ",".join(f"{x:.6g}" for x in model.ratios)
-    step = f"instr('{ALPHABET}', substr({value}, i + 1, 1)) - 1"
-    before = f"(instr('{ALPHABET}', substr({value}, i, 1)) - 1) * {len(ALPHABET)}"
-    return f"(aggregate(sequence(1, length({value}) - 1), 0D, (s, i) -> s + cast(split('{table}', ',') as array<double>)[{before} + {step}]) / (length({value}) - 1))"
+    pair = f"cast(split('{table}', ',') as array<double>)[codes[i - 1] * {len(ALPHABET)} + codes[i]]"
+    codes = f"transform(split({value}, ''), c -> instr('{ALPHABET}', c) - 1)"
+    return _let(codes, "codes", f"transform(sequence(1, size(codes) - 1), i -> {pair})")
+
+
+def _span(start: str, stop: str) -> str:
+    return f"named_struct('start', cast({start} as int), 'ord', {KINDS.index('random')}, 'stop', cast({stop} as int))"
+
+
+def stretches_sql(scores: str, at: str) -> str:
+    """SQL: spans of the best stretches of LEAST characters or more in a run that starts at ``at``, by the sum of their ratios above MARGIN.
+
+    One pass: ``best`` is the greatest sum of a stretch that ends at character i
+    (either the window of LEAST characters or the best one before, longer by
+    one). A stretch ends at its top once the sum falls STRETCH below it; the
+    next one starts behind it.
+    """
+    k = LEAST - 1
+    none = "-1e9D"
+    begin = f"named_struct('window', 0D, 'best', {none}, 'from', 0, 'top', {STRETCH}D, 'start', 0, 'stop', 0, 'floor', 0, 'out', cast(array() as array<{SPAN}>))"
+    window = f"a.window + {scores}[i - 1] - {MARGIN}D - if(i > {k}, {scores}[greatest(i - {k} - 1, 0)] - {MARGIN}D, 0D)"
+    longer = f"a.best + {scores}[i - 1] - {MARGIN}D"
+    fresh = f"i - {k} >= a.floor and w >= {longer}"
+    step = (
+        f"if(a.top > {STRETCH}D and n.best < a.top - {STRETCH}D, "
+        f"named_struct('window', w, 'best', {none}, 'from', 0, 'top', {STRETCH}D, 'start', 0, 'stop', 0, 'floor', a.stop, 'out', concat(a.out, array({_span(f'{at} + a.start', f'{at} + a.stop')}))), "
+        f"named_struct('window', w, 'best', n.best, 'from', n.from, 'top', greatest(a.top, n.best), "
+        f"'start', if(n.best > a.top, if(a.top > {STRETCH}D, least(a.start, n.from), n.from), a.start), 'stop', if(n.best > a.top, i + 1, a.stop), 'floor', a.floor, 'out', a.out))"
+    )
+    best = f"if({fresh}, named_struct('best', w, 'from', i - {k}), named_struct('best', {longer}, 'from', a.from))"
+    return (
+        f"aggregate(sequence(1, size({scores})), {begin}, (a, i) -> {_let(window, 'w', _let(best, 'n', step))}, "
+        f"a -> if(a.top > {STRETCH}D, concat(a.out, array({_span(f'{at} + a.start', f'{at} + a.stop')})), a.out))"
+    )
+
+
+def _random_spans(model: Model) -> str:
+    """SQL: random spans in the runs, outside the base spans.
+
+    What base spans leave of a run is judged whole by its mean ratio; where that
+    is too low, the parts that the best stretches of the run cover count.
+    """
+    pieces = (
+        "aggregate(filter(base, b -> b.start < x.stop and x.start < b.stop), "
+        f"named_struct('at', x.start, 'out', cast(array() as array<{SPAN}>)), "
+        f"(a, b) -> named_struct('at', greatest(a.at, b.stop), 'out', if(b.start > a.at, concat(a.out, array({_span('a.at', 'b.start')})), a.out)), "
+        f"a -> if(a.at < x.stop, concat(a.out, array({_span('a.at', 'x.stop')})), a.out))"
+    )
+    total = "aggregate(slice(scores, p.start - x.start + 1, p.stop - p.start - 1), 0D, (s, r) -> s + r)"
+    whole = f"p.stop - p.start >= {LEAST} and {total} > {MARGIN}D * (p.stop - p.start - 1)"
+    parts = f"filter(transform(best, y -> {_span('greatest(y.start, p.start)', 'least(y.stop, p.stop)')}), y -> y.start < y.stop)"
+    judged = f"flatten(transform({pieces}, p -> if({whole}, array(p), {parts})))"
+    scores = scores_sql("substr(__text, x.start + 1, x.stop - x.start)", model)
+    return f"flatten(transform(__runs, x -> {_let(scores, 'scores', _let(stretches_sql('scores', 'x.start'), 'best', judged))}))"
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with two columns more: ``base`` and ``found``, arrays of (start, ord, stop) in code points, stop exclusive.
 
-    ``found`` has the base spans and, besides, runs of 20 characters or more
-    that the Markov models call random and no base span touches. Null and empty
-    texts have none. All rows and columns stay (columns of these names give way).
+    ``found`` has the base spans and, besides, what the Markov models call
+    random in runs of 20 characters or more: a whole run, or stretches inside
+    it; base spans are cut out of both. Null and empty texts have none. All rows and columns stay (columns of these names give way).
     """
     model = train(labelled_samples(docs.sparkSession)) if model is None else model
     docs = docs.drop("base", "found", "__text", "__runs")
     df = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))).withColumn("base", base_spans("__text"))
     runs = f"if(__text rlike r'{CANDIDATE}', {_places('__text', CANDIDATE, 'random', 'true')}, cast(array() as array<{SPAN}>))"
     df = df.withColumn("__runs", F.expr(runs))
-    fits = f"x -> not exists(base, b -> b.start < x.stop and x.start < b.stop) and {ratio_sql('substr(__text, x.start + 1, x.stop - x.start)', model)} > {MARGIN}"
-    return df.withColumn("found", F.expr(f"array_sort(concat(base, filter(__runs, {fits})))")).drop("__text", "__runs")
+    return df.withColumn("found", F.expr(f"array_sort(concat(base, {_random_spans(model)}))")).drop("__text", "__runs")
 
 
 def joined(spans: str) -> Column:
