@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +13,8 @@ from partwise.llm.common import WORD, digest_unit, materialize, ordered_index
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 ROWS_PER_BUCKET = 20_000
-CLOSERS = 3
+#: Share of its target by which a source may miss it before documents are exchanged.
+CLOSE = 0.001
 
 
 def source_targets(sizes: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -41,6 +44,125 @@ def source_targets(sizes: DataFrame, most: int = MOST_COPIES, weights: tuple[int
     return src.withColumn("target", F.least(F.col("weight") * F.lit(float(level)), (F.col("source_size") * most).cast("double")))
 
 
+def _with_gap(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``rows`` with the ``gap`` of their source; sources without one go."""
+    return rows.join(F.broadcast(gaps.select(F.col("source").alias("g"), "gap")), F.col("source").eqNullSafe(F.col("g"))).drop("g")
+
+
+def _nearest(pool: DataFrame) -> DataFrame:
+    """(source, miss, row, taken): for each source the document whose size is nearest to the gap, if it brings the sum nearer."""
+    miss = F.abs(F.col("size") - F.col("gap"))
+    near = pool.where(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), F.col("rank"), F.col("row"), F.col("size"))).alias("best"))
+    return near.select("source", "best.miss", "best.row", F.col("best.size").alias("taken"))
+
+
+def _leading(fits: DataFrame) -> DataFrame:
+    """(row, source, size) of the documents of each source that come first in Pareto order and fit its gap together."""
+    sums = fits.groupBy("source", "gap", "bucket").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    split = (
+        sums.withColumn("upto", upto).where(F.col("upto") - F.col("words") < F.col("gap")).groupBy("source")
+        .agg(F.max(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
+        .select(F.col("source").alias("s"), F.col("at.bucket").alias("last"), F.col("at.before").alias("before"))
+    )
+    split = F.broadcast(split)
+    at = fits.join(split, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    running = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
+    edge = at.where(F.col("bucket") == F.col("last")).withColumn("upto", F.col("before") + running).where("upto <= gap")
+    return at.where(F.col("bucket") < F.col("last")).select("row", "source", "size").union(edge.select("row", "source", "size"))
+
+
+def _moves(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, source) of documents that fill the ``gap`` of each source from ``pool``, and (source, gap) after that.
+
+    In rounds: documents larger than the gap are out, the others are taken in
+    Pareto order while they fit; the one that stops this is larger than the new
+    gap, so each round goes on behind it, until nothing fits. A source ends with
+    the round after which its nearest document brings the sum nearest, and with
+    that document, even if the sum then exceeds the gap.
+    """
+    columns = pool.columns
+    gaps = materialize(pool.select("source", "gap").distinct())
+    rounds: list[DataFrame] = []
+    ends: list[DataFrame] = []
+    while True:
+        k = len(rounds)
+        near = F.broadcast(_nearest(pool).withColumnRenamed("source", "s"))
+        end = gaps.join(near, F.col("source").eqNullSafe(F.col("s")), "left")
+        ends.append(materialize(end.select("source", F.struct(F.coalesce("miss", "gap").alias("miss"), F.lit(-k).alias("back"), "gap", "row", "taken").alias("end"))))
+        lead = materialize(_leading(pool.where("size <= gap")).withColumn("k", F.lit(k)))
+        if lead.isEmpty():
+            break
+        rounds.append(lead)
+        sums = lead.groupBy("source").agg(F.sum("size").alias("words")).withColumnRenamed("source", "s")
+        # A source that took nothing is done.
+        gaps = materialize(gaps.join(F.broadcast(sums), F.col("source").eqNullSafe(F.col("s"))).select("source", (F.col("gap") - F.col("words")).alias("gap")))
+        left = _with_gap(pool.drop("gap"), gaps).where(F.col("size") < 2 * F.col("gap"))
+        pool = materialize(left.join(lead.select("row"), "row", "left_anti").select(*columns))
+    best = materialize(reduce(DataFrame.union, ends).groupBy("source").agg(F.min("end").alias("end")).select("source", "end.*"))
+    moved = best.where("row is not null").select("row", "source")
+    if rounds:
+        last = F.broadcast(best.select(F.col("source").alias("s"), (-F.col("back")).alias("last")))
+        moved = moved.union(reduce(DataFrame.union, rounds).join(last, F.col("source").eqNullSafe(F.col("s"))).where("k < last").select("row", "source"))
+    return materialize(moved), best.select("source", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap"))
+
+
+def _toggled(picked: DataFrame, moved: DataFrame) -> DataFrame:
+    return materialize(picked.join(moved.select("row"), "row", "left_anti").union(moved.join(picked.select("row"), "row", "left_anti")).select("row", "source"))
+
+
+def _pool(every: DataFrame, picked: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Documents that can be moved: those not picked where words are missing, in Pareto order; the picked ones where there are too many, in the reverse order."""
+    rows = _with_gap(every, gaps.where("gap <> 0")).join(picked.select("row", F.lit(True).alias("is")), "row", "left")
+    over = F.col("gap") < 0
+    rows = rows.where(over == F.col("is").isNotNull())
+    turned = lambda c, back: F.when(over, back).otherwise(F.col(c)).alias(c)
+    return rows.select("row", "doc_id", "source", "size", turned("rank", 1 - F.col("rank")), turned("bucket", -F.col("bucket")), F.abs("gap").alias("gap"))
+
+
+def _settle(every: DataFrame, picked: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Adds and takes away documents in turn as long as that brings a source nearer: (row, source) and the (source, gap) left."""
+    while True:
+        pool = materialize(_pool(every, picked, gaps).where(F.col("size") < 2 * F.col("gap")))
+        moved, left = _moves(pool)
+        if moved.isEmpty():
+            return picked, gaps
+        picked = _toggled(picked, moved)
+        left = left.select(F.col("source").alias("s"), F.col("gap").alias("left"))
+        both = gaps.join(F.broadcast(left), F.col("source").eqNullSafe(F.col("s")), "left")
+        gaps = materialize(both.select("source", F.when(F.col("left").isNull(), F.col("gap")).otherwise(F.signum("gap") * F.col("left")).alias("gap")))
+
+
+def _fill(ranked: DataFrame) -> DataFrame:
+    """(row, extra) of the documents that fill what is left of each source's target.
+
+    Where a source then misses its target by more than CLOSE of it, the
+    smallest document too large for the gap changes sides and others make up for
+    it; this stands if the source ends nearer, and is tried again.
+    """
+    open_ = ranked.where("rest > 0 and size > 0")
+    every = materialize(open_.select("row", "doc_id", "source", "size", "rank", "bucket"))
+    targets = materialize(open_.select("source", F.col("rest").alias("gap"), (F.col("target") * CLOSE).alias("most")).distinct())
+    gaps = targets.select("source", "gap")
+    picked, gaps = _settle(every, materialize(every.select("row", "source").where("false")), gaps)
+    most = F.broadcast(targets.select(F.col("source").alias("s"), "most"))
+    open_gaps = materialize(gaps.join(most, F.col("source").eqNullSafe(F.col("s"))).where("abs(gap) > most").select("source", "gap", "most"))
+    while not open_gaps.isEmpty():
+        large = _pool(every, picked, open_gaps).where("size > gap")
+        turn = materialize(large.groupBy("source").agg(F.min(F.struct("size", "rank", "row")).alias("x")).select("source", "x.size", "x.row"))
+        own = open_gaps.join(F.broadcast(turn.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        tried = materialize(own.select("source", (F.col("gap") - F.signum("gap") * F.col("size")).alias("gap")))
+        after, left = _settle(every, _toggled(picked, turn.select("row", "source")), tried)
+        left = left.select(F.col("source").alias("s"), F.col("gap").alias("left"))
+        nearer = open_gaps.join(F.broadcast(left), F.col("source").eqNullSafe(F.col("s"))).where("abs(left) < abs(gap)")
+        nearer = materialize(nearer.select("source", F.col("left").alias("gap"), "most"))
+        ok = F.broadcast(nearer.select(F.col("source").alias("s")))
+        same = F.col("source").eqNullSafe(F.col("s"))
+        picked = materialize(picked.join(ok, same, "left_anti").union(after.join(ok, same, "left_semi")))
+        open_gaps = nearer.where("abs(gap) > most")
+    return picked.select("row", F.lit(True).alias("extra"))
+
+
 def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """How much of each document a mix takes: (doc_id, source, size, source_size, target, copies, taken).
 
@@ -49,10 +171,12 @@ def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEI
     Pareto order sampling: documents rank by random odds divided by inclusion
     odds (the shared rate of the source times a factor that grows with the
     square root of the document's size: a sample of unequal probability that
-    leaves short documents to fill the end) and are taken in that order while
-    they fit. Then up to CLOSERS times the document whose size is nearest to
-    what is missing joins, if that brings the sum nearer. No document exceeds ``most`` copies. The random number is a
-    hash of doc_id, source and size: reruns agree.
+    leaves short documents to fill the end) and are taken in that order, past
+    those that do not fit, until none fits. Documents whose size is nearest to
+    what is missing close the gap, and documents are exchanged, where that
+    brings the sum nearer (see _moves and _fill).
+    No document exceeds ``most`` copies. The random number is a hash of doc_id,
+    source and size: reruns agree.
 
     Null text: size 0. Null source: a source of its own. A size of 0 is never
     taken. Rows that repeat count one by one; ties rank by row. Empty table: no
@@ -75,30 +199,9 @@ def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEI
     buckets = max(1, slim.count() // ROWS_PER_BUCKET)
     ranked = ranked.withColumn("rank", pareto / (1 + pareto)).withColumn("bucket", F.floor(F.col("rank") * buckets))
 
-    sums = ranked.where(F.col("rest") > 0).groupBy("source", "rest", "bucket").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    split = (
-        sums.withColumn("upto", upto).where(F.col("upto") - F.col("words") < F.col("rest")).groupBy("source")
-        .agg(F.max(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
-        .select(F.col("source").alias("s"), F.col("at.bucket").alias("last"), F.col("at.before").alias("before"))
-    )
-    ranked = ranked.join(split, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    edge = ranked.where(F.col("bucket") == F.col("last"))
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
-    edge = materialize(edge.withColumn("fits", F.col("before") + running <= F.col("rest")).select("row", "source", "size", "fits"))
-    marked = ranked.join(edge.where("fits").select("row", F.lit(True).alias("in_edge")), "row", "left").withColumn(
-        "extra", F.coalesce((F.col("bucket") < F.col("last")) | F.col("in_edge"), F.lit(False))
-    )
-    state = materialize(marked.select("doc_id", "source", "size", "source_size", "target", "copies", "rest", "rank", "row", "extra"))
-    for _ in range(CLOSERS):
-        gaps = state.where("rest > 0").groupBy("source").agg((F.first("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
-        closers = (
-            state.where(~F.col("extra") & (F.col("rest") > 0) & (F.col("size") > 0)).join(gaps.withColumnRenamed("source", "g"), F.col("source").eqNullSafe(F.col("g")))
-            .where(F.abs(F.col("size") - F.col("gap")) < F.abs("gap")).groupBy("source")
-            .agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), F.col("rank"), F.col("row"))).alias("best"))
-            .select(F.col("best.row").alias("row"), F.lit(True).alias("closes"))
-        )
-        state = state.join(closers, "row", "left").withColumn("extra", F.col("extra") | F.coalesce("closes", F.lit(False))).drop("closes")
+    ranked = materialize(ranked)
+    picked = _fill(ranked)
+    state = ranked.join(picked, "row", "left").withColumn("extra", F.coalesce("extra", F.lit(False)))
     taken = state.withColumn("copies", F.col("copies") + F.col("extra").cast("long"))
     return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -164,6 +164,16 @@ def test_mix_reaches_targets(spark):
     assert sorted((x["doc_id"], x["taken"]) for x in got) == sorted((x["doc_id"], x["taken"]) for x in again)
 
 
+def test_mix_goes_on_past_a_document_that_does_not_fit(spark):
+    rows = [(i, "w " * n, s) for s, ns in (("a", [20_000] + [100] * 300), ("b", [700] * 50), ("c", [9_000])) for i, n in enumerate(ns)]
+    for seed in (0, 1000):
+        docs = spark.createDataFrame([(seed + i, t, s) for i, t, s in rows], "doc_id long, text string, source string")
+        for r in mixing.mix(docs, weights=(15, 17, 5)).groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect():
+            most = {"a": 50, "b": 350, "c": 4500}[r["source"]]
+            assert abs(r["t"] - r["n"]) <= most, (seed, r)
+
+
+
 def test_bpe_equals_the_library(docs):
     from tokenizers import Tokenizer
 
