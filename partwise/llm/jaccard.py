@@ -257,7 +257,8 @@ def _meeting(nodes: DataFrame, t: Threshold) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame, t: Threshold) -> DataFrame:
     """(node, shingles) of the wanted nodes (node, rep)."""
-    ids = wanted.select(F.col("rep").alias("doc_id"))
+    # Groups without any doc_id have the rep null: all texts without one are read for them.
+    ids = wanted.select("rep").distinct()
     if wanted.count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
 
@@ -266,7 +267,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, t: Threshold) -> DataFrame:
             sets = [shingles(text, t.words) for _, text in batch]
             yield [(node_of(s), s.tobytes()) for s in sets]
 
-    rows = map_batches(texts(docs).join(ids.distinct(), "doc_id", "left_semi"), "node long, shingles binary", run)
+    rows = map_batches(texts(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"), "node long, shingles binary", run)
     return materialize(rows.dropDuplicates(["node"]), "none")
 
 
@@ -448,6 +449,16 @@ def jaccard_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, t: Threshold = Threshold(5, 80, 100)) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id. Rows without shingles stay; of rows that share a doc_id, one stays."""
-    best = jaccard_components(docs, t).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(best, "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` with one row of each component: that with the smallest doc_id, null last. Rows without shingles stay, but of those that share a doc_id and text one stays.
+
+    Rows are told apart by numbers of their own: doc_id may be null or repeated.
+    """
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    slim = numbered.select(F.col("__row").alias("doc_id"), "text")
+    found = jaccard_components(slim, t).select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__component"), F.col("n_shingles").alias("__n"))
+    rows = numbered.select("__row", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), F.col("text").isNull().alias("none")).join(found, "__row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")).alias("first")
+    whole = rows.where("__n > 0").groupBy("__component").agg(first).select("first.__row")
+    bare = rows.where("__n = 0 and doc_id is not null").groupBy("doc_id", "digest", "none").agg(F.min("__row").alias("__row")).select("__row")
+    nameless = rows.where("__n = 0 and doc_id is null").select("__row")
+    return numbered.join(whole.union(bare).union(nameless), "__row", "left_semi").select(*docs.columns)

@@ -273,6 +273,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Repeated rows are copies. What is left may end inside a character, as the
     law speaks of bytes.
     """
+    # Rows go by numbers of their own: doc_id may be null, or stand for several texts.
+    docs = materialize(texts(docs).select(F.col("doc_id").alias("id"), "text").withColumn("doc_id", F.monotonically_increasing_id()), "zstd")
     all_members = materialize(members(docs))
     known = all_members.groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     known = materialize(known)
@@ -283,7 +285,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     told = materialize(told)
     if (told.agg(F.sum(F.coalesce(F.size("spans"), F.lit(0)) * 8 + 16)).first()[0] or 0) <= MOST_BROADCAST:
         told = F.broadcast(told)
-    rows = texts(docs).join(told, "doc_id", "left")
+    rows = docs.join(told, "doc_id", "left")
 
     def cut(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
@@ -304,7 +306,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append((doc_id, len(raw), kept, [{"start": a, "stop": b} for a, b in runs]))
             yield out
 
-    return map_batches(rows.select("doc_id", "text", "spans", "told"), "doc_id long, n_bytes long, kept binary, spans array<struct<start:int,stop:int>>", cut)
+    return map_batches(rows.select("id", "text", "spans", "told"), "doc_id long, n_bytes long, kept binary, spans array<struct<start:int,stop:int>>", cut)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:

@@ -274,6 +274,29 @@ def test_one_of_each_keeps_the_rest(docs):
     assert kept == want
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    other, third = " ".join(VOCAB[:80]), " ".join(VOCAB[100:180])
+    rows = [(None, LONG), (None, _edited(LONG, 1, 3)), (None, other), (7, third), (7, third), (7, third), (8, None), (8, None), (None, ""), (9, " ".join(VOCAB[200:280])), (9, " ".join(VOCAB[60:140]))]
+    got = [tuple(r) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    kept = [t for _, t in got]
+    assert len([t for t in kept if t in (LONG, rows[1][1])]) == 1 and kept.count(other) == 1 and kept.count(third) == 1
+    assert got.count((8, None)) == 1 and (None, "") in got and rows[9] in got and rows[10] in got and len(got) == 7
+
+
+
 def test_vocabulary_is_read_not_copied():
     with open(bpe.vocabulary_path(), encoding="utf-8") as f:
         assert len(json.load(f)["model"]["merges"]) == 50_000
+
+
+def test_null_and_repeated_ids_lose_nothing(spark):
+    schema = "doc_id long, text string"
+    near = [(None, LONG), (None, _edited(LONG, 1, 3)), (4, _edited(LONG, 2, 9)), (None, " ".join(VOCAB[:80]))]
+    got = jaccard.jaccard_components(spark.createDataFrame(near, schema)).collect()
+    assert sorted(str(r["component_id"]) for r in got) == ["4", "4", "4", "None"]
+    shared = " ".join(VOCAB[:60])
+    assert len(shared) > 220
+    own = [" ".join(VOCAB[a : a + 20]) for a in (100, 130, 160, 190)]
+    rows = [(None, own[0] + " " + shared), (1, shared + " " + own[1]), (2, own[2]), (2, own[3] + " " + shared)]
+    kept = suffixes.remove_repeats(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((str(r["doc_id"]), bytes(r["kept"]).decode().strip()) for r in kept) == sorted([("None", own[0]), ("1", own[1]), ("2", own[2]), ("2", own[3])])
