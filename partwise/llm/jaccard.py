@@ -1,25 +1,32 @@
 """Exact Jaccard self-join of word-shingle sets as a metric-space join with pivots.
 
 1. Each document becomes the sorted 64-bit hashes of its shingles; documents
-   with equal sets become one node.
-2. Shingles that no other node has cannot link. With r = 1 - threshold, a node
-   of n shingles may miss e = floor(r n) of them in a partner, so of its
-   lowest hashes at least all but e must occur elsewhere; other nodes are done.
-   Partners have those hashes among a bounded number of their own lowest ones,
-   so only these windows are counted, packed in arrays by hash range.
-3. For each shingle that a node may still need to meet a partner, the node of
-   least hash that has it becomes a pivot. A node stands in the Voronoi cell of
-   each pivot it meets: boundary nodes are replicated. Distances to the pivot
-   are exact; nodes within r of it are linked through it.
-4. Cells whose nodes are not all linked go on. First the cell (a large one in
-   later rounds too) sheds nodes with
-   so many shingles of their own (that no node of another component has there)
-   that no partner in the cell is left; then further pivots come from inside,
-   first the one with the least share of own shingles, then eight times as many
-   each round, until every node of the cell has been a pivot, has left or is
-   linked. The triangle inequality leaves out pairs whose
-   distances to the cell's pivot differ by more than r, the own shingles those
-   whose overlap cannot be enough.
+   with equal sets become one node and go on as its representative.
+2. A node of n shingles may lack e = floor((1 - t) n) of them in a partner.
+   Nodes with more than e shingles that no other node has cannot link and are
+   done: first judged by a window of their lowest hashes, packed by hash range,
+   then, for those left, by whole sets.
+3. The shingles of what is left stand in one order, rare ones first. Two nodes
+   that link share one of their first e + 1 in that order. Of the nodes with such
+   a shingle the most central (the least share of shingles that no other node
+   has) becomes a pivot, and the others meet it: exact distances are computed
+   from whole sets, and nodes within r = 1 - t of a pivot are linked through it.
+   A node's region is that of its nearest pivot; a node at a boundary is
+   replicated to every other pivot it meets.
+4. Regions whose nodes are not in one component go on. Partners x and y in the
+   region of p differ in at most E = (1 - t) / (1 + t) (|x| + |y|) shingles. By
+   the triangle inequality of the symmetric difference, taken apart into what p
+   lacks and what x or y lack of p, they differ in alone(x) + alone(y) +
+   | |p - x| - |p - y| | at least. So the region falls into rings by |p - x|,
+   each node is replicated to the rings within its window, and only nodes that
+   meet in a ring, differ in component and pass this bound (and that of 256-bit
+   parity sketches) are compared, by whole sets.
+5. Regions join recursively: first the next few pivots from inside, then more in
+   each round, with components found again after each, until every node of the
+   region has been a pivot or its region is one component.
+
+A dense group is thus a star of members around pivots; copies are rows of one
+node, and no group's pairs are listed.
 """
 
 from __future__ import annotations
@@ -30,7 +37,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,25 +44,20 @@ from pyspark.sql import functions as F
 from partwise.llm.common import discard, map_batches, materialize, texts
 from partwise.llm.components import components
 
-#: Packed hash ranges hold about so many window hashes.
+#: Packed hash ranges hold about so many hashes.
 RANGE = 1 << 19
-#: Up to so many surviving nodes are broadcast (8 bytes each); beyond it the join shuffles.
-MOST_BROADCAST = 2_000_000
-MORE_PIVOTS = 8
-#: The members of a cell meet its further pivots in so many parts, so that no task gets a whole hot cell.
-PARTS = 8
-#: Members up to this distance from a cell's pivot, and their partners, list all shingles that the pivot lacks.
-NEAR = 0.5
-#: Hashes below this are a quarter of all.
-QUARTER = 1 << 62
-#: Bytes of listed shingles that a task holds before it hands them on.
-HELD = 8 << 20
-#: Cells up to this size shed nothing: two rounds of pivots end them.
-SMALL = 2 * MORE_PIVOTS
-#: Cells above this size shed again in later rounds, as components have grown by then.
-LARGE = MORE_PIVOTS**3
+#: Up to so many representatives are broadcast (8 bytes each); beyond it the join shuffles.
+MOST_BROADCAST = 500_000
 #: Up to so many pairs are broadcast (16 bytes each), so that the sets stay where they are.
-MOST_PAIRS = 500_000
+MOST_PAIRS = 200_000
+#: Sets of pivots up to this size (bytes) in all are broadcast.
+MOST_PIVOT_BYTES = 8 << 20
+#: So many further pivots come from a region in the first round, and so many times more in each later one.
+MORE_PIVOTS = 16
+#: Shingles or pivots that meet more nodes than this are dealt to several tasks.
+HOT = 1_000
+#: Rings in the largest distance at which partners can be.
+RINGS = 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,20 +129,20 @@ _PACKED = "bucket int, kind int, win int, keys binary, nodes binary, counts bina
 
 
 def _pack(docs: DataFrame, t: Threshold, bits: int) -> DataFrame:
-    """Window hashes by range. Kind 0: hashes that one node of the batch has; 1: entries known to be shared; 2: hashes that several nodes have, once for each batch."""
+    """Window hashes by range. Kind 0: hashes that one node of the batch has; 1: how many of its own hashes each node shares inside the batch; 2: those hashes, once."""
 
     def rows(sets: dict[int, np.ndarray]) -> Iterator[tuple]:
         parts = [(s[: t.window(len(s))], t.own(len(s)), node) for node, s in sets.items() if len(s)]
         if not parts:
             return
         keys = (np.concatenate([p[0] for p in parts]) * _ODD) >> np.uint64(32 - bits)
-        lengths = [len(p[0]) for p in parts]
-        nodes = np.repeat(np.array([p[2] for p in parts], np.int64), lengths)
-        win = np.concatenate([np.arange(n) < own for n, (_, own, _) in zip(lengths, parts, strict=True)])
+        lengths = np.array([len(p[0]) for p in parts])
+        ids = np.array([p[2] for p in parts], np.int64)
+        at = np.repeat(np.arange(len(parts)), lengths)
+        win = np.arange(len(keys)) - np.repeat(lengths.cumsum() - lengths, lengths) < np.array([p[1] for p in parts])[at]
         order = np.argsort(keys, kind="stable")
-        keys, nodes, win = keys[order], nodes[order], win[order]
-        first = np.concatenate(([True], keys[1:] != keys[:-1]))
-        run = np.flatnonzero(first)
+        keys, at, win = keys[order], at[order], win[order]
+        run = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         count = np.diff(np.append(run, len(keys)))
         each = np.repeat(count, count)
 
@@ -153,12 +154,11 @@ def _pack(docs: DataFrame, t: Threshold, bits: int) -> DataFrame:
 
         for w in (0, 1):
             mine = (each == 1) & (win == bool(w))
-            yield from split(0, w, keys[mine], nodes[mine])
-            shared = np.flatnonzero((each > 1) & (win == bool(w)))
-            for a in range(0, len(shared), RANGE):
-                at = shared[a : a + RANGE]
-                spread = int(keys[at[0]] + _ODD) % (1 << bits)
-                yield spread, 1, w, keys[at].tobytes(), nodes[at].tobytes(), each[at].astype(np.uint32).tobytes()
+            yield from split(0, w, keys[mine], ids[at[mine]])
+        shared = np.bincount(at[(each > 1) & win], minlength=len(parts))
+        some = np.flatnonzero(shared)
+        if len(some):
+            yield int(ids[some[0]] % (1 << bits)), 1, 1, b"", ids[some].tobytes(), shared[some].astype(np.int32).tobytes()
         yield from split(2, 0, keys[run[count > 1]], None)
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
@@ -172,197 +172,209 @@ def _pack(docs: DataFrame, t: Threshold, bits: int) -> DataFrame:
     return map_batches(texts(docs), _PACKED, run)
 
 
-_ENTRIES = "part int, wins binary, keys binary, nodes binary, counts binary"
-
-
 def _joined(values: pd.Series, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind)
 
 
-def _shared(packed: DataFrame, parts: int) -> DataFrame:
-    """Entries (node, hash, number of nodes) of hashes that two nodes or more have, dealt by node."""
+def _by_part(node: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+    """The arrays cut into one row for each part that the nodes fall into."""
+    part = (node % parts).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    spans = _spans(part[order])
+    cut = {name: v[order] for name, v in {"nodes": node, **columns}.items()}
+    return pd.DataFrame({"part": [part[order[a]] for a, _ in spans]} | {name: [v[a:b].tobytes() for a, b in spans] for name, v in cut.items()})
+
+
+def _candidates(docs: DataFrame, known: DataFrame, t: Threshold) -> DataFrame:
+    """(node, n, rep) of ``known`` that share enough of their lowest hashes with other nodes.
+
+    Hashes that several nodes of one batch share count once for each batch that
+    has a copy of the node: too high at most, never too low.
+    """
+    e = F.floor(F.col("n") * (t.den - t.num) / t.num)
+    total = known.agg(F.sum(F.least(F.col("n"), e + F.floor(e / 2) + 1 + F.floor(F.col("n") * (t.den - t.num) / t.den)))).first()[0] or 0
+    bits = max(3, int(total // RANGE).bit_length())
+    parts = 1 << bits
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, known, many = (pdf[pdf.kind == k] for k in (0, 1, 2))
-        high = np.uint64(pdf.bucket.iloc[0]) << np.uint64(32)
-        low = _joined(one["keys"], np.uint32)
-        nodes = _joined(one.nodes, np.int64)
+        one, told, many = (pdf[pdf.kind == k] for k in (0, 1, 2))
+        low, nodes = _joined(one["keys"], np.uint32), _joined(one.nodes, np.int64)
         wins = np.repeat(one.win.to_numpy(np.uint8), [len(k) // 4 for k in one["keys"]])
         order = np.lexsort((nodes, low))
         low, nodes, wins = low[order], nodes[order], wins[order]
         new = np.concatenate(([True], (low[1:] != low[:-1]) | (nodes[1:] != nodes[:-1]))) if len(low) else np.zeros(0, bool)
         low, nodes, wins = low[new], nodes[new], wins[new]
-        several = np.unique(_joined(many["keys"], np.uint32))
         uniq, inverse, count = np.unique(low, return_inverse=True, return_counts=True)
-        count = count + 2 * np.isin(uniq, several)
-        at = count[inverse] > 1
-        keys = np.concatenate((low[at].astype(np.uint64) | high, _joined(known["keys"], np.uint64)))
-        counts = np.concatenate((count[inverse][at].astype(np.uint32), _joined(known["counts"], np.uint32)))
-        wins = np.concatenate((wins[at], np.repeat(known.win.to_numpy(np.uint8), [len(k) // 8 for k in known["keys"]])))
-        nodes = np.concatenate((nodes[at], _joined(known.nodes, np.int64)))
-        part = (nodes % parts).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        part, keys, counts, wins, nodes = part[order], keys[order], counts[order], wins[order], nodes[order]
-        spans = _spans(part)
-        return pd.DataFrame({
-            "part": [part[a] for a, _ in spans], "wins": [wins[a:b].tobytes() for a, b in spans], "keys": [keys[a:b].tobytes() for a, b in spans],
-            "nodes": [nodes[a:b].tobytes() for a, b in spans], "counts": [counts[a:b].tobytes() for a, b in spans],
-        })
-
-    return packed.groupBy("bucket").applyInPandas(find, _ENTRIES)
-
-
-def _by_node(entries: DataFrame) -> DataFrame:
-    """(node, wins, keys, counts): each node's shared hashes."""
+        found = ((count > 1) | np.isin(uniq, _joined(many["keys"], np.uint32)))[inverse] & (wins == 1)
+        node, at = np.unique(np.concatenate((nodes[found], _joined(told.nodes, np.int64))), return_inverse=True)
+        sums = np.bincount(at, np.concatenate((np.ones(found.sum()), _joined(told["counts"], np.int32))), len(node)).astype(np.int32)
+        return _by_part(node, parts, {"counts": sums})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        wins, keys, nodes, counts = _joined(pdf.wins, np.uint8), _joined(pdf["keys"], np.uint64), _joined(pdf.nodes, np.int64), _joined(pdf["counts"], np.uint32)
-        order = np.lexsort((counts, keys, nodes))
-        wins, keys, nodes, counts = wins[order], keys[order], nodes[order], counts[order]
-        last = np.concatenate(((keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]), [True]))
-        wins, keys, nodes, counts = wins[last], keys[last], nodes[last], counts[last]
-        spans = _spans(nodes)
-        return pd.DataFrame({
-            "node": [nodes[a] for a, _ in spans], "wins": [wins[a:b].tobytes() for a, b in spans],
-            "keys": [keys[a:b].tobytes() for a, b in spans], "counts": [counts[a:b].tobytes() for a, b in spans],
-        })
+        node, at = np.unique(_joined(pdf.nodes, np.int64), return_inverse=True)
+        return pd.DataFrame({"node": node, "found": np.bincount(at, _joined(pdf["counts"], np.int32), len(node)).astype(np.int64)})
 
-    return entries.groupBy("part").applyInPandas(gather, "node long, wins binary, keys binary, counts binary")
+    dealt = _pack(docs, t, bits).groupBy("bucket").applyInPandas(find, "part int, nodes binary, counts binary")
+    found = dealt.groupBy("part").applyInPandas(gather, "node long, found long")
+    misses = F.floor(F.col("n") * (t.den - t.num) / t.den)
+    own = F.least(F.col("n"), misses + 1 + F.floor(misses / 2))
+    return known.join(found, "node").where(F.col("found") >= own - misses).select("node", "n", "rep")
 
 
-def _meeting(nodes: DataFrame, t: Threshold) -> DataFrame:
-    """(key, node, n, probe) of nodes with enough shared hashes: ``probe`` marks the hashes by which the node looks for partners, its rarest."""
+def _sets(docs: DataFrame, wanted: DataFrame, t: Threshold) -> DataFrame:
+    """(node, n, shingles, s0 to s3) of the wanted nodes (node, rep); the four numbers are parities of 256 hash classes."""
+    # Groups without any doc_id have the rep null: all texts without one are read for them.
+    ids = wanted.select("rep").distinct()
+    if wanted.count() <= MOST_BROADCAST:
+        ids = F.broadcast(ids)
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
             out = []
-            for node, n, wins, keys, counts in batch:
-                own = np.frombuffer(wins, np.uint8).astype(bool)
-                e, asked = t.misses(n), t.own(n)
-                found = int(own.sum())
-                if found < asked - e:
-                    continue
-                keys = np.frombuffer(keys, np.uint64).astype(np.int64)
-                rare = np.flatnonzero(own)[np.argsort(np.frombuffer(counts, np.uint32)[own], kind="stable")]
-                probe = np.zeros(len(keys), bool)
-                probe[rare[: e + 1 - (asked - found)]] = True
-                out += [(k, node, n, p) for k, p in zip(keys.tolist(), probe.tolist(), strict=True)]
-                if len(out) > 200_000:
-                    yield out
-                    out = []
+            for _, text in batch:
+                s = shingles(text, t.words)
+                odd = np.packbits((np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8))
+                out.append((node_of(s), len(s), s.tobytes(), *odd.view(np.int64).tolist()))
             yield out
 
-    return map_batches(nodes.select("node", "n", "wins", "keys", "counts"), "key long, node long, n long, probe boolean", run)
+    rows = map_batches(texts(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"), "node long, n long, shingles binary, s0 long, s1 long, s2 long, s3 long", run)
+    own = wanted.select("node")
+    own = F.broadcast(own) if wanted.count() <= MOST_BROADCAST else own
+    return materialize(rows.join(own, "node", "left_semi").dropDuplicates(["node"]), "zstd")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, t: Threshold) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, rep)."""
-    # Groups without any doc_id have the rep null: all texts without one are read for them.
-    ids = wanted.select("rep").distinct()
-    if wanted.count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
+def _rare_first(sets: DataFrame) -> DataFrame:
+    """(node, keys): the hashes of each node that other nodes have too, rare ones first (ties by hash)."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    bits = max(3, int(total // RANGE).bit_length())
+    parts = 1 << bits
 
-    def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+    def pack(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
-            sets = [shingles(text, t.words) for _, text in batch]
-            yield [(node_of(s), s.tobytes()) for s in sets]
+            out, held, size = [], [], 0
+            for k, (node, raw) in enumerate(batch):
+                held.append((node, np.frombuffer(raw, np.uint64)))
+                size += len(raw) // 8
+                if size > 4 * RANGE or k == len(batch) - 1:
+                    keys = (np.concatenate([s for _, s in held]) * _ODD) >> np.uint64(32 - bits)
+                    nodes = np.repeat(np.array([n for n, _ in held], np.int64), [len(s) for _, s in held])
+                    order = np.argsort(keys, kind="stable")
+                    keys, nodes = keys[order], nodes[order]
+                    bucket, low = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32)
+                    out += [(int(bucket[a]), low[a:b].tobytes(), nodes[a:b].tobytes()) for a, b in _spans(bucket)]
+                    held, size = [], 0
+            yield out
 
-    rows = map_batches(texts(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"), "node long, shingles binary", run)
-    return materialize(rows.dropDuplicates(["node"]), "none")
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, nodes = _joined(pdf["keys"], np.uint32), _joined(pdf.nodes, np.int64)
+        _, inverse, count = np.unique(low, return_inverse=True, return_counts=True)
+        each = count[inverse]
+        keys = low[each > 1].astype(np.uint64) | np.uint64(pdf.bucket.iloc[0]) << np.uint64(32)
+        return _by_part(nodes[each > 1], parts, {"keys": keys, "counts": each[each > 1].astype(np.uint32)})
 
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, nodes, counts = _joined(pdf["keys"], np.uint64), _joined(pdf.nodes, np.int64), _joined(pdf["counts"], np.uint32)
+        order = np.lexsort((keys, counts, nodes))
+        keys, nodes = keys[order], nodes[order]
+        spans = _spans(nodes)
+        return pd.DataFrame({"node": [nodes[a] for a, _ in spans], "keys": [keys[a:b].tobytes() for a, b in spans]})
 
-def _distances(pairs: DataFrame, sets: DataFrame, t: Threshold, own: bool = False) -> DataFrame:
-    """(a, b, distance, linked, own) for pairs of nodes (a, b), from their whole sets.
+    packed = map_batches(sets.select("node", "shingles"), "bucket int, keys binary, nodes binary", pack)
+    return packed.groupBy("bucket").applyInPandas(find, "part int, nodes binary, keys binary, counts binary").groupBy("part").applyInPandas(gather, "node long, keys binary")
 
-    ``own``, if asked for, has shingles of a that b lacks: all of them up to the
-    distance NEAR + r, beyond it those of a fixed quarter of all hashes.
-    """
-    far = NEAR + (t.den - t.num) / t.den + 1e-9
+
+def _prefixes(ranked: DataFrame, t: Threshold) -> DataFrame:
+    """(key, node, alone): the first e + 1 hashes of each node that can have a partner; ``alone`` counts the hashes that no other node has."""
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
-            out, held = [], 0
-            for a, b, x, y in batch:
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = np.intersect1d(x, y, assume_unique=True)
-                d = 1 - len(common) / (len(x) + len(y) - len(common))
-                rest = None
-                if own:
-                    rest = np.setdiff1d(x, common, assume_unique=True)
-                    rest = (rest if d <= far else rest[rest < QUARTER]).tobytes()
-                out.append((a, b, d, t.linked(len(common), len(x), len(y)), rest))
-                held += len(rest or b"")
-                if held > HELD:
+            out = []
+            for node, n, raw in batch:
+                alone, e = n - len(raw) // 8, t.misses(n)
+                if alone <= e:
+                    out += [(k, node, alone) for k in np.frombuffer(raw, np.int64)[: e + 1 - alone].tolist()]
+                if len(out) > 200_000:
                     yield out
-                    out, held = [], 0
+                    out = []
             yield out
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    if pairs.count() <= MOST_PAIRS:
-        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
-        pairs = F.broadcast(pairs)
-    both = left.join(pairs, "a").join(right, "b").select("a", "b", "x", "y")
-    return map_batches(both, "a long, b long, distance double, linked boolean, own binary", run)
+    return map_batches(ranked.select("node", "n", "keys"), "key long, node long, alone long", run)
 
 
-def _shed(rows: DataFrame, first: DataFrame, t: Threshold) -> DataFrame:
-    """``rows`` (pivot, node, n, distance, component, ...) with ``alone``, a node's shingles that no possible partner of another component has in its cell, without the nodes that this bars from any link in the cell.
+def _met(prefixes: DataFrame, n: DataFrame) -> DataFrame:
+    """(node, pivot, n, alone): the pivots that each node meets, itself left out. Shingles that very many nodes have come by broadcast, not in one task."""
+    rows = materialize(prefixes.join(n, "node"))
+    hot = max(HOT, rows.count() // 50_000)
+    share = F.floor(F.col("alone") * 100 / F.col("n"))
+    pivots = rows.groupBy("key").agg(F.min(F.struct(share, "node")).alias("p"), F.count("*").alias("m")).where("m > 1").select("key", F.col("p.node").alias("pivot"), "m")
+    pivots = materialize(pivots)
+    common = F.broadcast(pivots.where(F.col("m") > hot).select("key", "pivot"))
+    few = rows.join(common, "key", "left_anti").join(pivots.where(F.col("m") <= hot).select("key", "pivot"), "key")
+    met = rows.join(common, "key").select(*few.columns).unionByName(few).where("node <> pivot")
+    out = materialize(met.select("node", "pivot", "n", "alone").distinct())
+    discard(rows, pivots)
+    return out
 
-    ``first`` holds the nodes' shingles that the pivot lacks (see _distances).
-    Near nodes count all of them, as their partners list theirs in full; far
-    ones count those of the quarter that every node lists. Counted for shingles
-    that one or two nodes of a cell have: a lower bound, from one aggregation
-    that combines before the shuffle.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["pivot", "node", "component", "shingle"]
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common): how many shingles nodes share, from their whole sets."""
+
+    def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
-            ids = [batch.column(k).to_pylist() for k in range(3)]
-            held: list[np.ndarray] = []
-            begin = 0
-
-            def flush(end: int) -> pa.RecordBatch:
-                lengths = [len(x) for x in held]
-                told = [pa.array(np.repeat(np.array(c[begin:end]), lengths)) for c in ids]
-                return pa.RecordBatch.from_arrays([*told, pa.array(np.concatenate(held))], names)
-
-            for k, x in enumerate(batch.column(3).to_pylist()):
-                held.append(np.frombuffer(x, np.int64))
-                if sum(map(len, held)) > 100_000:
-                    yield flush(k + 1)
-                    held, begin = [], k + 1
-            if held:
-                yield flush(len(ids[0]))
-
-    listed = first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "own")
-    whole = rows.select("node", "pivot", "component").join(listed, ["node", "pivot"])
-    elements = whole.select("pivot", "node", "component", "own").mapInArrow(run, "pivot long, node long, component long, shingle long")
-    quarter = (F.col("shingle") >= 0) & (F.col("shingle") < F.lit(QUARTER))
-    holders = elements.groupBy("pivot", "shingle").agg(
-        F.count("*").alias("f"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi")
-    )
-    few = holders.where("f <= 2 and c_lo = c_hi").select("pivot", quarter.cast("long").alias("quarter"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("node"))
-    counts = few.groupBy("pivot", "node").agg(F.count("*").alias("all"), F.sum("quarter").alias("quarter"))
-    least = rows.groupBy("pivot").agg(F.min("n").alias("least"))
-    alone = F.coalesce(F.when(F.col("distance") <= NEAR, F.col("all")).otherwise(F.col("quarter")), F.lit(0).cast("long"))
-    both = rows.join(counts, ["pivot", "node"], "left").withColumn("alone", alone).drop("all", "quarter").join(least, "pivot")
-    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * t.num / t.den))
-    return both.where((F.col("n") - F.col("alone")) * (t.den + t.num) >= t.num * (F.col("n") + partner)).drop("least")
+            yield [(a, b, len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))) for a, b, x, y in batch]
+
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    pairs = pairs.select("a", "b")
+    if pairs.count() <= MOST_PAIRS:
+        right = right.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        own = F.broadcast(pairs)
+    else:
+        right = right.join(pairs.select("b").distinct(), "b", "left_semi")
+        own = pairs
+    both = left.join(own, "a")
+    bytes_ = right.agg(F.sum(F.octet_length("y") + 32)).first()[0] or 0
+    if bytes_ <= MOST_PIVOT_BYTES:
+        both = both.join(F.broadcast(right), "b")
+    else:
+        # A node with very many partners is copied to several tasks.
+        deal = pairs.groupBy("b").agg((F.floor(F.count("*") / HOT) + 1).cast("int").alias("deal"))
+        right = right.join(deal, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).drop("deal")
+        salted = pairs.join(deal, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("deal")).cast("int").alias("salt"))
+        salted = F.broadcast(salted) if pairs.count() <= MOST_PAIRS else salted
+        both = left.join(salted, "a").join(right, ["b", "salt"])
+    return map_batches(both.select("a", "b", "x", "y"), "a long, b long, common long", run)
 
 
 def _unlinked(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` with their component so far and the cell's size, without cells whose nodes are all linked."""
+    """``rows`` (pivot, node, ...) with their component so far and the region's size, without regions whose nodes are in one component."""
     own = rows.drop("component", "size").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     cells = own.groupBy("pivot").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
     return own.join(cells.where("lo <> hi").select("pivot", "size"), "pivot")
 
 
-def _central_first(rows: DataFrame) -> DataFrame:
-    """``rows`` with the turn -1 for the node of each cell that has the least share of shingles of its own: it links most others, and nodes that are linked are not compared again."""
-    least = rows.groupBy("pivot").agg(F.min_by("node", F.struct(F.col("alone") / F.col("n"), "turn", "node")).alias("central"))
-    return rows.join(least, "pivot").withColumn("turn", F.when(F.col("node") == F.col("central"), -1.0).otherwise(F.col("turn"))).drop("central")
+def _met_in_rings(left: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs (a, b) of a node and a further pivot (turn up to ``next``) of the same region that may link: see step 4.
+
+    ``lack`` is what a node lacks of the region's pivot.
+    """
+    most = F.floor(F.col("n") * (t.den - t.num) / t.num)  # differing shingles in the largest partner
+    reach = F.greatest(most - F.col("alone"), F.lit(0))
+    width = F.greatest(F.floor(F.col("n_pivot") * (t.den - t.num) / (t.num * RINGS)), F.lit(1))
+    names = ("node", "n", "alone", "lack", "turn", "component", "s0", "s1", "s2", "s3")
+    ringed = left.withColumn("width", width).withColumn("ring", F.floor(F.col("lack") / F.col("width")))
+    x = ringed.select("pivot", "ring", *[F.col(c).alias(f"{c}_x") for c in names])
+    lo, hi = F.floor(F.greatest(F.col("lack") - reach, F.lit(0)) / F.col("width")), F.floor((F.col("lack") + reach) / F.col("width"))
+    q = ringed.where("turn <= next").select("pivot", F.explode(F.sequence(lo, hi)).alias("ring"), *names)
+    most_apart = (F.col("n") + F.col("n_x")) * (t.den - t.num)  # over den + num
+    sketch = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_x"))) for i in range(4)), F.lit(0))
+    met = x.join(q, ["pivot", "ring"]).where(
+        ((F.col("turn_x") > F.col("turn")) | ((F.col("turn_x") == F.col("turn")) & (F.col("node_x") > F.col("node"))))
+        & (F.col("component_x") != F.col("component"))
+        & ((F.col("alone") + F.col("alone_x") + F.abs(F.col("lack") - F.col("lack_x"))) * (t.den + t.num) <= most_apart)
+        & (F.greatest(F.abs(F.col("n") - F.col("n_x")).cast("long"), sketch.cast("long")) * (t.den + t.num) <= most_apart)
+    )
+    return met.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
 
 
 def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
@@ -370,58 +382,39 @@ def links(docs: DataFrame, t: Threshold, known: DataFrame) -> DataFrame | None:
 
     ``known`` has (node, n, rep).
     """
-    e = F.floor(F.col("n") * (t.den - t.num) / t.num)
-    total = known.agg(F.sum(F.least(F.col("n"), e + F.floor(e / 2) + 1 + F.floor(F.col("n") * (t.den - t.num) / t.den)))).first()[0] or 0
-    bits = max(3, int(total // RANGE).bit_length())
-    near = _by_node(_shared(_pack(docs, t, bits), 1 << bits)).join(known, "node")
-    meeting = materialize(_meeting(near, t))
-    pivots = meeting.groupBy("key").agg(F.min("node").alias("pivot"), F.max("probe").alias("any"), F.count("*").alias("m")).where("any and m > 1")
-    cells = meeting.join(pivots.select("key", "pivot"), "key").groupBy("pivot", "node").agg(F.max("probe").alias("probe"), F.first("n").alias("n"))
-    cells = materialize(cells)
-    wanted = cells.select("node").distinct().join(known, "node").select("node", "rep")
-    sets = _sets(docs, materialize(wanted), t)
-    first = _distances(cells.where("pivot <> node").select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets, t, own=True)
-    first = materialize(first)
-    if first.isEmpty():
+    wanted = materialize(_candidates(docs, known, t))
+    sets = _sets(docs, wanted, t)
+    size = wanted.select("node", "n")
+    met = _met(_prefixes(_rare_first(sets).join(size, "node"), t), size)
+    if met.isEmpty():
         return None
-    near_cells = cells.join(first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance"), ["node", "pivot"], "left").fillna(0.0, ["distance"])
+    near = materialize(_common(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")), sets))
+    size_of = lambda c, name: size.select(F.col("node").alias(c), F.col("n").alias(name))
+    sketches = sets.select("node", "s0", "s1", "s2", "s3")
+    at = near.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "common")
+    rows = met.join(at, ["node", "pivot"]).join(size_of("pivot", "n_pivot"), "pivot").join(sketches, "node").withColumn("lack", F.col("n_pivot") - F.col("common"))
+    linked = lambda a, b: F.col("common") * t.den >= (F.col(a) + F.col(b) - F.col("common")) * t.num
     # Further pivots come in the order of a hash: "turn" in [0, 1), of which "until" has been used up.
     turn = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40)
-    rows = materialize(near_cells.where("pivot <> node").withColumn("turn", turn).withColumn("until", F.lit(0.0)))
-    found = materialize(first.where("linked").select("a", "b"))
-    discard(cells)
-    reach, pivots_each = (t.den - t.num) / t.den + 1e-9, 0
+    rows = materialize(rows.withColumn("turn", turn).withColumn("until", F.lit(0.0)))
+    found = materialize(rows.where(linked("n", "n_pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    discard(met, near)
+    pivots_each = MORE_PIVOTS
     while True:
         comps = materialize(components(found))
         left = _unlinked(rows, comps)
-        every = materialize(left)
-        large = F.col("size") > (LARGE if pivots_each else SMALL)
-        rest = every.where(~large) if pivots_each else every.where(~large).withColumn("alone", F.lit(0).cast("long"))
-        shed = materialize(_shed(every.where(large).drop("alone"), first, t).unionByName(rest))
-        still = materialize(_unlinked(shed, comps))
-        left = _central_first(still)
         left = materialize(left.withColumn("next", F.col("until") + (1 - F.col("until")) * pivots_each / F.col("size")))
-        discard(rows, comps, every, shed, still)
+        discard(rows, comps)
         if left.isEmpty():
+            discard(sets, wanted, left)
             return found
-        names = ("node", "n", "probe", "distance", "turn", "component", "alone")
-        x = left.select("pivot", F.pmod(F.hash("node"), F.lit(PARTS)).alias("part"), *[F.col(c).alias(f"{c}_x") for c in names])
-        q = left.where("turn <= next").select("pivot", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), *names)
-        met = x.join(
-            q,
-            (x.pivot == q.pivot) & (x.part == q.part)
-            & ((x.turn_x > q.turn) | ((x.turn_x == q.turn) & (x.node_x > q.node)))
-            & (x.component_x != q.component) & (x.probe_x | q.probe)
-            & (F.abs(x.distance_x - q.distance) <= reach)
-            & (F.least(x.n_x, q.n) * t.den >= F.greatest(x.n_x, q.n) * t.num)
-            & (F.least(x.n_x - x.alone_x, q.n - q.alone) * (t.den + t.num) >= (x.n_x + q.n) * t.num),
-        )
-        pairs = materialize(met.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct())
-        more = materialize(_distances(pairs, sets, t).where("linked").select("a", "b"))
+        pairs = materialize(_met_in_rings(left, t))
+        both = _common(pairs, sets).join(size_of("a", "n_a"), "a").join(size_of("b", "n_b"), "b")
+        more = materialize(both.where(linked("n_a", "n_b")).select("a", "b"))
         found = found.union(more)
         rows = materialize(left.where("turn > next").withColumn("until", F.col("next")).drop("next"))
         discard(pairs, left)
-        pivots_each = max(1, pivots_each) * MORE_PIVOTS
+        pivots_each *= MORE_PIVOTS
 
 
 def jaccard_components(docs: DataFrame, t: Threshold = Threshold()) -> DataFrame:
