@@ -86,6 +86,18 @@ def digest_unit(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+#: Bytes of Arrow data that a Python worker turns into tuples at a time.
+SLICE = 8 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about SLICE bytes: Arrow counts rows, and texts may be long."""
+    for b in batches:
+        step = max(1, int(b.num_rows * SLICE / max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[list[tuple]]], Iterator[list[tuple]]]) -> DataFrame:
     """``mapInArrow`` on lists of plain tuples: nulls stay None and long numbers stay exact."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -93,7 +105,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[list[tuple]]]
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (list(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in batches)
+        rows = (list(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in _slices(batches))
         for out in fn(rows):
             if out:
                 columns = list(zip(*out, strict=True))

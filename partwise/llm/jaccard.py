@@ -46,6 +46,8 @@ from partwise.llm.components import components
 
 #: Packed hash ranges hold about so many hashes.
 RANGE = 1 << 19
+#: Packed rows hold so many hashes at most.
+ROW = 1 << 15
 #: Up to so many representatives are broadcast (8 bytes each); beyond it the join shuffles.
 MOST_BROADCAST = 500_000
 #: Up to so many pairs are broadcast (16 bytes each), so that the sets stay where they are.
@@ -53,7 +55,7 @@ MOST_PAIRS = 200_000
 #: Sets of pivots up to this size (bytes) in all are broadcast.
 MOST_PIVOT_BYTES = 8 << 20
 #: So many further pivots come from a region in the first round, and so many times more in each later one.
-MORE_PIVOTS = 16
+MORE_PIVOTS = 64
 #: Shingles or pivots that meet more nodes than this are dealt to several tasks.
 HOT = 1_000
 #: Rings in the largest distance at which partners can be.
@@ -106,12 +108,13 @@ def node_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _spans(v: np.ndarray) -> list[tuple[int, int]]:
-    """Begin and end of each run of equal values."""
+def _spans(v: np.ndarray, most: int | None = None) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values; longer runs than ``most`` come in pieces."""
     if not len(v):
         return []
     edges = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))).tolist()
-    return list(zip(edges, [*edges[1:], len(v)], strict=True))
+    spans = zip(edges, [*edges[1:], len(v)], strict=True)
+    return list(spans) if most is None else [(k, min(k + most, b)) for a, b in spans for k in range(a, b, most)]
 
 
 def sizes(docs: DataFrame, t: Threshold) -> DataFrame:
@@ -149,7 +152,7 @@ def _pack(docs: DataFrame, t: Threshold, bits: int) -> DataFrame:
         def split(kind: int, w: int, k: np.ndarray, n: np.ndarray | None) -> Iterator[tuple]:
             bucket = (k >> np.uint64(32)).astype(np.int64)
             low = k.astype(np.uint32)
-            for a, b in _spans(bucket):
+            for a, b in _spans(bucket, ROW):
                 yield int(bucket[a]), kind, w, low[a:b].tobytes(), (n[a:b].tobytes() if n is not None else b""), b""
 
         for w in (0, 1):
@@ -180,7 +183,7 @@ def _by_part(node: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> pd
     """The arrays cut into one row for each part that the nodes fall into."""
     part = (node % parts).astype(np.int32)
     order = np.argsort(part, kind="stable")
-    spans = _spans(part[order])
+    spans = _spans(part[order], ROW)
     cut = {name: v[order] for name, v in {"nodes": node, **columns}.items()}
     return pd.DataFrame({"part": [part[order[a]] for a, _ in spans]} | {name: [v[a:b].tobytes() for a, b in spans] for name, v in cut.items()})
 
@@ -261,7 +264,7 @@ def _rare_first(sets: DataFrame) -> DataFrame:
                     order = np.argsort(keys, kind="stable")
                     keys, nodes = keys[order], nodes[order]
                     bucket, low = (keys >> np.uint64(32)).astype(np.int64), keys.astype(np.uint32)
-                    out += [(int(bucket[a]), low[a:b].tobytes(), nodes[a:b].tobytes()) for a, b in _spans(bucket)]
+                    out += [(int(bucket[a]), low[a:b].tobytes(), nodes[a:b].tobytes()) for a, b in _spans(bucket, ROW)]
                     held, size = [], 0
             yield out
 

@@ -9,9 +9,11 @@ needs many, and a fiftieth of all positions is sampled.
 1. Sampled grams are named by hash, sorted by name in packed ranges, and names
    that stand once are left out: no string with such a gram can repeat.
 2. The other suffixes are merged in at their sampled position: each sampled
-   occurrence brings the strings whose cover position it is.
-3. Strings of one name, place and content stand next to each other after the
-   sort; a string that equals its neighbour is marked.
+   occurrence brings the strings whose cover position it is, dealt by the name
+   and 50 more bytes (those after the gram for strings that start near it, those
+   before it for the others), so that a popular gram is split by its contexts.
+3. Strings of one name, place and hash stand next to each other after the sort;
+   neighbours are compared byte by byte, and equal ones are marked.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ LENGTH = 200
 GRAM = 100
 #: A string's cover position lies among so many grams.
 SPAN = LENGTH - GRAM + 1
-#: Packed ranges hold about so many sampled grams.
-RANGE = 1 << 19
+#: Bytes of context by which the strings of a gram are dealt.
+HALF = 50
+#: Packed ranges hold about so many sampled grams, packed rows so many at most.
+RANGE, ROW = 1 << 19, 1 << 15
 #: Bytes of strings that are sorted together.
-SORTED = 6 << 20
+SORTED = 4 << 20
 #: A table of sampled places up to this size (bytes) is broadcast; a larger one is joined by shuffle.
-MOST_BROADCAST = 64 << 20
+MOST_BROADCAST = 16 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,11 +114,12 @@ def members(docs: DataFrame) -> DataFrame:
     return map_batches(texts(docs), "doc_id long, n long, node long", run)
 
 
-def _spans(v: np.ndarray) -> list[tuple[int, int]]:
+def _spans(v: np.ndarray, most: int = ROW) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values, in pieces of ``most``."""
     if not len(v):
         return []
     edges = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))).tolist()
-    return list(zip(edges, [*edges[1:], len(v)], strict=True))
+    return [(k, min(k + most, b)) for a, b in zip(edges, [*edges[1:], len(v)], strict=True) for k in range(a, b, most)]
 
 
 _PACKED = "bucket int, kind int, keys binary, nodes binary, places binary"
@@ -136,8 +141,8 @@ def _sample(docs: DataFrame, bits: int) -> DataFrame:
             for a, b in _spans((k >> np.uint64(32)).astype(np.int64)):
                 yield int(k[a] >> np.uint64(32)), kind, k[a:b].astype(np.uint32).tobytes(), n[a:b].tobytes() if kind == 0 else b"", p[a:b].tobytes() if kind == 0 else b""
         n, p = node[~once], place[~once]
-        for a in range(0, len(n), RANGE):
-            yield int(n[a] % (1 << bits)), 1, b"", n[a : a + RANGE].tobytes(), p[a : a + RANGE].tobytes()
+        for a in range(0, len(n), ROW):
+            yield int(n[a] % (1 << bits)), 1, b"", n[a : a + ROW].tobytes(), p[a : a + ROW].tobytes()
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
@@ -184,7 +189,7 @@ def _repeated_places(packed: DataFrame, parts: int) -> DataFrame:
         node, place = np.frombuffer(b"".join(pdf.nodes), np.int64), np.frombuffer(b"".join(pdf.places), np.int32)
         order = np.lexsort((place, node))
         node, place = node[order], place[order]
-        spans = _spans(node)
+        spans = _spans(node, len(node) or 1)
         return pd.DataFrame({"node": [node[a] for a, _ in spans], "places": [np.unique(place[a:b]).tobytes() for a, b in spans]})
 
     dealt = packed.groupBy("bucket").applyInPandas(find, "part int, nodes binary, places binary")
@@ -197,6 +202,7 @@ _STRINGS = "bucket int, first int, last int, bytes binary, nodes binary, places
 def _strings(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     """Sampled places with repeated names: the starts (before the place) that each covers, and the bytes of their strings.
 
+    Starts up to HALF before the place and starts further off come in two rows.
     Places of a batch that agree in all this share a row.
     """
 
@@ -205,12 +211,19 @@ def _strings(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
             rows: dict[tuple, list] = {}
             for text, node, places in batch:
                 raw = text.encode()
-                h, found = cover(np.frombuffer(raw, np.uint8))
+                data = np.frombuffer(raw, np.uint8)
+                h, found = cover(data)
+                beside = window_hashes(data, HALF)
                 at = np.frombuffer(places, np.int32)
                 # A place's starts are one run: places do not go back as starts go on.
                 begin, end = np.searchsorted(found, at, "left"), np.searchsorted(found, at, "right")
-                for p, lo, hi, b in zip(at.tolist(), begin.tolist(), end.tolist(), (h[at] % np.uint64(buckets)).tolist(), strict=True):
-                    rows.setdefault((b, p - lo, p - hi + 1, raw[lo : hi - 1 + LENGTH]), []).append((node, p))
+                middle = np.clip(at - HALF, begin, end)
+                for lo, hi, side in ((begin, middle, at - HALF), (middle, end, at + GRAM)):
+                    own = lo < hi
+                    lo, hi, p = lo[own], hi[own], at[own]
+                    bucket = ((h[p] * _ODD ^ beside[side[own]]) % np.uint64(buckets)).tolist()
+                    for q, a, b, k in zip(p.tolist(), lo.tolist(), hi.tolist(), bucket, strict=True):
+                        rows.setdefault((k, q - a, q - b + 1, raw[a : b - 1 + LENGTH]), []).append((node, q))
             out = []
             for key, refs in rows.items():
                 nodes, at = zip(*refs, strict=True)
@@ -223,6 +236,29 @@ def _strings(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
     return map_batches(texts(docs).join(ids, "doc_id").select("text", "node", "places"), _STRINGS, run)
 
 
+def _equal_neighbours(raw: bytes, at: np.ndarray, row: np.ndarray, offset: np.ndarray, h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which strings equal another one: ``order`` sorts them by offset and hash, and neighbours are compared in runs of starts."""
+    mark = np.zeros(len(at), bool)
+    k = np.flatnonzero((h[order][1:] == h[order][:-1]) & (offset[order][1:] == offset[order][:-1]))
+    one, two = order[k], order[k + 1]
+    turn = np.lexsort((-offset[one], row[two], row[one]))
+    one, two = one[turn], two[turn]
+    go = (row[one][1:] == row[one][:-1]) & (row[two][1:] == row[two][:-1]) & (offset[one][1:] == offset[one][:-1] - 1)
+    edge = np.flatnonzero(np.concatenate(([True], ~go))) if len(one) else np.zeros(0, np.int64)
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(one)], strict=True):
+        x, y, n = int(at[one[a]]), int(at[two[a]]), b - a - 1 + LENGTH
+        if raw[x : x + n] == raw[y : y + n]:
+            mark[one[a:b]] = mark[two[a:b]] = True
+        else:  # strings of equal hash that differ: all of that hash and offset are told apart by their bytes
+            for i in one[a:b].tolist():
+                same: dict[bytes, list[int]] = {}
+                for j in np.flatnonzero((h == h[i]) & (offset == offset[i])).tolist():
+                    same.setdefault(raw[at[j] : at[j] + LENGTH], []).append(j)
+                for found in same.values():
+                    mark[found] |= len(found) > 1
+    return mark
+
+
 def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
     """(node, start, stop): runs of strings that another place has too.
 
@@ -231,17 +267,14 @@ def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
     """
     first, last = pdf["first"].to_numpy(np.int64), pdf["last"].to_numpy(np.int64)
     size, lengths = first - last + 1, pdf["bytes"].map(len).to_numpy(np.int64)
-    raw = np.frombuffer(b"".join(pdf["bytes"]), np.uint8)
+    whole = b"".join(pdf["bytes"])
     row = np.repeat(np.arange(len(pdf)), size)
     step = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size)
-    h = window_hashes(raw, LENGTH)[(lengths.cumsum() - lengths)[row] + step]
+    at = (lengths.cumsum() - lengths)[row] + step
+    h = window_hashes(np.frombuffer(whole, np.uint8), LENGTH)[at]
     offset = first[row] - step
-    order = np.lexsort((h, offset))
-    same = (h[order][1:] == h[order][:-1]) & (offset[order][1:] == offset[order][:-1])
     refs = pdf.places.map(len).to_numpy(np.int64) // 4
-    mark = refs[row] > 1
-    mark[order[1:][same]] = True
-    mark[order[:-1][same]] = True
+    mark = (refs[row] > 1) | _equal_neighbours(whole, at, row, offset, h, np.lexsort((h, offset)))
     o, r = offset[mark], row[mark]
     edge = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1] - 1)))) if len(r) else np.zeros(0, np.int64)
     end = np.append(edge[1:], len(r))[: len(edge)] - 1
