@@ -9,11 +9,13 @@ needs many, and a fiftieth of all positions is sampled.
 1. Sampled grams are named by hash, sorted by name in packed ranges, and names
    that stand once are left out: no string with such a gram can repeat.
 2. The other suffixes are merged in at their sampled position: each sampled
-   occurrence brings the strings whose cover position it is, dealt by the name
-   and 50 more bytes (those after the gram for strings that start near it, those
-   before it for the others), so that a popular gram is split by its contexts.
-3. Strings of one name, place and hash stand next to each other after the sort;
-   neighbours are compared byte by byte, and equal ones are marked.
+   occurrence brings the block of strings whose cover position it is. Blocks that
+   stand more than once (inside repeated passages) are told by a digest.
+3. Where a name has different blocks (at the ends of passages), one occurrence of
+   each brings its bytes, dealt by the name and 50 more bytes (those after the
+   gram for strings that start near it, those before it for the others), so that
+   a popular gram is split by its contexts. Strings of one name, place and hash
+   stand next to each other after the sort; neighbours are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partwise.llm.common import map_batches, materialize, texts
+from partwise.llm.common import discard, map_batches, materialize, texts
 
 LENGTH = 200
 GRAM = 100
@@ -40,6 +42,8 @@ RANGE, ROW = 1 << 19, 1 << 15
 SORTED = 4 << 20
 #: A table of sampled places up to this size (bytes) is broadcast; a larger one is joined by shuffle.
 MOST_BROADCAST = 16 << 20
+#: Up to so many document numbers are broadcast (8 bytes each) to leave the other texts where they are.
+MOST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,13 +200,32 @@ def _repeated_places(packed: DataFrame, parts: int) -> DataFrame:
     return dealt.groupBy("part").applyInPandas(gather, "node long, places binary")
 
 
-_STRINGS = "bucket int, first int, last int, bytes binary, nodes binary, places binary"
+def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, and the columns of ``wanted``) for the documents that ``wanted`` (doc_id, ...) names, each once."""
+    own = F.octet_length("places") if "places" in wanted.columns else F.size("items") * 16
+    size = wanted.agg(F.sum(own + 24), F.count("*")).first()
+    if (size[0] or 0) <= MOST_BROADCAST:
+        return docs.join(F.broadcast(wanted), "doc_id")
+    if size[1] <= MOST_IDS:  # texts that no one asks for stay where they are
+        docs = docs.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
+    return docs.join(wanted, "doc_id")
 
 
-def _strings(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
-    """Sampled places with repeated names: the starts (before the place) that each covers, and the bytes of their strings.
+def _runs_of(text: str, places: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, places, first start, end of starts, names): the starts whose cover position each place is."""
+    raw = text.encode()
+    h, found = cover(np.frombuffer(raw, np.uint8))
+    at = np.frombuffer(places, np.int32)
+    # A place's starts are one run: places do not go back as starts go on.
+    return raw, at, np.searchsorted(found, at, "left"), np.searchsorted(found, at, "right"), h[at].view(np.int64)
+
+
+_BLOCKS = "name long, first int, last int, digest binary, n long, node long, place int, nodes binary, places binary"
+
+
+def _blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Sampled places with repeated names: the starts (before the place) that each covers, and a digest of the bytes of all their strings.
 
-    Starts up to HALF before the place and starts further off come in two rows.
     Places of a batch that agree in all this share a row.
     """
 
@@ -210,41 +233,54 @@ def _strings(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             rows: dict[tuple, list] = {}
             for text, node, places in batch:
-                raw = text.encode()
-                data = np.frombuffer(raw, np.uint8)
-                h, found = cover(data)
-                beside = window_hashes(data, HALF)
-                at = np.frombuffer(places, np.int32)
-                # A place's starts are one run: places do not go back as starts go on.
-                begin, end = np.searchsorted(found, at, "left"), np.searchsorted(found, at, "right")
+                raw, at, begin, end, names = _runs_of(text, places)
+                for p, lo, hi, name in zip(at.tolist(), begin.tolist(), end.tolist(), names.tolist(), strict=True):
+                    digest = hashlib.blake2b(raw[lo : hi - 1 + LENGTH], digest_size=16).digest()
+                    rows.setdefault((name, p - lo, p - hi + 1, digest), []).append((node, p))
+            yield [(*key, len(refs), *min(refs), np.array([n for n, _ in refs], np.int64).tobytes(), np.array([p for _, p in refs], np.int32).tobytes()) for key, refs in rows.items()]
+
+    return map_batches(_fetch(docs, wanted).select("text", "node", "places"), _BLOCKS, run)
+
+
+_STRINGS = "bucket int, first int, last int, bytes binary, node long, place int, alone boolean"
+
+
+def _strings(docs: DataFrame, wanted: DataFrame, buckets: int) -> DataFrame:
+    """The bytes of one place of each block that shares its name with other blocks.
+
+    Starts up to HALF before the place and starts further off come in two rows.
+    """
+
+    def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+        for batch in batches:
+            out = []
+            for text, node, items in batch:
+                raw, at, begin, end, names = _runs_of(text, np.array([x["place"] for x in items], np.int32).tobytes())
+                single = np.array([x["alone"] for x in items], bool)
+                beside = window_hashes(np.frombuffer(raw, np.uint8), HALF)
                 middle = np.clip(at - HALF, begin, end)
                 for lo, hi, side in ((begin, middle, at - HALF), (middle, end, at + GRAM)):
                     own = lo < hi
                     lo, hi, p = lo[own], hi[own], at[own]
-                    bucket = ((h[p] * _ODD ^ beside[side[own]]) % np.uint64(buckets)).tolist()
-                    for q, a, b, k in zip(p.tolist(), lo.tolist(), hi.tolist(), bucket, strict=True):
-                        rows.setdefault((k, q - a, q - b + 1, raw[a : b - 1 + LENGTH]), []).append((node, q))
-            out = []
-            for key, refs in rows.items():
-                nodes, at = zip(*refs, strict=True)
-                out.append((*key, np.array(nodes, np.int64).tobytes(), np.array(at, np.int32).tobytes()))
+                    bucket = ((names[own].view(np.uint64) * _ODD ^ beside[side[own]]) % np.uint64(buckets)).tolist()
+                    for q, a, b, k, x in zip(p.tolist(), lo.tolist(), hi.tolist(), bucket, single[own].tolist(), strict=True):
+                        out.append((k, q - a, q - b + 1, raw[a : b - 1 + LENGTH], node, q, x))
             yield out
 
-    ids = wanted.select("doc_id", "node", "places")
-    if (wanted.agg(F.sum(F.octet_length("places") + 16)).first()[0] or 0) <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
-    return map_batches(texts(docs).join(ids, "doc_id").select("text", "node", "places"), _STRINGS, run)
+    return map_batches(_fetch(docs, wanted).select("text", "node", "items"), _STRINGS, run)
 
 
 def _equal_neighbours(raw: bytes, at: np.ndarray, row: np.ndarray, offset: np.ndarray, h: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Which strings equal another one: ``order`` sorts them by offset and hash, and neighbours are compared in runs of starts."""
     mark = np.zeros(len(at), bool)
     k = np.flatnonzero((h[order][1:] == h[order][:-1]) & (offset[order][1:] == offset[order][:-1]))
+    if not len(k):
+        return mark
     one, two = order[k], order[k + 1]
     turn = np.lexsort((-offset[one], row[two], row[one]))
     one, two = one[turn], two[turn]
     go = (row[one][1:] == row[one][:-1]) & (row[two][1:] == row[two][:-1]) & (offset[one][1:] == offset[one][:-1] - 1)
-    edge = np.flatnonzero(np.concatenate(([True], ~go))) if len(one) else np.zeros(0, np.int64)
+    edge = np.flatnonzero(np.concatenate(([True], ~go)))
     for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(one)], strict=True):
         x, y, n = int(at[one[a]]), int(at[two[a]]), b - a - 1 + LENGTH
         if raw[x : x + n] == raw[y : y + n]:
@@ -260,7 +296,7 @@ def _equal_neighbours(raw: bytes, at: np.ndarray, row: np.ndarray, offset: np.nd
 
 
 def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(node, start, stop): runs of strings that another place has too.
+    """(node, start, stop): runs of strings of blocks that stand alone and that another block has too.
 
     Equal strings have the same name and the same offset to their place: the
     sort brings them together, and neighbours are compared.
@@ -273,29 +309,53 @@ def _marks(pdf: pd.DataFrame) -> pd.DataFrame:
     at = (lengths.cumsum() - lengths)[row] + step
     h = window_hashes(np.frombuffer(whole, np.uint8), LENGTH)[at]
     offset = first[row] - step
-    refs = pdf.places.map(len).to_numpy(np.int64) // 4
-    mark = (refs[row] > 1) | _equal_neighbours(whole, at, row, offset, h, np.lexsort((h, offset)))
+    mark = _equal_neighbours(whole, at, row, offset, h, np.lexsort((h, offset))) & pdf.alone.to_numpy(bool)[row]
     o, r = offset[mark], row[mark]
     edge = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1] - 1)))) if len(r) else np.zeros(0, np.int64)
     end = np.append(edge[1:], len(r))[: len(edge)] - 1
-    # Each run counts for all places that share the row.
-    times = refs[r[edge]]
-    which = np.repeat(np.arange(len(edge)), times)
-    at = (refs.cumsum() - refs)[r[edge]][which] + np.arange(times.sum()) - np.repeat(times.cumsum() - times, times)
-    node, place = np.frombuffer(b"".join(pdf.nodes), np.int64)[at], np.frombuffer(b"".join(pdf.places), np.int32)[at].astype(np.int64)
-    return pd.DataFrame({"node": node, "start": (place - o[edge][which]).astype(np.int32), "stop": (place - o[end][which] + LENGTH).astype(np.int32)})
+    node, place = pdf.node.to_numpy(np.int64)[r[edge]], pdf.place.to_numpy(np.int64)[r[edge]]
+    return pd.DataFrame({"node": node, "start": (place - o[edge]).astype(np.int32), "stop": (place - o[end] + LENGTH).astype(np.int32)})
+
+
+def _whole(rows: DataFrame) -> DataFrame:
+    """(node, start, stop) of all places of blocks that stand more than once."""
+
+    def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+        for batch in batches:
+            out = []
+            for first, last, nodes, places in batch:
+                p = np.frombuffer(places, np.int32)
+                out += zip(np.frombuffer(nodes, np.int64).tolist(), (p - first).tolist(), (p - last + LENGTH).tolist(), strict=True)
+            yield out
+
+    return map_batches(rows.select("first", "last", "nodes", "places"), "node long, start int, stop int", run)
 
 
 def repeated_spans(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(node, spans): the removed runs of each text, as packed pairs of int32 (start, stop), not yet for whole copies."""
+    """(node, spans): the removed runs of each text, as packed pairs of int32 (start, stop), not yet for whole copies.
+
+    Blocks that stand more than once are told by their digests. Bytes move for
+    one place of each block, and only where its name has other blocks too: at
+    the ends of repeated passages.
+    """
     total = known.agg(F.sum("n")).first()[0] or 0
     bits = max(3, int(total // 50 // RANGE).bit_length())
     places = _repeated_places(_sample(docs, bits), 1 << bits)
     wanted = materialize(places.join(known, "node").select(F.col("rep").alias("doc_id"), "node", "places"))
-    sampled = wanted.agg(F.sum(F.octet_length("places") / 4)).first()[0] or 0
-    buckets = max(16, int(sampled * (LENGTH + SPAN / 2) / SORTED))
-    runs = _strings(docs, wanted, buckets).groupBy("bucket").applyInPandas(_marks, "node long, start int, stop int")
-    return runs.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    rows = materialize(_blocks(docs, wanted))
+    key = ["name", "first", "last", "digest"]
+    each = materialize(rows.groupBy(*key).agg(F.sum("n").alias("times"), F.min(F.struct("node", "place")).alias("at")))
+    several = each.groupBy("name").agg(F.count("*").alias("blocks"), F.count_if(F.col("times") == 1).alias("single")).where("blocks > 1 and single > 0").select("name")
+    asked = each.join(several, "name", "left_semi").select("at.node", "at.place", (F.col("times") == 1).alias("alone"))
+    packed = asked.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "alone"))).alias("items"))
+    again = materialize(packed.join(known, "node").select(F.col("rep").alias("doc_id"), "node", "items"))
+    sampled = again.agg(F.sum(F.size("items"))).first()[0] or 0
+    buckets = max(16, int(sampled * 2 * (LENGTH + SPAN / 2) / SORTED))
+    edges = _strings(docs, again, buckets).groupBy("bucket").applyInPandas(_marks, "node long, start int, stop int")
+    runs = _whole(rows.join(each.where("times > 1").select(*key), key, "left_semi")).union(edges)
+    out = materialize(runs.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans")))
+    discard(wanted, rows, each, again)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -316,9 +376,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     told = all_members.join(per_node, ["node", "n"]).where((F.col("n") >= LENGTH) & ((F.col("copies") > 1) | F.col("spans").isNotNull()))
     told = told.select("doc_id", F.when(F.col("copies") == 1, F.col("spans")).alias("spans"), F.lit(True).alias("told")).dropDuplicates(["doc_id"])
     told = materialize(told)
-    if (told.agg(F.sum(F.coalesce(F.size("spans"), F.lit(0)) * 8 + 16)).first()[0] or 0) <= MOST_BROADCAST:
-        told = F.broadcast(told)
-    rows = docs.join(told, "doc_id", "left")
+    size = told.agg(F.sum(F.coalesce(F.size("spans"), F.lit(0)) * 8 + 24), F.count("*")).first()
+    if (size[0] or 0) <= MOST_BROADCAST:
+        rows = docs.join(F.broadcast(told), "doc_id", "left")
+    elif size[1] <= MOST_IDS:
+        ids = F.broadcast(told.select("doc_id"))
+        rest = docs.join(ids, "doc_id", "left_anti").withColumns({"spans": F.lit(None).cast(told.schema["spans"].dataType), "told": F.lit(None).cast("boolean")})
+        rows = docs.join(ids, "doc_id", "left_semi").join(told, "doc_id").unionByName(rest)
+    else:
+        rows = docs.join(told, "doc_id", "left")
 
     def cut(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
