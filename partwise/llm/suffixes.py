@@ -40,8 +40,6 @@ HALF = 50
 RANGE, ROW = 1 << 19, 1 << 15
 #: Bytes of strings that are sorted together.
 SORTED = 4 << 20
-#: A table of sampled places up to this size (bytes) is broadcast; a larger one is joined by shuffle.
-MOST_BROADCAST = 16 << 20
 #: Up to so many document numbers are broadcast (8 bytes each) to leave the other texts where they are.
 MOST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -202,11 +200,7 @@ def _repeated_places(packed: DataFrame, parts: int) -> DataFrame:
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(text, and the columns of ``wanted``) for the documents that ``wanted`` (doc_id, ...) names, each once."""
-    own = F.octet_length("places") if "places" in wanted.columns else F.size("items") * 16
-    size = wanted.agg(F.sum(own + 24), F.count("*")).first()
-    if (size[0] or 0) <= MOST_BROADCAST:
-        return docs.join(F.broadcast(wanted), "doc_id")
-    if size[1] <= MOST_IDS:  # texts that no one asks for stay where they are
+    if wanted.count() <= MOST_IDS:  # texts that no one asks for stay where they are
         docs = docs.join(F.broadcast(wanted.select("doc_id")), "doc_id", "left_semi")
     return docs.join(wanted, "doc_id")
 
@@ -376,10 +370,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     told = all_members.join(per_node, ["node", "n"]).where((F.col("n") >= LENGTH) & ((F.col("copies") > 1) | F.col("spans").isNotNull()))
     told = told.select("doc_id", F.when(F.col("copies") == 1, F.col("spans")).alias("spans"), F.lit(True).alias("told")).dropDuplicates(["doc_id"])
     told = materialize(told)
-    size = told.agg(F.sum(F.coalesce(F.size("spans"), F.lit(0)) * 8 + 24), F.count("*")).first()
-    if (size[0] or 0) <= MOST_BROADCAST:
-        rows = docs.join(F.broadcast(told), "doc_id", "left")
-    elif size[1] <= MOST_IDS:
+    if told.count() <= MOST_IDS:
         ids = F.broadcast(told.select("doc_id"))
         rest = docs.join(ids, "doc_id", "left_anti").withColumns({"spans": F.lit(None).cast(told.schema["spans"].dataType), "told": F.lit(None).cast("boolean")})
         rows = docs.join(ids, "doc_id", "left_semi").join(told, "doc_id").unionByName(rest)
