@@ -74,12 +74,15 @@ def clean_name(name: Column) -> Column:
     return F.when(ext != "", F.concat(base, F.lit("_clean."), ext)).otherwise(F.concat(F.when(base != "", base).otherwise(safe), F.lit("_clean")))
 
 
+#: What errors of corrupt files contain.
+CORRUPT = ("invalid segment length", "invalid scan segment length", "truncated", "file too small", "not a valid")
+
+
 def friendly_error(file_type: Column, message: Column) -> Column:
-    """What a reader of the report sees for an error."""
+    """What a reader of the report sees for an error (fixed texts)."""
     low, label = F.lower(message), type_label(file_type)
-    corrupt = ("invalid segment length", "invalid scan segment length", "truncated", "file too small", "not a valid")
     any_of = F.lit(False)
-    for c in corrupt:
+    for c in CORRUPT:
         any_of = any_of | low.contains(c)
     return (
         F.when(low.contains("legacy binary office"), message)

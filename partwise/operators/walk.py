@@ -3,235 +3,109 @@
 One pass over the bytes of each file turns it into an array of parts; what the
 parts mean, which ones stay and how they are joined again are expressions over
 that array (see ``entries`` and ``clean``), so no file's bytes are shuffled.
+Bytes of image and sound data never leave the pass.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-#: sub: the part lies inside the one before and takes no part in joining.
-PARTS = "array<struct<ord:int,kind:string,offset:long,size:long,head:int,sub:boolean,raw:binary>>"
-
-Part = tuple[str, int, int, int, bool]
-
-
-class Damaged(ValueError):
-    """The container breaks its format's rules; the text says how."""
-
-
-def jpeg(b: bytes) -> Iterator[Part]:
-    """Segments, the coded scan, the end marker, and what trails."""
-    if len(b) < 4:
-        raise Damaged("File too small")
-    if b[:2] != b"\xff\xd8":
-        raise Damaged("Not a valid JPEG file")
-    yield "SOI", 0, 2, 2, False
-    at = 2
-    while at + 2 <= len(b):
-        if b[at] != 0xFF or b[at + 1] == 0xFF:
-            at += 1
-            continue
-        mark = b[at + 1]
-        if mark == 0xD9:
-            yield "EOI", at, 2, 2, False
-            if at + 2 < len(b):
-                yield "TRAILING", at + 2, len(b) - at - 2, 0, False
-            return
-        if mark in (0, 1) or 0xD0 <= mark <= 0xD7:
-            at += 2
-            continue
-        if at + 4 > len(b):
-            raise Damaged("Truncated JPEG segment")
-        size = 2 + int.from_bytes(b[at + 2 : at + 4])
-        if size < 4 or at + size > len(b):
-            raise Damaged("Invalid segment length")
-        if mark == 0xDA:
-            end = at + size
-            while True:
-                end = b.find(b"\xff", end)
-                if end < 0 or end + 1 >= len(b):
-                    raise Damaged("JPEG missing EOI marker")
-                if b[end + 1] not in (0, 0xFF) and not 0xD0 <= b[end + 1] <= 0xD7:
-                    break
-                end += 1 if b[end + 1] == 0xFF else 2
-            size = end - at
-        yield f"FF{mark:02X}", at, size, 4, False
-        at += size
-    raise Damaged("JPEG missing EOI marker")
-
-
-def png(b: bytes) -> Iterator[Part]:
-    """Chunks with their checksums, and what trails."""
-    if b[:8] != b"\x89PNG\r\n\x1a\n":
-        raise Damaged("Not a valid PNG file")
-    yield "SIGNATURE", 0, 8, 8, False
-    at, kind = 8, ""
-    while kind != "IEND":
-        if at + 12 > len(b):
-            raise Damaged("PNG missing IEND chunk")
-        size = int.from_bytes(b[at : at + 4])
-        if at + 12 + size > len(b):
-            raise Damaged("Invalid chunk length")
-        kind = b[at + 4 : at + 8].decode("latin-1")
-        if zlib.crc32(b[at + 4 : at + 8 + size]) != int.from_bytes(b[at + 8 + size : at + 12 + size]):
-            raise Damaged(f"PNG CRC mismatch in {kind} chunk")
-        if at == 8 and kind != "IHDR":
-            raise Damaged("PNG missing IHDR chunk")
-        yield kind, at, 12 + size, 8, False
-        at += 12 + size
-    if at < len(b):
-        yield "TRAILING", at, len(b) - at, 0, False
-
-
-def riff(b: bytes) -> Iterator[Part]:
-    """RIFF chunks; the texts of a LIST/INFO chunk follow it as sub-parts."""
-    name = {b"WEBP": "WebP", b"WAVE": "WAV"}.get(b[8:12])
-    if b[:4] != b"RIFF" or name is None:
-        raise Damaged("Not a valid RIFF file")
-    end = 8 + int.from_bytes(b[4:8], "little")
-    if end < 12:
-        raise Damaged(f"Invalid {name} RIFF size")
-    if end > len(b):
-        raise Damaged(f"Truncated {name} RIFF data")
-    yield "RIFF", 0, 12, 12, False
-    at = 12
-    while at + 8 <= end:
-        size = int.from_bytes(b[at + 4 : at + 8], "little")
-        if at + 8 + size > end:
-            raise Damaged(f"Invalid {name} chunk length")
-        kind = b[at : at + 4].decode("latin-1")
-        yield kind, at, min(8 + size + (size & 1), end - at), 8, False
-        if kind == "LIST" and b[at + 8 : at + 12] == b"INFO":
-            sub, stop = at + 12, at + 8 + size
-            while sub + 8 <= stop:
-                length = min(int.from_bytes(b[sub + 4 : sub + 8], "little"), stop - sub - 8)
-                yield "INFO:" + b[sub : sub + 4].decode("latin-1"), sub, 8 + length, 8, True
-                sub += 8 + length + (length & 1)
-        at += 8 + size + (size & 1)
-    if at < end:
-        yield "MALFORMED", at, end - at, 0, False
-    if end < len(b):
-        yield "TRAILING", end, len(b) - end, 0, False
-
-
-def gif(b: bytes) -> Iterator[Part]:
-    """Screen, images, extensions (EXT: and the label in hexadecimal) and what trails."""
-    if len(b) < 13 or b[:6] not in (b"GIF87a", b"GIF89a"):
-        raise Damaged("Not a valid GIF file")
-
-    def table(flags: int) -> int:
-        return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
-
-    def chain(at: int, what: str) -> int:
-        while at < len(b) and b[at]:
-            at += 1 + b[at]
-        if at >= len(b):
-            raise Damaged(f"Invalid GIF {what} block")
-        return at + 1
-
-    at = 13 + table(b[10])
-    yield "SCREEN", 0, at, at, False
-    while at < len(b):
-        if b[at] == 0x3B:
-            yield "TRAILER", at, 1, 1, False
-            if at + 1 < len(b):
-                yield "TRAILING", at + 1, len(b) - at - 1, 0, False
-            return
-        if b[at] == 0x2C and at + 10 <= len(b):
-            end = chain(at + 10 + table(b[at + 9]) + 1, "image")
-            yield "IMAGE", at, end - at, 10, False
-        elif b[at] == 0x21 and at + 2 < len(b):
-            end = chain(at + 2, "extension")
-            yield f"EXT:{b[at + 1]:02X}", at, end - at, 2, False
-        else:
-            raise Damaged("Invalid GIF block")
-        at = end
-    raise Damaged("GIF missing trailer")
-
-
-def flac(b: bytes) -> Iterator[Part]:
-    """Metadata blocks (BLOCK: and the type), the texts of Vorbis comments as sub-parts, and the audio frames."""
-    if b[:4] != b"fLaC":
-        raise Damaged("Not a valid FLAC file")
-    yield "fLaC", 0, 4, 4, False
-    at, last, n = 4, False, 0
-    while not last:
-        if at + 4 > len(b):
-            raise Damaged("Truncated FLAC metadata block")
-        last, kind, size = bool(b[at] & 0x80), b[at] & 0x7F, int.from_bytes(b[at + 1 : at + 4])
-        if kind == 127:
-            raise Damaged("Invalid FLAC metadata block type")
-        if at + 4 + size > len(b):
-            raise Damaged("Truncated FLAC metadata block")
-        if not n and (kind or size != 34):
-            raise Damaged("FLAC missing STREAMINFO block")
-        yield f"BLOCK:{kind}", at, 4 + size, 4, False
-        if kind == 4:
-            yield from _vorbis(b, at + 4, at + 4 + size)
-        at, n = at + 4 + size, n + 1
-        if n > 1024:
-            raise Damaged("FLAC has too many metadata blocks")
-    if at + 2 > len(b) or b[at] != 0xFF or b[at + 1] & 0xFE != 0xF8:
-        raise Damaged("FLAC missing audio frames")
-    yield "AUDIO", at, len(b) - at, 0, False
-
-
-def _vorbis(b: bytes, at: int, end: int) -> Iterator[Part]:
-    """Vendor and comments; stops at the first text beyond the block, and after 256 comments."""
-    kinds = iter(["VENDOR", *["COMMENT"] * 256])
-    count = 1
-    for kind in kinds:
-        if not count or at + 4 > end:
-            return
-        size = struct.unpack_from("<I", b, at)[0]
-        if at + 4 + size > end:
-            return
-        yield kind, at, 4 + size, 4, True
-        at += 4 + size
-        count -= 1
-        if kind == "VENDOR":
-            if at + 4 > end:
-                return
-            count = struct.unpack_from("<I", b, at)[0]
-            at += 4
-
-
-WALKERS: dict[str, Callable[[bytes], Iterator[Part]]] = {"jpeg": jpeg, "png": png, "webp": riff, "wav": riff, "gif": gif, "flac": flac}
-
-
-def walk(files: DataFrame, key: str = "path") -> DataFrame:
-    """(key, file_type, error, parts) from (key, file_type, content); types without a walker have the error ``Unsupported file type``.
-
-    A damaged file keeps the parts before the damage. Null content is an empty file.
+from partwise.functions.detect import detect_file_type
+from partwise.operators.documents import KINDS, kind_of
+from partwise.walkers import WALKERS, Damaged, Part
+from partwise.walkers.part import PARTS
+
+#: Bytes of Arrow data that a Python worker takes apart at a time.
+SLICE = 16 << 20
+_FIELDS = ("kind", "offset", "size", "n", "num", "sub", "told", "text", "data")
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about SLICE bytes: Arrow counts rows, and files may be large."""
+    for b in batches:
+        step = max(1, int(b.num_rows * SLICE / max(1, b.nbytes)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
+def parts_of(file_type: str | None, content: bytes | None) -> tuple[str | None, list[Part]]:
+    """(error, parts) of one file; a damaged one keeps the parts before the damage."""
+    if file_type not in WALKERS:
+        return "Unsupported file type", []
+    faults: list[str] = []
+    out: list[Part] = []
+    try:
+        out.extend(WALKERS[file_type](content or b"", faults))
+    except Damaged as e:
+        faults.append(str(e))
+    return (faults[0] if faults else None), out
+
+
+def parts_array(found: list[list[Part]], kind: pa.DataType) -> pa.Array:
+    """Arrow's list array of the parts of each file."""
+    flat = [p for parts in found for p in parts]
+    ends = [0]
+    for parts in found:
+        ends.append(ends[-1] + len(parts))
+    struct = kind.value_type
+    columns = [pa.array([k for parts in found for k in range(len(parts))], struct.field("ord").type)]
+    columns += [pa.array([getattr(p, name) for p in flat], struct.field(name).type) for name in _FIELDS]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(struct)))
+
+
+def walk(files: DataFrame, key: str = "path", content: bool = False) -> DataFrame:
+    """(key, file_type, error, parts) from (key, file_type, content), with ``content`` if asked for.
+
+    ``error`` is what breaks the format's rules first, null for a sound file;
+    types without a walker have ``Unsupported file type``. A ZIP directory that
+    is no document of a known kind becomes ``unknown``. Null content is an empty
+    file.
     """
     kind = files.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, file_type string, error string, parts {PARTS}"
-    from pyspark.sql.pandas.types import to_arrow_schema
+    schema = arrow_schema(f"{key} {kind}, file_type string, {'content binary, ' if content else ''}error string, parts {PARTS}")
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, types, contents = (batch.column(k) for k in range(3))
+            found = [parts_of(t, c) for t, c in zip(types.to_pylist(), contents.to_pylist(), strict=True)]
+            columns = [keys, types, *([contents] if content else []), pa.array([e for e, _ in found], pa.string()), parts_array([p for _, p in found], schema.field("parts").type)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def parts_of(file_type: str, content: bytes | None) -> tuple[str | None, list[dict]]:
-        if file_type not in WALKERS:
-            return "Unsupported file type", []
-        b, out = content or b"", []
-        try:
-            for kind, at, size, head, sub in WALKERS[file_type](b):
-                out.append({"ord": len(out), "kind": kind, "offset": at, "size": size, "head": head, "sub": sub, "raw": b[at : at + size]})
-        except Damaged as e:
-            return str(e), out
-        return None, out
+    out = files.select(key, "file_type", "content").mapInArrow(run, f"{key} {kind}, file_type string, {'content binary, ' if content else ''}error string, parts {PARTS}")
+    document = F.when(F.col("file_type") == "zip", F.coalesce(kind_of(F.col("parts")), F.lit("unknown")))
+    told = out.withColumn("file_type", F.coalesce(document, F.col("file_type")))
+    unknown = F.col("file_type").eqNullSafe(F.lit("unknown"))
+    return told.withColumn("error", F.when(unknown, F.lit("Unsupported file type")).otherwise(F.col("error"))).withColumn("parts", F.when(unknown, F.array().cast(PARTS)).otherwise(F.col("parts")))
+
+
+def typed(files: DataFrame) -> DataFrame:
+    """``files`` with ``file_type`` from the leading bytes; ZIP files are ``zip`` until ``walk`` has read their directory."""
+    return files.withColumn("file_type", detect_file_type(F.col("content")))
+
+
+def identify(files: DataFrame, key: str = "path") -> DataFrame:
+    """(key, file_type) with the kinds of ZIP documents told apart: only ZIP files are walked."""
+    with_type = typed(files).select(key, "file_type", "content")
+    is_zip = F.col("file_type") == "zip"
+    return with_type.where(~is_zip).select(key, "file_type").union(walk(with_type.where(is_zip), key).select(key, "file_type"))
+
+
+def legacy_office(file_type: Column, error: Column) -> Column:
+    """The error of a file, with the fixed text for legacy Office files."""
+    return F.when(file_type == "office-legacy", F.lit(LEGACY)).otherwise(error)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, types, contents = (c.to_pylist() for c in batch.columns)
-            found = [parts_of(t, c) for t, c in zip(types, contents, strict=True)]
-            columns = [keys, types, [e for e, _ in found], [p for _, p in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return files.select(key, "file_type", "content").mapInArrow(run, schema)
+#: Fixed value: what is said of legacy Office files.
+LEGACY = "Legacy binary Office files (.doc, .xls, .ppt) are not supported. Save the file as .docx, .xlsx, or .pptx first."
+SUPPORTED = (*[t for t in WALKERS if t != "zip"], *KINDS)

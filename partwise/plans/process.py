@@ -2,39 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.functions.detect import detect_file_type
 from partwise.functions.scalars import clean_name, friendly_error
-from partwise.operators.clean import clean
-from partwise.operators.entries import entries
+from partwise.operators.clean import JOIN, clean
+from partwise.operators.entries import entries, entry_rows
 from partwise.operators.review import status
-from partwise.operators.walk import walk
+from partwise.operators.walk import legacy_office, typed, walk
+
+__version__ = "1.0.0"
+
+
+def version() -> str:
+    """The version of the rules that this library applies."""
+    return __version__
 
 
-def analyze(files: DataFrame, key: str = "path") -> DataFrame:
+def analyze(files: DataFrame, key: str = "path", content: bool = False) -> DataFrame:
     """(key, file_type, error, parts) from (key, content)."""
-    return walk(files.withColumn("file_type", detect_file_type(F.col("content"))), key)
+    walked = walk(typed(files), key, content)
+    return walked.withColumn("error", legacy_office(F.col("file_type"), F.col("error")))
+
+
+def analyzed_entries(files: DataFrame, key: str = "path", types: Iterable[str] | None = None) -> DataFrame:
+    """Entries of the files that are sound, as an analysis shows them: a file with an error has none."""
+    return entries(analyze(files, key).where("error is null"), key, types)
+
+
+def type_stable(cleaned: DataFrame, key: str = "path") -> DataFrame:
+    """``cleaned`` (see ``clean`` with ``again``) with ``error`` set where the cleaned bytes are of another type or break their format's rules."""
+    seen = detect_file_type(F.col("cleaned"))
+    changed = F.when(seen != F.col("file_type"), F.concat(F.lit("Cleaned file type changed from "), "file_type", F.lit(" to "), seen))
+    broken = F.when(F.col("again_error").isNotNull(), F.concat(F.lit("Cleaned file failed validation: "), "again_error"))
+    return cleaned.withColumn("error", F.coalesce("error", F.when(F.col("cleaned").isNotNull(), F.coalesce(changed, broken))))
 
 
 def process(files: DataFrame, key: str = "path") -> DataFrame:
     """(key, file_type, error, cleaned, removed_bytes, remaining, status): cleaned files, each read again as proof.
 
     ``remaining`` counts the entries that the cleaned bytes still hold; a
-    cleaned file whose type changes or that no longer reads has an error.
+    cleaned file whose type changes or that no longer reads has an error. Two
+    passes over the bytes, and nothing is shuffled.
     """
-    cleaned = clean(analyze(files, key)).drop("parts")
-    again = walk(cleaned.where("error is null").select(key, detect_file_type(F.col("cleaned")).alias("file_type"), F.col("cleaned").alias("content")), key)
-    left = entries(again, key).groupBy(key).agg(F.count("*").alias("remaining"))
-    proof = again.select(key, F.col("file_type").alias("again_type"), F.col("error").alias("again_error"))
-    out = cleaned.join(proof, key, "left").join(left, key, "left")
-    changed = F.when(F.col("again_type") != F.col("file_type"), F.concat(F.lit("Cleaned file type changed from "), "file_type", F.lit(" to "), "again_type"))
-    error = F.coalesce("error", changed, F.when(F.col("again_error").isNotNull(), F.concat(F.lit("Cleaned file failed validation: "), "again_error")))
-    remaining = F.coalesce("remaining", F.lit(0)).cast("long")
-    return out.select(key, "file_type", error.alias("error"), "cleaned", "removed_bytes", remaining.alias("remaining"), status(error, remaining).alias("status"))
+    proved = type_stable(clean(analyze(files, key, content=True), key, again=True), key)
+    failed = F.col("error").isNotNull()
+    left = F.when(failed, F.lit(0)).otherwise(F.size(entry_rows(F.col("file_type"), JOIN))).cast("long")
+    out = proved.withColumn("remaining", left)
+    return out.select(
+        key, "file_type", "error", F.when(~failed, F.col("cleaned")).alias("cleaned"), F.when(~failed, F.col("removed_bytes")).alias("removed_bytes"),
+        "remaining", status(F.col("error"), F.col("remaining")).alias("status"),
+    )
 
 
 def report(processed: DataFrame, name: str = "name") -> DataFrame:
-    """``processed`` with the names of the outputs and errors as a reader sees them."""
+    """``processed`` with ``output_name`` and ``message``, as a reader sees them."""
     return processed.withColumn("output_name", clean_name(F.col(name))).withColumn("message", friendly_error(F.col("file_type"), F.col("error")))

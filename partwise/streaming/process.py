@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from partwise.functions.scalars import clean_name
 from partwise.operators.clean import clean
 from partwise.plans.process import analyze
 
 
 def clean_stream(files: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Clean each arriving file once and append (path, file_type, error, cleaned, removed_bytes) to ``out``."""
-    rows = clean(analyze(files)).drop("parts")
-    writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    """Clean each arriving file once and append (path, name, output_name, file_type, error, cleaned, removed_bytes) to ``out``.
+
+    Files over the size gate (see ``stream_files``) come as rows with an error.
+    """
+    keyed = files.withColumn("key", F.struct("path", "name", F.col("error").alias("gate")))
+    rows = clean(analyze(keyed.select("key", "content"), "key", content=True), "key")
+    told = rows.select(
+        "key.path", "key.name", clean_name(F.col("key.name")).alias("output_name"), F.when(F.col("key.gate").isNull(), F.col("file_type")).alias("file_type"),
+        F.coalesce("key.gate", "error").alias("error"), "cleaned", "removed_bytes",
+    )
+    writer = told.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
