@@ -25,6 +25,8 @@ BINS = 16
 #: A cut needs a histogram distance (0 to 2) above the mean of the last WINDOW
 #: distances by SPREAD standard deviations, and above FLOOR.
 WINDOW, SPREAD, FLOOR = 8, 3.0, 0.15
+#: Distances that stand before the first ones, so that a cut at frame 1 or 2 has a threshold too.
+PRIOR = (0.0, 0.3)
 #: Samples coded at once; bounds the memory of a task.
 SAMPLES = 1 << 20
 
@@ -57,31 +59,84 @@ def encode_frames(samples: np.ndarray) -> list[bytes]:
     return [_HEAD + row.tobytes().replace(b"\xff", b"\xff\x00") + _END for row in packed]
 
 
-def coded_part(jpeg: bytes) -> bytes:
-    """The coded data of one frame, its marker segments read and checked."""
-    at, size = 2, None
+def segments(jpeg: bytes) -> tuple[tuple[int, int], dict[int, tuple[int, int]], bytes]:
+    """((height, width), {code with a leading 1 bit: (length, category)}, coded data) of a frame, from its own segments.
+
+    Raises ValueError unless it is a frame of the lossless process with one
+    8-bit component and predictor 1.
+    """
+    at, size, table = 2, None, {}
     if jpeg[:2] != b"\xff\xd8":
         raise ValueError("frame has no SOI")
     while True:
+        if at + 4 > len(jpeg):
+            raise ValueError("frame ends before its data")
         marker, length = struct.unpack_from(">HH", jpeg, at)
+        body = jpeg[at + 4 : at + 2 + length]
         if marker == 0xFFC3:
-            size = struct.unpack_from(">HH", jpeg, at + 5)
+            bits, height, width, components = struct.unpack_from(">BHHB", body)
+            if bits != 8 or components != 1:
+                raise ValueError("frame has not one 8-bit component")
+            size = (height, width)
+        elif marker == 0xFFC4:
+            code, k = 0, 17
+            for n, count in enumerate(body[1:17], 1):
+                for _ in range(count):
+                    table[1 << n | code] = (n, body[k])
+                    code, k = code + 1, k + 1
+                code <<= 1
         at += 2 + length
         if marker == 0xFFDA:
+            if body[0] != 1 or body[3] != 1:
+                raise ValueError("scan has not one component with predictor 1")
             break
-    if size != (HEIGHT, WIDTH) or jpeg[-2:] != _END:
-        raise ValueError("frame is not of this form")
-    return jpeg[at:-2].replace(b"\xff\x00", b"\xff")
+    if size is None or jpeg[-2:] != _END:
+        raise ValueError("frame has no size or no end")
+    return size, table, jpeg[at:-2].replace(b"\xff\x00", b"\xff")
+
+
+def _differences(table: dict[int, tuple[int, int]], coded: bytes, count: int) -> np.ndarray:
+    """Differences of ``count`` samples, code by code: for any Huffman table."""
+    bits = np.unpackbits(np.frombuffer(coded, np.uint8)).tolist()
+    out, at = [], 0
+    for _ in range(count):
+        code = 1
+        while code not in table:
+            if at >= len(bits) or code > 1 << 16:
+                raise ValueError("code outside the table")
+            code, at = code << 1 | bits[at], at + 1
+        category = table[code][1]
+        if at + category > len(bits):
+            raise ValueError("data end inside a sample")
+        value = 0
+        for b in bits[at : at + category]:
+            value = value << 1 | b
+        at += category
+        out.append(value if not category or value >> (category - 1) else value - (1 << category) + 1)
+    return np.array(out, np.int32)
+
+
+#: The table that ``encode_frames`` writes: a code and its sample take nine bits together, so whole arrays are decoded at once.
+_OWN = {(1 << n) | ((1 << n) - 2): (n, 9 - n) for n in range(1, 10)}
 
 
 def decode_frames(jpegs: list[bytes]) -> np.ndarray:
-    """Samples (n, HEIGHT, WIDTH) of JPEG frames."""
-    raw = np.frombuffer(b"".join(map(coded_part, jpegs)), np.uint8)
-    bits = np.unpackbits(raw).reshape(-1, 9)
-    words = (bits[:, 0].astype(np.uint16) << 8) | np.packbits(bits[:, 1:], axis=1)[:, 0]
-    d = _BACK[words].reshape(len(jpegs), HEIGHT, WIDTH).astype(np.int32)
-    if (d == 999).any():
-        raise ValueError("code outside the table")
+    """Samples (n, height, width) of lossless JPEG frames of one size, by the Huffman tables that the frames bring."""
+    read = [segments(j) for j in jpegs]
+    height, width = read[0][0]
+    if any(size != (height, width) for size, _, _ in read):
+        raise ValueError("frames differ in size")
+    d = np.empty((len(read), height * width), np.int32)
+    quick = [k for k, (_, table, coded) in enumerate(read) if table == _OWN and len(coded) * 8 == 9 * height * width]
+    if quick:
+        bits = np.unpackbits(np.frombuffer(b"".join(read[k][2] for k in quick), np.uint8)).reshape(-1, 9)
+        words = (bits[:, 0].astype(np.uint16) << 8) | np.packbits(bits[:, 1:], axis=1)[:, 0]
+        d[quick] = _BACK[words].reshape(len(quick), -1)
+        if (d[quick] == 999).any():
+            raise ValueError("code outside the table")
+    for k in set(range(len(read))) - set(quick):
+        d[k] = _differences(read[k][1], read[k][2], height * width)
+    d = d.reshape(len(read), height, width)
     d[:, 0, 0] += 128
     d[:, :, 0] = d[:, :, 0].cumsum(axis=1)
     return d.cumsum(axis=2).astype(np.uint8)
@@ -146,11 +201,18 @@ def cuts(hist: np.ndarray) -> list[int]:
     found = []
     for i, d in enumerate(diffs):
         before = diffs[max(0, i - WINDOW) : i]
-        if d > FLOOR and len(before) >= 2 and d > before.mean() + SPREAD * before.std():
+        before = before if len(before) >= len(PRIOR) else np.concatenate((PRIOR[len(before) :], before)) if len(before) else np.array(PRIOR)
+        if d > FLOOR and d > before.mean() + SPREAD * before.std():
             found.append(i + 1)
     return found
 
 
+def shots(hist: np.ndarray, micros: int) -> list[tuple[int, int, int, int]]:
+    """(first frame, frame behind the last, start and end in milliseconds) of each shot."""
+    edges = [0, *cuts(hist), len(hist)]
+    return [(a, b, a * micros // 1000, b * micros // 1000) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def _payload(text: str | None) -> tuple[int, bytes]:
     raw = (text or "").encode()
     return len(raw), raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
@@ -214,9 +276,8 @@ def clips(stored: DataFrame) -> DataFrame:
             for group in _groups(batch, lambda r: len(r[1])):
                 out = []
                 for (i, _), (micros, _, own) in zip(group, _load([r[1] for r in group]), strict=True):
-                    edges = [0, *cuts(histograms(own)), len(own)]
-                    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                        out.append((i, k, a * micros // 1000, b * micros // 1000, b - a, float(own[a:b].mean())))
+                    for k, (a, b, start, end) in enumerate(shots(histograms(own), micros)):
+                        out.append((i, k, start, end, b - a, float(own[a:b].mean())))
                 yield out
 
     return map_batches(stored.select("doc_id", "avi"), "doc_id long, clip int, start_ms long, end_ms long, frames int, mean_grey double", run)
@@ -229,8 +290,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
     """Store each text, read the stored bytes back and describe both.
 
     Null and empty texts are 64 zero bytes. Equal texts have equal values.
-    Feature: number of frames, shots with their first frames, and the mean grey
-    of the frames, from the decoded samples.
+    Feature: number of frames, and the clips (start and end in milliseconds, and
+    the mean grey of their frames), from the decoded samples. Repeated rows are
+    stored one by one; an empty table gives no rows.
     """
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
@@ -243,10 +305,10 @@ def media_digests(docs: DataFrame) -> DataFrame:
                 hist = histograms(np.concatenate([x[2] for x in loaded]))
                 grey = np.concatenate([x[2] for x in loaded]).reshape(-1, FRAME).mean(axis=1)
                 at = 0
-                for (i, n, _), avi, (_, back, own) in zip(group, avis, loaded, strict=True):
+                for (i, n, _), avi, (micros, back, own) in zip(group, avis, loaded, strict=True):
                     k = len(own)
-                    found = cuts(hist[at : at + k])
-                    feature = f"frames={k};shots={len(found) + 1};starts={','.join(map(str, [0, *found]))};grey={grey[at : at + k].mean():.3f}"
+                    told = [f"{start}-{end}:{grey[at + a : at + b].mean():.3f}" for a, b, start, end in shots(hist[at : at + k], micros)]
+                    feature = f"frames={k};clips={','.join(told)}"
                     at += k
                     out.append((i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(avi), hashlib.sha256(avi).hexdigest(), feature))
                 yield out

@@ -136,15 +136,21 @@ def _settle(every: DataFrame, picked: DataFrame, gaps: DataFrame) -> tuple[DataF
 def _fill(ranked: DataFrame) -> DataFrame:
     """(row, extra) of the documents that fill what is left of each source's target.
 
-    Where a source then misses its target by more than CLOSE of it, the
+    The Pareto sample comes first: as many documents as the inclusion
+    probabilities sum to, those that rank lowest. Its words come near what is
+    left; documents are then added or taken away in rank order. Where a source then misses its target by more than CLOSE of it, the
     smallest document too large for the gap changes sides and others make up for
     it; this stands if the source ends nearer, and is tried again.
     """
     open_ = ranked.where("rest > 0 and size > 0")
     every = materialize(open_.select("row", "doc_id", "source", "size", "rank", "bucket"))
-    targets = materialize(open_.select("source", F.col("rest").alias("gap"), (F.col("target") * CLOSE).alias("most")).distinct())
-    gaps = targets.select("source", "gap")
-    picked, gaps = _settle(every, materialize(every.select("row", "source").where("false")), gaps)
+    targets = materialize(open_.select("source", F.col("rest").alias("gap"), "draws", (F.col("target") * CLOSE).alias("most")).distinct())
+    one_each = every.withColumn("size", F.lit(1)).join(F.broadcast(targets.select(F.col("source").alias("s"), F.col("draws").alias("gap"))), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    picked = materialize(_leading(one_each).select("row", "source"))
+    words = every.join(picked.select("row"), "row", "left_semi").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("words"))
+    gaps = targets.join(F.broadcast(words), F.col("source").eqNullSafe(F.col("s")), "left")
+    gaps = materialize(gaps.select("source", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")))
+    picked, gaps = _settle(every, picked, gaps)
     most = F.broadcast(targets.select(F.col("source").alias("s"), "most"))
     open_gaps = materialize(gaps.join(most, F.col("source").eqNullSafe(F.col("s"))).where("abs(gap) > most").select("source", "gap", "most"))
     while not open_gaps.isEmpty():
@@ -163,18 +169,17 @@ def _fill(ranked: DataFrame) -> DataFrame:
     return picked.select("row", F.lit(True).alias("extra"))
 
 
-def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """How much of each document a mix takes: (doc_id, source, size, source_size, target, copies, taken).
+def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS, row: str | None = None) -> DataFrame:
+    """How much of each document a mix takes: (doc_id, source, size, source_size, target, copies, taken), and the number ``row`` if ``docs`` has one.
 
     Every document of a source first gets the whole copies that its source's
     ratio of target to size makes certain. The rest of the target is filled by
-    Pareto order sampling: documents rank by random odds divided by inclusion
-    odds (the shared rate of the source times a factor that grows with the
-    square root of the document's size: a sample of unequal probability that
-    leaves short documents to fill the end) and are taken in that order, past
-    those that do not fit, until none fits. Documents whose size is nearest to
-    what is missing close the gap, and documents are exchanged, where that
-    brings the sum nearer (see _moves and _fill).
+    Pareto order sampling: a document of size s has the inclusion probability
+    rest * sqrt(s) / sum(sqrt(s) * s), so that the words expected are the rest;
+    documents rank by the odds of a random number divided by their inclusion
+    odds, and as many as the probabilities sum to are taken, lowest ranks first.
+    As documents come whole, others are then added, taken away or exchanged in
+    rank order, as long as that brings a source's words nearer (see _fill).
     No document exceeds ``most`` copies. The random number is a hash of doc_id,
     source and size: reruns agree.
 
@@ -182,20 +187,23 @@ def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEI
     taken. Rows that repeat count one by one; ties rank by row. Empty table: no
     rows.
     """
-    spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     unit = digest_unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("∅")), F.coalesce(F.col("source"), F.lit("∅")), F.col("size").cast("string"))
-    slim = docs.select("doc_id", "source", size.alias("size")).withColumn("u", unit).withColumn("row", F.monotonically_increasing_id())
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    slim = docs.select("doc_id", "source", size.alias("size"), number.alias("row")).withColumn("u", unit)
     slim = materialize(slim)
     src = source_targets(slim, most, weights)
     copies = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)).cast("long")
     src = src.withColumn("copies", F.coalesce(copies, F.lit(0)))
-    src = materialize(src.withColumn("rest", F.when(F.col("copies") < most, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(0.0)).withColumn("mean_size", F.greatest(F.col("source_size") / F.col("n"), F.lit(1.0))))
+    src = src.withColumn("rest", F.when(F.col("copies") < most, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(0.0))
+    sums = slim.groupBy(F.col("source").alias("s")).agg(F.sum(F.sqrt("size") * F.col("size")).alias("weighted"), F.sum(F.sqrt("size")).alias("roots"))
+    src = src.join(F.broadcast(sums), F.col("source").eqNullSafe(F.col("s"))).drop("s")  # a row for each source
+    chance = F.col("rest") * F.sqrt("size") / F.greatest(F.col("weighted"), F.lit(1e-9))
+    src = materialize(src.withColumn("draws", F.round(F.least(F.col("rest") * F.col("roots") / F.greatest(F.col("weighted"), F.lit(1e-9)), F.col("n").cast("double"))).cast("long")))
 
-    odds = F.col("u") / (1 - F.col("u"))
-    factor = F.sqrt(F.greatest(F.col("size"), F.lit(1)) / F.col("mean_size"))
     ranked = slim.join(src.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    pareto = odds / factor
+    odds = lambda p: p / (1 - p)
+    pareto = odds(F.col("u")) / odds(F.greatest(F.least(chance, F.lit(1 - 1e-9)), F.lit(1e-12)))
     buckets = max(1, slim.count() // ROWS_PER_BUCKET)
     ranked = ranked.withColumn("rank", pareto / (1 + pareto)).withColumn("bucket", F.floor(F.col("rank") * buckets))
 
@@ -203,13 +211,18 @@ def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEI
     picked = _fill(ranked)
     state = ranked.join(picked, "row", "left").withColumn("extra", F.coalesce("extra", F.lit(False)))
     taken = state.withColumn("copies", F.col("copies") + F.col("extra").cast("long"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = ["doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
+    return taken.select(*out, *([F.col("row").alias(row)] if row else []))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents the mix takes, each as often as it is taken, with the columns of ``docs``."""
-    plan = mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    # Rows that share a doc_id all get the highest count among them.
-    plan = plan.groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")), "inner")
-    return rows.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The documents the mix takes, each row as often as it is taken, with the columns of ``docs``.
+
+    Rows go by numbers of their own: doc_id may be null or repeated, and columns
+    of any name stay. An empty table gives no rows.
+    """
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("held")
+    rows = materialize(docs.select("doc_id", "source", "text", held).withColumn("row", F.monotonically_increasing_id()).select("row", "held"), "zstd")
+    plan = mix(rows.select("row", "held.doc_id", "held.source", "held.text"), row="row").where("copies > 0").select("row", "copies")
+    again = rows.join(plan, "row").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.select(*[F.col(f"held.`{c}`").alias(c) for c in docs.columns])

@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from partwise.llm.common import map_batches
+from partwise.llm.common import map_batches, materialize
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
 REPEAT = 8
-#: Words at most this long (bytes) are counted for the common-word references.
-LONGEST = 12
+#: Words up to this length (characters) can be common words of a reference.
+LONGEST = 24
 COMMON = 60
-#: At most this many languages, those with most words, get a reference.
-LANGUAGES = 32
+#: A language with fewer words has no reference, and its documents are not judged by histograms.
+LEAST_LANGUAGE = 1_000
+#: All documents are held against the references of so many languages, those with most words; besides, each against that of its own language.
+SHARED = 32
+#: Up to so many references of other languages (about 2 KB each) are broadcast; more are joined by shuffle.
+MOST_BROADCAST = 4_000
 #: Guards: documents below these sizes are not judged by the histogram in question.
 LEAST_BYTES, LEAST_WORDS = 200, 50
 #: A document fails if its distance to every reference is above these.
@@ -83,11 +87,20 @@ def base_counts(text: str | None) -> tuple[bytes, list[bytes], tuple[int, int, i
     return raw, words, (len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated(words))
 
 
-def references(docs: DataFrame) -> list[tuple[str, np.ndarray, list[bytes], np.ndarray]]:
-    """(language, class histogram, common words, their histogram with all others last) from all documents.
+Reference = tuple[str, np.ndarray, list[bytes], np.ndarray]
 
-    Tasks add counts up before the shuffle; at most LANGUAGES languages with
-    COMMON words each come to the driver.
+
+def _reference(lang: str, classes: list[int], words: list[bytes], counts: list[int], total: int) -> Reference:
+    """(language, class histogram, common words, their histogram with all others last)."""
+    hist = np.array([*counts, max(0, total - sum(counts))], float)
+    return lang, np.array(classes, float) / max(1, sum(classes)), [bytes(w) for w in words], hist / max(1.0, hist.sum())
+
+
+def reference_table(docs: DataFrame) -> DataFrame:
+    """(lang, classes, words, counts, total) of every language with LEAST_LANGUAGE words or more, from all documents.
+
+    Tasks add counts up before the shuffle. The corpus is its own reference: a
+    language that is mostly junk makes junk its norm.
     """
 
     def count(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
@@ -106,7 +119,7 @@ def references(docs: DataFrame) -> list[tuple[str, np.ndarray, list[bytes], np.n
                 words = raw.lower().split()
                 found[lang, "all", b""] += len(words)
                 for w, n in Counter(words).items():
-                    if len(w) <= LONGEST:
+                    if len(w) <= LONGEST or len(w) <= 4 * LONGEST and len(w.decode()) <= LONGEST:
                         found[lang, "word", w] += n
                 if len(found) > FLUSH:
                     yield rows()
@@ -116,21 +129,18 @@ def references(docs: DataFrame) -> list[tuple[str, np.ndarray, list[bytes], np.n
     sums = map_batches(pairs, "lang string, kind string, item binary, n long", count).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")
     top = sums.withColumn("place", F.row_number().over(best)).where(F.col("place") <= COMMON)
-    # Languages are ranked by their words before anything comes to the driver.
-    rank = Window.partitionBy(F.lit(0)).orderBy(F.desc("words"), "l")
-    langs = top.where("kind = 'all' and n > 0").select(F.col("lang").alias("l"), F.col("n").alias("words"))
-    langs = langs.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LANGUAGES).drop("r")
-    by: dict[str, dict] = {}
-    for r in top.join(langs, F.col("lang") == F.col("l")).collect():
-        by.setdefault(r["lang"], {"class": {}, "word": {}, "all": {}})[r["kind"]][bytes(r["item"])] = r["n"]
-    out = []
-    for lang, x in sorted(by.items()):
-        classes = np.array([x["class"].get(c.encode(), 0) for c in CLASSES], float)
-        words = sorted(x["word"], key=lambda w: (-x["word"][w], w))
-        total = sum(x["all"].values())
-        hist = np.array([*[x["word"][w] for w in words], max(0, total - sum(x["word"].values()))], float)
-        out.append((lang, classes / classes.sum(), words, hist / hist.sum()))
-    return out
+    ranked = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct((-F.col("n")).alias("m"), "item"))))
+    own = top.groupBy("lang").agg(
+        F.array(*[F.coalesce(F.max(F.when((F.col("kind") == "class") & (F.col("item") == c.encode()), F.col("n"))), F.lit(0)) for c in CLASSES]).alias("classes"),
+        ranked("word").alias("w"), F.coalesce(F.max(F.when(F.col("kind") == "all", F.col("n"))), F.lit(0)).alias("total"),
+    )
+    rows = own.where(F.col("total") >= LEAST_LANGUAGE)
+    return materialize(rows.select("lang", "classes", F.transform("w", lambda x: x["item"]).alias("words"), F.transform("w", lambda x: -x["m"]).alias("counts"), "total"))
+
+
+def shared_references(table: DataFrame, most: int = SHARED) -> list[Reference]:
+    """The references of the languages with most words."""
+    return [_reference(r["lang"], r["classes"], r["words"], r["counts"], r["total"]) for r in table.orderBy(F.desc("total"), "lang").limit(most).collect()]
 
 
 def divergence(raw: bytes, words: list[bytes], refs: list) -> tuple[float | None, float | None]:
@@ -152,26 +162,38 @@ def divergence(raw: bytes, words: list[bytes], refs: list) -> tuple[float | None
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
-def quality(docs: DataFrame, refs: list | None = None) -> DataFrame:
+def quality(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Counts, base rules and verdict for each row of ``docs`` (doc_id, text, lang).
 
     ``kept`` is false if a base rule fails; else false only where a distance
-    that its guard lets count is above its limit for all references. Null and
-    empty texts have no words and fail. A null language counts as a language of
-    its own; the verdict looks at every reference, so a wrong label does no
-    harm. Repeated rows are judged one by one; an empty table gives no rows.
+    that its guard lets count is above its limit for the references of all large
+    languages and for that of the document's own language. A document whose
+    language has no reference is not judged by distances (both are null). Null
+    and empty texts have no words and fail. A null language counts as a language
+    of its own. Repeated rows are judged one by one; an empty table gives no rows.
     """
-    refs = references(docs) if refs is None else refs
+    table = reference_table(docs) if table is None else table
+    shared = shared_references(table)
+    known = {r[0] for r in shared}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
+    others = table.where(~F.col("lang").isin(*known)) if known else table
+    n = others.count()
+    if n:
+        own = others.select(F.col("lang").alias("l"), F.struct("classes", "words", "counts", "total").alias("own"))
+        rows = rows.join(F.broadcast(own) if n <= MOST_BROADCAST else own, F.col("lang") == F.col("l"), "left").drop("l")
+    else:
+        rows = rows.withColumn("own", F.lit(None).cast("struct<classes:array<long>,words:array<binary>,counts:array<long>,total:long>"))
 
     def judge(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
             out = []
-            for doc_id, text in batch:
+            for doc_id, text, lang, own in batch:
                 raw, words, counts = base_counts(text)
                 failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
+                refs = shared if lang in known else [*shared, _reference(lang, own["classes"], own["words"], own["counts"], own["total"])] if own else []
                 by_class, by_word = divergence(raw, words, refs)
                 far = (by_class is not None and by_class > MOST_CLASS) or (by_word is not None and by_word > MOST_WORD)
                 out.append((doc_id, *counts, failed, not failed and not far, by_class, by_word))
             yield out
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), SCHEMA, judge)
+    return map_batches(rows, SCHEMA, judge)

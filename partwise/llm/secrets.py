@@ -178,7 +178,10 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     ``found`` has the base spans and, besides, what the Markov models call
     random in runs of 20 characters or more: a whole run, or stretches inside
-    it; base spans are cut out of both. Null and empty texts have none. All rows and columns stay (columns of these names give way).
+    it; base spans are cut out of both. Null and empty texts have none, an empty
+    table gives no rows, and repeated rows are read one by one. Long texts are
+    read whole. All rows and columns stay, but columns named ``base``, ``found``,
+    ``__text`` or ``__runs`` give way (``redact`` keeps them).
     """
     model = train(labelled_samples(docs.sparkSession)) if model is None else model
     docs = docs.drop("base", "found", "__text", "__runs")
@@ -202,13 +205,18 @@ def secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", model: Model | None = None) -> DataFrame:
-    """``docs`` with every span found in ``text`` replaced by ``mark``; overlapping spans become one. Null texts stay null."""
-    columns = docs.columns
-    df = scan(docs, model)
+    """``docs`` with every span found in ``text`` replaced by ``mark``; overlapping spans become one.
+
+    Null texts stay null, and all other columns stay as they are, whatever their
+    names. An empty table gives no rows; repeated rows stay.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    df = scan(docs.select("text", rest), model)
     merged = (
         "aggregate(found, named_struct('at', 0, 'out', cast(array() as array<string>)), (a, x) -> named_struct("
         "'at', greatest(a.at, x.stop), 'out', if(x.start >= a.at, "
         f"concat(a.out, array(substr(text, a.at + 1, x.start - a.at), '{mark}')), a.out)), "
         "a -> concat(array_join(a.out, ''), substr(text, a.at + 1)))"
     )
-    return df.withColumn("text", F.expr(f"if(text is null or size(found) = 0, text, {merged})")).select(*columns)
+    shown = F.expr(f"if(text is null or size(found) = 0, text, {merged})")
+    return df.select(*[shown.alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

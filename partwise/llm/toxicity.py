@@ -1,8 +1,9 @@
 """Toxicity: a weighted finite-state grammar of insults, threats, targets, negation and reported speech, scored by clause.
 
-The word classes below are composed as transducers that read a clause word by
-word. The insult transducer's arcs are words and stems with weights learned
-from labelled documents; the others change the weight of what they meet.
+Each of the five is a transducer over word classes; ``compose`` makes one of
+them, whose states are what they remember together. A clause is read word by
+word: the insult transducer's arcs are words and stems with weights learned from
+labelled documents, the others add to the weight of a match or change it.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ TARGET_BOOST, NEGATED, REPORTED, THREAT_WEIGHT, START_WEIGHT = 1.0, 0.4, 0.6, 3.
 #: Words that a negation, a target or a threat verb reaches over.
 REACH = 4
 
-#: At most about this many labelled rows are read for fitting, and this many arcs are kept.
-MOST_LABELLED, MOST_ARCS = 12_000, 2_000
+#: At most about this many labelled rows are read for fitting; their words bound the arcs.
+MOST_LABELLED = 12_000
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:,\n|]+")
@@ -51,36 +53,86 @@ def arc_weight(word: str, arcs: dict[str, float]) -> float:
     return max(arcs.get(word, 0.0), *(arcs.get(word[:k] + "*", 0.0) if len(word) >= k else 0.0 for k in STEMS))
 
 
-def score_clause(words: list[str], arcs: dict[str, float]) -> tuple[float, int]:
-    """Weight that the composed transducers give a clause, and its number of insults and threats.
+#: Word classes that the transducers read.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+CLASS = {w: c for c, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in words}
+
+
+@dataclass
+class Transducer:
+    """``arcs`` lead from (state, word class) to (state, factor, bonus, hits): a match weighs factor * (weight of the word + bonus)."""
+
+    start: tuple
+    arcs: dict[tuple, tuple[tuple, float, float, int]]
+
+    @property
+    def states(self) -> set:
+        return {s for s, _ in self.arcs}
+
 
-    The state is what each transducer remembers: how far back a negation,
-    target or threat verb is, whether speech is reported, and the last match
-    that may still meet its target.
+def reaching(begins: int, meets: int | None = None, bonus: float = 0.0, hits: int = 0, factor: float = 1.0, ends: bool = False, reach: int | None = REACH) -> Transducer:
+    """A transducer that remembers a word of class ``begins`` over the next ``reach`` words (None: to the end of the clause).
+
+    While it remembers, words of class ``meets`` bring ``bonus`` and ``hits``
+    (and end it, with ``ends``), and every match weighs ``factor``.
     """
-    total, hits = 0.0, 0
-    negated = targeted = threat = last = 0
-    reported, last_weight = False, 0.0
+    most = 1 if reach is None else reach
+    arcs = {}
+    for left in range(most + 1):
+        for c in range(6):
+            met = left > 0 and c == meets
+            after = 0 if met and ends else max(0, left - (reach is not None))
+            arcs[(left,), c] = ((most if c == begins else after,), factor if left else 1.0, bonus if met else 0.0, hits if met else 0)
+    return Transducer((0,), arcs)
+
+
+def compose(one: Transducer, two: Transducer) -> Transducer:
+    """Both at once: states side by side, factors multiplied, bonuses and hits added. Only states that can be reached."""
+    start = one.start + two.start
+    arcs, todo, k = {}, [start], len(one.start)
+    seen = {start}
+    while todo:
+        state = todo.pop()
+        for c in range(6):
+            a, fa, ba, ha = one.arcs[state[:k], c]
+            b, fb, bb, hb = two.arcs[state[k:], c]
+            arcs[state, c] = (a + b, fa * fb, ba + bb, ha + hb)
+            if a + b not in seen:
+                seen.add(a + b)
+                todo.append(a + b)
+    return Transducer(start, arcs)
+
+
+def clause_grammar() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The composed transducer as tables by state and word class: next state, factor, bonus, hits. State 0 begins."""
+    parts = [
+        Transducer((0,), {((0,), c): ((0,), 1.0, 0.0, int(c == INSULT)) for c in range(6)}),
+        reaching(TARGET, meets=INSULT, bonus=TARGET_BOOST), reaching(INSULT, meets=TARGET, bonus=TARGET_BOOST, ends=True),
+        reaching(THREAT, meets=TARGET, bonus=THREAT_WEIGHT, hits=1, ends=True), reaching(NEGATION, factor=NEGATED), reaching(REPORT, factor=REPORTED, reach=None),
+    ]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = compose(whole, p)
+    number = {s: k for k, s in enumerate(sorted(whole.states, key=lambda s: (s != whole.start, s)))}
+    tables = [np.zeros((len(number), 6), t) for t in (int, float, float, int)]
+    for (s, c), (to, *rest) in whole.arcs.items():
+        for table, value in zip(tables, (number[to], *rest), strict=True):
+            table[number[s], c] = value
+    return tuple(t.tolist() for t in tables)  # type: ignore[return-value]
+
+
+NEXT, FACTOR, BONUS, HITS = clause_grammar()
+
+
+def score_clause(words: list[str], arcs: dict[str, float]) -> tuple[float, int]:
+    """Weight that the composed transducer gives a clause, and its number of insults and threats."""
+    total, hits, state = 0.0, 0, 0
     for w in words:
-        insult = arc_weight(w, arcs)
-        if insult:
-            weight = insult + (TARGET_BOOST if targeted else 0.0)
-            weight *= (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-            total, hits = total + weight, hits + 1
-            last, last_weight = (0 if targeted else REACH), (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
-        elif w in TARGETS:
-            if threat:
-                total, hits, threat = total + THREAT_WEIGHT * (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0), hits + 1, 0
-            elif last:
-                total, last = total + TARGET_BOOST * last_weight, 0
-            targeted = REACH + 1
-        elif w in NEGATIONS:
-            negated = REACH + 1
-        elif w in REPORTS:
-            reported = True
-        elif w in THREATS:
-            threat = REACH + 1
-        negated, targeted, threat, last = (max(0, x - 1) for x in (negated, targeted, threat, last))
+        weight = arc_weight(w, arcs)
+        c = INSULT if weight else CLASS.get(w, OTHER)
+        total += FACTOR[state][c] * (weight + BONUS[state][c])
+        hits += HITS[state][c]
+        state = NEXT[state][c]
     return total, hits
 
 
@@ -160,7 +212,7 @@ def learn_arcs(labelled: DataFrame) -> dict[str, float]:
     told = sums.where("pos >= 4").withColumn("told", F.col("pos") * odds)
     kinds = max(1, told.count())
     least = math.log(kinds) + 6
-    best = told.where((F.col("told") >= least) & (F.col("neg") <= 0.05 * F.col("pos"))).orderBy(F.desc("told"), "feature").limit(MOST_ARCS).collect()
+    best = told.where((F.col("told") >= least) & (F.col("neg") <= 0.05 * F.col("pos"))).collect()
     seen = {r["feature"]: r["pos"] for r in best}
     # Where a longer arc reads nearly all that a stem reads, only the longer one stays: a stem must earn its width.
     wide = {f for f in seen if f.endswith("*") and any(g != f and g.startswith(f[:-1]) and n >= 0.9 * seen[f] for g, n in seen.items())}
@@ -218,8 +270,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 def toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs``.
 
-    The score looks at the text alone. Null and empty texts, like all texts
+    The score looks at the whole text alone. Null and empty texts, like all texts
     without a match, get the score of no match. Null doc_id: held_out is null.
+    Repeated rows are scored one by one; an empty table gives no rows.
     """
 
     def run(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
@@ -236,12 +289,17 @@ def toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
 
 
 def reject(docs: DataFrame, grammar: Grammar) -> DataFrame:
-    """``docs`` without the rows that score as toxic."""
+    """``docs`` without the rows that score as toxic.
+
+    Null and empty texts score as texts without a match and stay; so do all rows
+    of an empty or clean table, repeated rows and columns of any name.
+    """
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
-    def probability(text):
+    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(grammar)
-        return text.map(scorer.probability)
+        for text in batches:
+            yield text.map(lambda t: scorer.probability(None if pd.isna(t) else t)).astype("float64")
 
     return docs.where(probability(F.col("text")) < 0.5)

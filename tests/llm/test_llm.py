@@ -93,8 +93,7 @@ def test_secrets_inside_runs(spark):
 
 
 def test_quality_counts(docs):
-    refs = quality.references(docs)
-    for r in quality.quality(docs, refs).collect():
+    for r in quality.quality(docs, quality.reference_table(docs)).collect():
         text = TEXTS[r["doc_id"]] or ""
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
         windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
@@ -214,6 +213,18 @@ def test_grammar_reads_clauses():
     assert score("he said you idiot") < score("you idiot") and score("i will kill you") == toxicity.THREAT_WEIGHT and score("kill time") == 0
 
 
+def test_composed_transducer_equals_its_parts_side_by_side():
+    r = random.Random(8)
+    one, two = toxicity.reaching(toxicity.TARGET, meets=toxicity.INSULT, bonus=1.0), toxicity.reaching(toxicity.NEGATION, factor=0.4)
+    both = toxicity.compose(one, two)
+    assert len(both.states) == 21  # those that can be reached
+    a, b, c = one.start, two.start, both.start
+    for _ in range(500):
+        x = r.randrange(6)
+        (a, fa, ba, ha), (b, fb, bb, hb), (c, f, bonus, hits) = one.arcs[a, x], two.arcs[b, x], both.arcs[c, x]
+        assert (c, f, bonus, hits) == (a + b, fa * fb, ba + bb, ha + hb)
+
+
 def test_urls(spark):
     cases = [
         ("http://example.org/es/x", "example.org/es/", "block"), ("https://www.Example.ORG/en/12", "example.org/en/1", "block"), ("http://a.org/", "org/", "allow"),
@@ -239,6 +250,22 @@ def test_media_round_trip(docs):
     rows = media.clips(media.store(docs)).collect()
     assert {r["doc_id"] for r in rows} == set(range(len(TEXTS))) and all(r["end_ms"] > r["start_ms"] for r in rows)
     assert media.cuts(np.array([[1.0, 0]] * 6 + [[0, 1.0]] * 6)) == [6]
+    assert media.cuts(np.array([[1.0, 0], [0, 1.0], [0, 1.0], [1.0, 0]])) == [1, 3] and media.cuts(np.array([[1.0, 0], [1.0, 0], [0, 1.0]])) == [2]
+
+
+def test_frames_of_another_table_are_decoded_by_it():
+    r = np.random.default_rng(4)
+    x = r.integers(0, 256, (1, media.HEIGHT, media.WIDTH)).astype(np.uint8)
+    d = np.zeros(x.shape, int)
+    d[:, :, 1:], d[:, 1:, 0], d[:, 0, 0] = np.diff(x.astype(int), axis=2), np.diff(x[:, :, 0].astype(int), axis=1), x[:, 0, 0].astype(int) - 128
+    # Sixteen codes of four bits, one for each category up to 8: another table than the encoder's.
+    bits = "".join(f"{c:04b}" + (f"{v if v > 0 else v + (1 << c) - 1:0{c}b}" if c else "") for v in d.ravel().tolist() for c in [abs(v).bit_length()])
+    coded = int(bits.ljust(-(-len(bits) // 8) * 8, "1"), 2).to_bytes(-(-len(bits) // 8)).replace(b"\xff", b"\xff\x00")
+    at = media._HEAD.index(b"\xff\xc4")
+    frame = media._HEAD[:at] + b"\xff\xc4\0\x1c\0" + bytes([0, 0, 0, 9]) + bytes(12) + bytes(range(9)) + media._HEAD[media._HEAD.index(b"\xff\xda") :] + coded + media._END
+    assert (media.decode_frames([frame]) == x).all()
+    with pytest.raises(ValueError, match="outside the table"):
+        media.decode_frames([frame.replace(b"\xff\xc4\0\x1c\0" + bytes([0, 0, 0, 9]), b"\xff\xc4\0\x1c\0" + bytes([0, 0, 0, 2]))])
 
 
 def _brute(texts, t):
@@ -300,3 +327,55 @@ def test_null_and_repeated_ids_lose_nothing(spark):
     rows = [(None, own[0] + " " + shared), (1, shared + " " + own[1]), (2, own[2]), (2, own[3] + " " + shared)]
     kept = suffixes.remove_repeats(spark.createDataFrame(rows, schema)).collect()
     assert sorted((str(r["doc_id"]), bytes(r["kept"]).decode().strip()) for r in kept) == sorted([("None", own[0]), ("1", own[1]), ("2", own[2]), ("2", own[3])])
+
+
+def test_languages_beyond_the_shared_ones_have_references(spark):
+    r = random.Random(6)
+    rows = []
+    for k in range(40):
+        own = ["".join(r.choice("абвгдежзик") for _ in range(r.randint(7, 11))) + str(k) for _ in range(30)]
+        rows += [(1000 * k + i, " ".join(r.choice(own) for _ in range(80 + k)), f"l{k:02d}") for i in range(20)]
+    rows += [(90_000, " ".join(r.choice(VOCAB) for _ in range(120)), "few")]
+    got = {x["doc_id"]: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    judged = [x for x in got.values() if x["doc_id"] < 90_000 and not x["base_failed"]]
+    assert len(judged) > 700 and all(x["kept"] and x["word_distance"] < 0.4 for x in judged)
+    assert got[90_000]["word_distance"] is None and got[90_000]["kept"]
+
+
+def test_columns_of_any_name_stay(spark):
+    row = (1, "token = abcdefgh12", "s", "b", "f", "t", "r", 5, 6, "h")
+    docs = spark.createDataFrame([row, row, (None, None, None, "b", "f", "t", "r", 5, 6, "h")], "doc_id long, text string, source string, base string, found string, __text string, __runs string, row long, copies long, held string")
+    shown = secrets.redact(docs)
+    assert shown.columns == docs.columns and sorted(map(str, map(tuple, shown.collect()))) == sorted(map(str, [(1, "[SECRET]", *row[2:])] * 2 + [(None, None, None, *row[3:])]))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and all(tuple(x)[3:] == row[3:] for x in mixed.collect())
+    left = toxicity.reject(docs, toxicity.Grammar())
+    assert left.columns == docs.columns and left.count() == 3
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == 2
+
+
+def test_mix_is_a_pareto_sample_of_rows(spark):
+    r = random.Random(12)
+    rows = [(7, "w " * r.randint(1, 30), s) for s in ("a", "b", None) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.mix(docs).collect()
+    assert len(plan) == len(rows)
+    for s in ("a", "b", None):
+        own = [x for x in plan if x["source"] == s]
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= max(3, 0.01 * own[0]["target"])
+    assert mixing.mixed_documents(docs).count() == sum(x["copies"] for x in plan)
+
+
+def test_long_texts_are_read_whole(spark):
+    r = random.Random(13)
+    long = " ".join(r.choice(VOCAB) for _ in range(150_000))
+    text = long + " token=" + "A1b2C3d4" + " " + long[:4000]
+    docs = spark.createDataFrame([(1, text, "en", "a"), (2, text + " x", "en", "a")], "doc_id long, text string, lang string, source string")
+    assert all(x["spans"].startswith(f"assign:{len(long) + 1}:") for x in secrets.secrets(docs).collect())
+    assert {x["n_words"] for x in quality.quality(docs).collect()} == {len(text.split()), len(text.split()) + 1}
+    assert {x["component_id"] for x in jaccard.jaccard_components(docs).collect()} == {1}
+    kept = {x["doc_id"]: bytes(x["kept"]) for x in suffixes.remove_repeats(docs).collect()}
+    assert kept[1] == b"" and kept[2] == b"x"[:0] + kept[2][-2:] and len(kept[2]) <= 2
+    assert {x["payload_sha256"] for x in media.media_digests(docs).collect()} == {hashlib.sha256(t.encode() + bytes(-len(t.encode()) % 64 or 0)).hexdigest() for t in (text, text + " x")}
+    assert toxicity.toxicity(docs, toxicity.Grammar()).count() == 2 and mixing.mix(docs).count() == 2
