@@ -193,7 +193,7 @@ def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEI
     slim = docs.select("doc_id", "source", size.alias("size"), number.alias("row")).withColumn("u", unit)
     slim = materialize(slim)
     src = source_targets(slim, most, weights)
-    copies = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most)).cast("long")
+    copies = F.least(F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))), F.lit(most)).cast("long")
     src = src.withColumn("copies", F.coalesce(copies, F.lit(0)))
     src = src.withColumn("rest", F.when(F.col("copies") < most, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(0.0))
     sums = slim.groupBy(F.col("source").alias("s")).agg(F.sum(F.sqrt("size") * F.col("size")).alias("weighted"), F.sum(F.sqrt("size")).alias("roots"))
