@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partwise.llm import bpe, jaccard, media, mixing, quality, secrets, sharding, suffixes, toxicity, urls
+from partwise.llm import bpe, jaccard, media, mixing, oracles, prefix_trie, quality, secrets, sharding, suffixes, toxicity, urls
 from partwise.llm.common import table
 
 
@@ -52,11 +52,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_quality_rules, op3_suffix_dedup, op4_sharding, op5_mixing, op6_bpe, op7_toxicity, op8_url_filters, op9_media_columns, op10_jaccard_join)
+    for f in (op1_secret_scans, op2_quality_rules, op3_suffix_dedup, op4_sharding, op5_mixing, op6_bpe, op7_toxicity, op8_url_filters, op9_media_columns, op10_jaccard_join, op11_prefix_trie)
 }
 
-#: None of the ten can be told whole in SQL: models, checksums or tokenizers
-#: take part in each result. They are tested against brute force instead.
-ORACLE_SQL: dict[str, str] = {}
+#: The others cannot be told whole in SQL: models, tokenizers or media take part
+#: in each of their results. They are tested against brute force instead.
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": oracles.TRIE}
