@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partwise.llm import bpe, jaccard, media, mixing, oracles, prefix_trie, quality, secrets, sharding, suffixes, toxicity, urls
+from partwise.llm import bpe, jaccard, languages, media, mixing, oracles, periodic, prefix_trie, quality, secrets, sharding, suffixes, toxicity, urls
 from partwise.llm.common import table
 
 
@@ -56,11 +56,19 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.predicted(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_quality_rules, op3_suffix_dedup, op4_sharding, op5_mixing, op6_bpe, op7_toxicity, op8_url_filters, op9_media_columns, op10_jaccard_join, op11_prefix_trie)
+    for f in (op1_secret_scans, op2_quality_rules, op3_suffix_dedup, op4_sharding, op5_mixing, op6_bpe, op7_toxicity, op8_url_filters, op9_media_columns, op10_jaccard_join, op11_prefix_trie, op12_language_id, op13_periodic_runs)
 }
 
 #: The others cannot be told whole in SQL: models, tokenizers or media take part
 #: in each of their results. They are tested against brute force instead.
-ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": oracles.TRIE}
+ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": oracles.TRIE, "op13_periodic_runs": oracles.PERIODIC}
