@@ -47,19 +47,40 @@ def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/partwise-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    for made in _made:
+        made.append((df.sparkSession, path))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._partwise_path = path  # type: ignore[attr-defined]
     return out
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Remove what ``materialize`` wrote, once nothing reads it any more."""
     for df in frames:
         path = getattr(df, "_partwise_path", None)
         if path:
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(df.sparkSession, path)
+
+
+_made: list[list[tuple[SparkSession, str]]] = []
+
+
+def stored(compute: Callable[[], DataFrame], codec: str = "snappy") -> DataFrame:
+    """What ``compute`` gives, written once; all tables that it made on the way are removed."""
+    _made.append([])
+    try:
+        out = materialize(compute(), codec)
+    finally:
+        made = _made.pop()
+    for spark, path in made:
+        if path != out._partwise_path:
+            _remove(spark, path)
+    return out
 
 
 def ordered_index(df: DataFrame, order: Iterable[Column], name: str) -> DataFrame:

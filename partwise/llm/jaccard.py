@@ -11,8 +11,8 @@
    a shingle the most central (the least share of shingles that no other node
    has) becomes a pivot, and the others meet it: exact distances are computed
    from whole sets, and nodes within r = 1 - t of a pivot are linked through it.
-   A node's region is that of its nearest pivot; a node at a boundary is
-   replicated to every other pivot it meets.
+   No nearest pivot is sought: a node belongs to the region of every pivot that
+   it meets, so regions overlap where Voronoi regions would meet at boundaries.
 4. Regions whose nodes are not in one component go on. Partners x and y in the
    region of p differ in at most E = (1 - t) / (1 + t) (|x| + |y|) shingles. By
    the triangle inequality of the symmetric difference, taken apart into what p

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from partwise.llm.common import WORD, digest_unit, materialize, ordered_index
+from partwise.llm.common import WORD, digest_unit, materialize, ordered_index, stored
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 ROWS_PER_BUCKET = 20_000
-#: Share of its target by which a source may miss it before documents are exchanged.
-CLOSE = 0.001
+#: Rows of one number for each source go to every task up to so many sources; beyond, they are joined by shuffle.
+MOST_BROADCAST = 100_000
+#: Rounds in which documents of at most one in so many of what a source misses are added or taken away in rank order: each leaves less than that share, unless they run out.
+ROUNDS, SHARE = 3, 8
+#: Documents of each size class (powers of two), in the sample and outside, from which the last exchanges of a source are chosen, and how many there are at most.
+EACH_CLASS, MOST_EXCHANGES = 4, 64
 
 
 def source_targets(sizes: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -44,129 +48,145 @@ def source_targets(sizes: DataFrame, most: int = MOST_COPIES, weights: tuple[int
     return src.withColumn("target", F.least(F.col("weight") * F.lit(float(level)), (F.col("source_size") * most).cast("double")))
 
 
-def _with_gap(rows: DataFrame, gaps: DataFrame) -> DataFrame:
-    """``rows`` with the ``gap`` of their source; sources without one go."""
-    return rows.join(F.broadcast(gaps.select(F.col("source").alias("g"), "gap")), F.col("source").eqNullSafe(F.col("g"))).drop("g")
+def _by_source(rows: DataFrame, values: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``values``, which has a row for each source (null is one)."""
+    own = values.withColumnRenamed("source", "__s")
+    own = F.broadcast(own) if values.count() <= MOST_BROADCAST else own
+    return rows.join(own, F.col("source").eqNullSafe(F.col("__s")), how).drop("__s")
 
 
-def _nearest(pool: DataFrame) -> DataFrame:
-    """(source, miss, row, taken): for each source the document whose size is nearest to the gap, if it brings the sum nearer."""
-    miss = F.abs(F.col("size") - F.col("gap"))
-    near = pool.where(miss < F.col("gap")).groupBy("source").agg(F.min(F.struct(miss.alias("miss"), F.col("rank"), F.col("row"), F.col("size"))).alias("best"))
-    return near.select("source", "best.miss", "best.row", F.col("best.size").alias("taken"))
+def inclusion(slim: DataFrame, src: DataFrame) -> DataFrame:
+    """(source, factor) so that the chances min(1, factor * sqrt(size)) of a source's documents let one expect ``rest`` words.
+
+    Documents that would exceed 1 are certain, and the others share what is then
+    left, again and again until no further one exceeds it.
+    """
+    factors, before = None, -1
+    while True:
+        if factors is None:
+            rows = slim.withColumn("sure", F.lit(False))
+        else:
+            rows = _by_source(slim, factors).withColumn("sure", F.col("factor") * F.sqrt("size") >= 1)
+        sums = rows.groupBy("source").agg(
+            F.sum(F.when(F.col("sure"), F.col("size")).otherwise(0)).alias("held"), F.sum(F.when(~F.col("sure"), F.sqrt("size") * F.col("size")).otherwise(0.0)).alias("weighted"),
+            F.sum(F.col("sure").cast("long")).alias("n_sure"),
+        )
+        left = F.greatest(F.col("rest") - F.col("held"), F.lit(0.0))
+        factors = materialize(_by_source(src.select("source", "rest"), sums).select("source", F.when(F.col("weighted") > 0, left / F.col("weighted")).otherwise(0.0).alias("factor"), "n_sure"))
+        sure = factors.agg(F.sum("n_sure")).first()[0] or 0
+        if sure == before:
+            return factors.drop("n_sure")
+        factors, before = factors.drop("n_sure"), sure
+
+
+def ranks(slim: DataFrame, factors: DataFrame) -> DataFrame:
+    """``slim`` with ``chance`` and ``rank``: the odds of the random number ``u`` divided by those of the chance, brought to 0 to 1. Certain documents rank 0."""
+    odds = lambda p: p / (1 - p)
+    chance = F.least(F.col("factor") * F.sqrt("size"), F.lit(1.0))
+    rows = _by_source(slim, factors).withColumn("chance", chance).drop("factor")
+    pareto = odds(F.col("u")) / odds(F.greatest("chance", F.lit(1e-12)))
+    return rows.withColumn("rank", F.when(F.col("chance") >= 1, 0.0).otherwise(pareto / (1 + pareto)))
 
 
 def _leading(fits: DataFrame) -> DataFrame:
-    """(row, source, size) of the documents of each source that come first in Pareto order and fit its gap together."""
-    sums = fits.groupBy("source", "gap", "bucket").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    split = (
-        sums.withColumn("upto", upto).where(F.col("upto") - F.col("words") < F.col("gap")).groupBy("source")
-        .agg(F.max(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
-        .select(F.col("source").alias("s"), F.col("at.bucket").alias("last"), F.col("at.before").alias("before"))
-    )
-    split = F.broadcast(split)
-    at = fits.join(split, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
+    """The rows of each source that come first in rank order and whose ``count`` fit its ``gap`` together.
+
+    Buckets of ranks are summed first; only the bucket in which the gap ends is
+    put in order.
+    """
+    sums = fits.groupBy("source", "gap", "bucket").agg(F.sum("count").alias("all"))
+    upto = F.sum("all").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    begun = sums.withColumn("upto", upto).where(F.col("upto") - F.col("all") < F.col("gap"))
+    last = begun.groupBy("source").agg(F.max(F.struct("bucket", (F.col("upto") - F.col("all")).alias("before"))).alias("at"))
+    at = _by_source(fits, materialize(last.select("source", F.col("at.bucket").alias("last"), F.col("at.before").alias("before"))))
+    running = F.sum("count").over(Window.partitionBy("source").orderBy("rank", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0))
     edge = at.where(F.col("bucket") == F.col("last")).withColumn("upto", F.col("before") + running).where("upto <= gap")
-    return at.where(F.col("bucket") < F.col("last")).select("row", "source", "size").union(edge.select("row", "source", "size"))
+    return at.where(F.col("bucket") < F.col("last")).select("row").union(edge.select("row"))
 
 
-def _moves(pool: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, source) of documents that fill the ``gap`` of each source from ``pool``, and (source, gap) after that.
+def pareto_sample(every: DataFrame) -> DataFrame:
+    """(row) of the documents that rank lowest in each source: as many as the chances of its documents sum to."""
+    draws = materialize(every.groupBy("source").agg(F.round(F.sum("chance")).cast("long").alias("gap")))
+    return _leading(_by_source(every.withColumn("count", F.lit(1)), draws))
 
-    In rounds: documents larger than the gap are out, the others are taken in
-    Pareto order while they fit; the one that stops this is larger than the new
-    gap, so each round goes on behind it, until nothing fits. A source ends with
-    the round after which its nearest document brings the sum nearest, and with
-    that document, even if the sum then exceeds the gap.
-    """
-    columns = pool.columns
-    gaps = materialize(pool.select("source", "gap").distinct())
-    rounds: list[DataFrame] = []
-    ends: list[DataFrame] = []
-    while True:
-        k = len(rounds)
-        near = F.broadcast(_nearest(pool).withColumnRenamed("source", "s"))
-        end = gaps.join(near, F.col("source").eqNullSafe(F.col("s")), "left")
-        ends.append(materialize(end.select("source", F.struct(F.coalesce("miss", "gap").alias("miss"), F.lit(-k).alias("back"), "gap", "row", "taken").alias("end"))))
-        lead = materialize(_leading(pool.where("size <= gap")).withColumn("k", F.lit(k)))
-        if lead.isEmpty():
-            break
-        rounds.append(lead)
-        sums = lead.groupBy("source").agg(F.sum("size").alias("words")).withColumnRenamed("source", "s")
-        # A source that took nothing is done.
-        gaps = materialize(gaps.join(F.broadcast(sums), F.col("source").eqNullSafe(F.col("s"))).select("source", (F.col("gap") - F.col("words")).alias("gap")))
-        left = _with_gap(pool.drop("gap"), gaps).where(F.col("size") < 2 * F.col("gap"))
-        pool = materialize(left.join(lead.select("row"), "row", "left_anti").select(*columns))
-    best = materialize(reduce(DataFrame.union, ends).groupBy("source").agg(F.min("end").alias("end")).select("source", "end.*"))
-    moved = best.where("row is not null").select("row", "source")
-    if rounds:
-        last = F.broadcast(best.select(F.col("source").alias("s"), (-F.col("back")).alias("last")))
-        moved = moved.union(reduce(DataFrame.union, rounds).join(last, F.col("source").eqNullSafe(F.col("s"))).where("k < last").select("row", "source"))
-    return materialize(moved), best.select("source", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap"))
-
-
-def _toggled(picked: DataFrame, moved: DataFrame) -> DataFrame:
-    return materialize(picked.join(moved.select("row"), "row", "left_anti").union(moved.join(picked.select("row"), "row", "left_anti")).select("row", "source"))
-
-
-def _pool(every: DataFrame, picked: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Documents that can be moved: those not picked where words are missing, in Pareto order; the picked ones where there are too many, in the reverse order."""
-    rows = _with_gap(every, gaps.where("gap <> 0")).join(picked.select("row", F.lit(True).alias("is")), "row", "left")
+
+def _gaps(state: DataFrame, rests: DataFrame) -> DataFrame:
+    """(source, gap): the words that the picked documents of each source miss; less than 0 if they are too many."""
+    words = state.groupBy("source").agg(F.sum(F.when(F.col("picked"), F.col("size")).otherwise(0)).alias("words"))
+    return materialize(_by_source(rests, words).select("source", (F.col("rest") - F.col("words")).alias("gap")))
+
+
+def _nearer(state: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``state`` after a round: small documents join in rank order where words are missing, and leave from the other end where there are too many."""
+    rows = _by_source(state, gaps).where((F.col("picked") == (F.col("gap") < 0)) & (F.col("size") * SHARE <= F.abs("gap")))
     over = F.col("gap") < 0
-    rows = rows.where(over == F.col("is").isNotNull())
     turned = lambda c, back: F.when(over, back).otherwise(F.col(c)).alias(c)
-    return rows.select("row", "doc_id", "source", "size", turned("rank", 1 - F.col("rank")), turned("bucket", -F.col("bucket")), F.abs("gap").alias("gap"))
+    moved = _leading(rows.select("row", "doc_id", "source", F.col("size").alias("count"), turned("rank", 1 - F.col("rank")), turned("bucket", -F.col("bucket")), F.abs("gap").alias("gap")))
+    return _flipped(state, moved)
 
 
-def _settle(every: DataFrame, picked: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds and takes away documents in turn as long as that brings a source nearer: (row, source) and the (source, gap) left."""
-    while True:
-        pool = materialize(_pool(every, picked, gaps).where(F.col("size") < 2 * F.col("gap")))
-        moved, left = _moves(pool)
-        if moved.isEmpty():
-            return picked, gaps
-        picked = _toggled(picked, moved)
-        left = left.select(F.col("source").alias("s"), F.col("gap").alias("left"))
-        both = gaps.join(F.broadcast(left), F.col("source").eqNullSafe(F.col("s")), "left")
-        gaps = materialize(both.select("source", F.when(F.col("left").isNull(), F.col("gap")).otherwise(F.signum("gap") * F.col("left")).alias("gap")))
-
-
-def _fill(ranked: DataFrame) -> DataFrame:
-    """(row, extra) of the documents that fill what is left of each source's target.
-
-    The Pareto sample comes first: as many documents as the inclusion
-    probabilities sum to, those that rank lowest. Its words come near what is
-    left; documents are then added or taken away in rank order. Where a source then misses its target by more than CLOSE of it, the
-    smallest document too large for the gap changes sides and others make up for
-    it; this stands if the source ends nearer, and is tried again.
+def _flipped(state: DataFrame, moved: DataFrame) -> DataFrame:
+    rows = state.join(moved.select("row", F.lit(True).alias("moved")), "row", "left")
+    return materialize(rows.withColumn("picked", F.col("picked") != F.coalesce("moved", F.lit(False))).drop("moved"))
+
+
+def exchanged(gap: float, steps: np.ndarray) -> list[int]:
+    """Which of the documents to move, each with the words that it would add: one or two at a time, as long as the gap shrinks."""
+    left, out = list(range(len(steps))), []
+    for _ in range(MOST_EXCHANGES):
+        if not left:
+            break
+        x = steps[left]
+        one = np.abs(gap - x)
+        i = int(one.argmin())
+        best, pick = one[i], [i]
+        if best > 0.5 and len(x) > 1:
+            two = np.abs(gap - x[:, None] - x[None, :])
+            np.fill_diagonal(two, np.inf)
+            if two.min() < best:
+                best, pick = two.min(), sorted(map(int, np.unravel_index(two.argmin(), two.shape)))
+        if best >= abs(gap):
+            break
+        gap -= x[pick].sum()
+        out += [left[k] for k in pick]
+        left = [k for n, k in enumerate(left) if n not in pick]
+    return out
+
+
+def _exchanges(state: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(row) of the documents that change sides at last: for each source from EACH_CLASS documents of each size class on either side, those next in rank."""
+    order = Window.partitionBy("source", "picked", "class").orderBy(F.when(F.col("picked"), -F.col("rank")).otherwise(F.col("rank")), "doc_id", "row")
+    classes = state.withColumn("class", F.floor(F.log2("size")).cast("int"))
+    # First the buckets that hold the next few: only these are put in order.
+    near = F.when(F.col("picked"), -F.col("bucket")).otherwise(F.col("bucket"))
+    sums = classes.withColumn("near", near).groupBy("source", "picked", "class", "near").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source", "picked", "class").orderBy("near").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = sums.withColumn("before", before).where(F.col("before") < EACH_CLASS).select(F.struct("source", "picked", "class", "near").alias("k"))
+    rows = classes.withColumn("k", F.struct("source", "picked", "class", near.alias("near"))).join(wanted, "k", "left_semi")
+    few = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= EACH_CLASS)
+    step = F.when(F.col("picked"), -F.col("size")).otherwise(F.col("size")).alias("step")
+    pool = _by_source(few, gaps.where("gap <> 0")).select("source", "gap", step, "rank", "row")
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["rank", "row"]).reset_index(drop=True)
+        return group.loc[exchanged(float(group["gap"][0]), group["step"].to_numpy(float)), ["row"]]
+
+    return pool.groupBy("source").applyInPandas(choose, "row long")
+
+
+def _fill(ranked: DataFrame, rests: DataFrame) -> DataFrame:
+    """(row, picked) of documents whose words come near the ``rest`` of their source.
+
+    The Pareto sample of fixed size comes first. As documents come whole, its
+    words are then brought nearer in ROUNDS rounds by rank order and by one last
+    exchange of a few documents of each size.
     """
-    open_ = ranked.where("rest > 0 and size > 0")
-    every = materialize(open_.select("row", "doc_id", "source", "size", "rank", "bucket"))
-    targets = materialize(open_.select("source", F.col("rest").alias("gap"), "draws", (F.col("target") * CLOSE).alias("most")).distinct())
-    one_each = every.withColumn("size", F.lit(1)).join(F.broadcast(targets.select(F.col("source").alias("s"), F.col("draws").alias("gap"))), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    picked = materialize(_leading(one_each).select("row", "source"))
-    words = every.join(picked.select("row"), "row", "left_semi").groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("words"))
-    gaps = targets.join(F.broadcast(words), F.col("source").eqNullSafe(F.col("s")), "left")
-    gaps = materialize(gaps.select("source", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap")))
-    picked, gaps = _settle(every, picked, gaps)
-    most = F.broadcast(targets.select(F.col("source").alias("s"), "most"))
-    open_gaps = materialize(gaps.join(most, F.col("source").eqNullSafe(F.col("s"))).where("abs(gap) > most").select("source", "gap", "most"))
-    while not open_gaps.isEmpty():
-        large = _pool(every, picked, open_gaps).where("size > gap")
-        turn = materialize(large.groupBy("source").agg(F.min(F.struct("size", "rank", "row")).alias("x")).select("source", "x.size", "x.row"))
-        own = open_gaps.join(F.broadcast(turn.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-        tried = materialize(own.select("source", (F.col("gap") - F.signum("gap") * F.col("size")).alias("gap")))
-        after, left = _settle(every, _toggled(picked, turn.select("row", "source")), tried)
-        left = left.select(F.col("source").alias("s"), F.col("gap").alias("left"))
-        nearer = open_gaps.join(F.broadcast(left), F.col("source").eqNullSafe(F.col("s"))).where("abs(left) < abs(gap)")
-        nearer = materialize(nearer.select("source", F.col("left").alias("gap"), "most"))
-        ok = F.broadcast(nearer.select(F.col("source").alias("s")))
-        same = F.col("source").eqNullSafe(F.col("s"))
-        picked = materialize(picked.join(ok, same, "left_anti").union(after.join(ok, same, "left_semi")))
-        open_gaps = nearer.where("abs(gap) > most")
-    return picked.select("row", F.lit(True).alias("extra"))
+    sample = pareto_sample(ranked).withColumn("picked", F.lit(True))
+    state = ranked.select("row", "doc_id", "source", "size", "rank", "bucket").join(sample, "row", "left").withColumn("picked", F.coalesce("picked", F.lit(False)))
+    state = materialize(state)
+    for _ in range(ROUNDS):
+        state = _nearer(state, _gaps(state, rests))
+    return _flipped(state, materialize(_exchanges(state, _gaps(state, rests)))).select("row", "picked")
 
 
 def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEIGHTS, row: str | None = None) -> DataFrame:
@@ -174,14 +194,14 @@ def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEI
 
     Every document of a source first gets the whole copies that its source's
     ratio of target to size makes certain. The rest of the target is filled by
-    Pareto order sampling: a document of size s has the inclusion probability
-    rest * sqrt(s) / sum(sqrt(s) * s), so that the words expected are the rest;
-    documents rank by the odds of a random number divided by their inclusion
-    odds, and as many as the probabilities sum to are taken, lowest ranks first.
-    As documents come whole, others are then added, taken away or exchanged in
-    rank order, as long as that brings a source's words nearer (see _fill).
-    No document exceeds ``most`` copies. The random number is a hash of doc_id,
-    source and size: reruns agree.
+    Pareto order sampling: a document of size s has a chance in proportion to
+    sqrt(s), 1 at most, so that the words expected are the rest (see
+    ``inclusion``); documents rank by the odds of a random number divided by the
+    odds of their chance, and as many as the chances sum to are taken, lowest
+    ranks first. As documents come whole, a fixed number of rounds then brings
+    the words nearer (see _fill): what is kept is the Pareto sample but for
+    these documents. No document exceeds ``most`` copies. The random number is a
+    hash of doc_id, source and size: reruns agree.
 
     Null text: size 0. Null source: a source of its own. A size of 0 is never
     taken. Rows that repeat count one by one; ties rank by row. Empty table: no
@@ -195,26 +215,21 @@ def mix(docs: DataFrame, most: int = MOST_COPIES, weights: tuple[int, ...] = WEI
     src = source_targets(slim, most, weights)
     copies = F.least(F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))), F.lit(most)).cast("long")
     src = src.withColumn("copies", F.coalesce(copies, F.lit(0)))
-    src = src.withColumn("rest", F.when(F.col("copies") < most, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(0.0))
-    sums = slim.groupBy(F.col("source").alias("s")).agg(F.sum(F.sqrt("size") * F.col("size")).alias("weighted"), F.sum(F.sqrt("size")).alias("roots"))
-    src = src.join(F.broadcast(sums), F.col("source").eqNullSafe(F.col("s"))).drop("s")  # a row for each source
-    chance = F.col("rest") * F.sqrt("size") / F.greatest(F.col("weighted"), F.lit(1e-9))
-    src = materialize(src.withColumn("draws", F.round(F.least(F.col("rest") * F.col("roots") / F.greatest(F.col("weighted"), F.lit(1e-9)), F.col("n").cast("double"))).cast("long")))
-
-    ranked = slim.join(src.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    odds = lambda p: p / (1 - p)
-    pareto = odds(F.col("u")) / odds(F.greatest(F.least(chance, F.lit(1 - 1e-9)), F.lit(1e-12)))
-    buckets = max(1, slim.count() // ROWS_PER_BUCKET)
-    ranked = ranked.withColumn("rank", pareto / (1 + pareto)).withColumn("bucket", F.floor(F.col("rank") * buckets))
-
-    ranked = materialize(ranked)
-    picked = _fill(ranked)
-    state = ranked.join(picked, "row", "left").withColumn("extra", F.coalesce("extra", F.lit(False)))
-    taken = state.withColumn("copies", F.col("copies") + F.col("extra").cast("long"))
+    src = materialize(src.withColumn("rest", F.when(F.col("copies") < most, F.col("target") - F.col("copies") * F.col("source_size")).otherwise(0.0)))
+    picked = stored(lambda: _picked(slim, src.where("rest > 0 and source_size > 0").select("source", "rest")))
+    state = _by_source(slim, src).join(picked, "row", "left")
+    taken = state.withColumn("copies", F.col("copies") + F.coalesce("picked", F.lit(False)).cast("long"))
     out = ["doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")]
     return taken.select(*out, *([F.col("row").alias(row)] if row else []))
 
 
+def _picked(slim: DataFrame, rests: DataFrame) -> DataFrame:
+    open_ = slim.where("size > 0")
+    ranked = ranks(open_, inclusion(open_, rests))
+    buckets = max(1, slim.count() // ROWS_PER_BUCKET)
+    return _fill(materialize(ranked.withColumn("bucket", F.floor(F.col("rank") * buckets))), rests)
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents the mix takes, each row as often as it is taken, with the columns of ``docs``.
 

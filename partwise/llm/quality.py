@@ -18,12 +18,9 @@ REPEAT = 8
 #: Words up to this length (characters) can be common words of a reference.
 LONGEST = 24
 COMMON = 60
-#: A language with fewer words has no reference, and its documents are not judged by histograms.
-LEAST_LANGUAGE = 1_000
-#: All documents are held against the references of so many languages, those with most words; besides, each against that of its own language.
-SHARED = 32
-#: Up to so many references of other languages (about 2 KB each) are broadcast; more are joined by shuffle.
-MOST_BROADCAST = 4_000
+#: A language with fewer words, or with a smaller share of all words than one in so many, has no reference, and its documents are not judged by
+#: histograms. The share bounds the references, which all go to each task, at every size of the corpus: 4,000 of about 2 KB.
+LEAST_LANGUAGE, LEAST_SHARE = 1_000, 4_000
 #: Guards: documents below these sizes are not judged by the histogram in question.
 LEAST_BYTES, LEAST_WORDS = 200, 50
 #: A document fails if its distance to every reference is above these.
@@ -134,13 +131,15 @@ def reference_table(docs: DataFrame) -> DataFrame:
         F.array(*[F.coalesce(F.max(F.when((F.col("kind") == "class") & (F.col("item") == c.encode()), F.col("n"))), F.lit(0)) for c in CLASSES]).alias("classes"),
         ranked("word").alias("w"), F.coalesce(F.max(F.when(F.col("kind") == "all", F.col("n"))), F.lit(0)).alias("total"),
     )
-    rows = own.where(F.col("total") >= LEAST_LANGUAGE)
-    return materialize(rows.select("lang", "classes", F.transform("w", lambda x: x["item"]).alias("words"), F.transform("w", lambda x: -x["m"]).alias("counts"), "total"))
+    own = materialize(own)
+    words = own.agg(F.sum("total")).first()[0] or 0
+    rows = own.where((F.col("total") >= LEAST_LANGUAGE) & (F.col("total") * LEAST_SHARE >= words))
+    return rows.select("lang", "classes", F.transform("w", lambda x: x["item"]).alias("words"), F.transform("w", lambda x: -x["m"]).alias("counts"), "total")
 
 
-def shared_references(table: DataFrame, most: int = SHARED) -> list[Reference]:
-    """The references of the languages with most words."""
-    return [_reference(r["lang"], r["classes"], r["words"], r["counts"], r["total"]) for r in table.orderBy(F.desc("total"), "lang").limit(most).collect()]
+def references(table: DataFrame) -> list[Reference]:
+    """All references, those of the largest languages first."""
+    return [_reference(r["lang"], r["classes"], r["words"], r["counts"], r["total"]) for r in table.orderBy(F.desc("total"), "lang").collect()]
 
 
 def divergence(raw: bytes, words: list[bytes], refs: list) -> tuple[float | None, float | None]:
@@ -166,32 +165,23 @@ def quality(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Counts, base rules and verdict for each row of ``docs`` (doc_id, text, lang).
 
     ``kept`` is false if a base rule fails; else false only where a distance
-    that its guard lets count is above its limit for the references of all large
-    languages and for that of the document's own language. A document whose
-    language has no reference is not judged by distances (both are null). Null
-    and empty texts have no words and fail. A null language counts as a language
-    of its own. Repeated rows are judged one by one; an empty table gives no rows.
+    that its guard lets count is above its limit for the references of all
+    languages. A document whose own language has no reference is not judged by
+    distances (both are null). Null and empty texts have no words and fail. A
+    null language counts as a language of its own. Repeated rows are judged one
+    by one; an empty table gives no rows.
     """
-    table = reference_table(docs) if table is None else table
-    shared = shared_references(table)
-    known = {r[0] for r in shared}
+    refs = references(reference_table(docs) if table is None else table)
+    known = {r[0] for r in refs}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    others = table.where(~F.col("lang").isin(*known)) if known else table
-    n = others.count()
-    if n:
-        own = others.select(F.col("lang").alias("l"), F.struct("classes", "words", "counts", "total").alias("own"))
-        rows = rows.join(F.broadcast(own) if n <= MOST_BROADCAST else own, F.col("lang") == F.col("l"), "left").drop("l")
-    else:
-        rows = rows.withColumn("own", F.lit(None).cast("struct<classes:array<long>,words:array<binary>,counts:array<long>,total:long>"))
 
     def judge(batches: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for batch in batches:
             out = []
-            for doc_id, text, lang, own in batch:
+            for doc_id, text, lang in batch:
                 raw, words, counts = base_counts(text)
                 failed = counts[0] < 20 or 100 * counts[4] > 30 * counts[0]
-                refs = shared if lang in known else [*shared, _reference(lang, own["classes"], own["words"], own["counts"], own["total"])] if own else []
-                by_class, by_word = divergence(raw, words, refs)
+                by_class, by_word = divergence(raw, words, refs if lang in known else [])
                 far = (by_class is not None and by_class > MOST_CLASS) or (by_word is not None and by_word > MOST_WORD)
                 out.append((doc_id, *counts, failed, not failed and not far, by_class, by_word))
             yield out
