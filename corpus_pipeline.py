@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partwise.llm import bpe, jaccard, mixing, secrets, toxicity
-from partwise.llm.common import materialize, table
+from partwise.llm.common import discard, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet in the shared folder and read again by the next."""
+    """All stages, each written as Parquet in the shared folder and read again by the next.
+
+    What a stage has written for itself goes when it is done, and its input when
+    the next stage is.
+    """
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, "zstd")
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, stored(partial(stage, spark, docs, sf_dir), "zstd")
+        discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
