@@ -14,9 +14,18 @@ def local_name(name: Column) -> Column:
     return F.substring_index(name, ":", -1)
 
 
+#: The characters that Unicode calls white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def trimmed(text: Column) -> Column:
     """Without white space of any script at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
+
+
+def upto(text: Column, mark: str) -> Column:
+    """What goes up to the last mark, with it; empty if there is none. Patterns that end with the mark then find it from wherever they begin."""
+    return F.left(text, F.length(text) - F.length(F.substring_index(text, mark, -1)))
 
 
 def lowered(text: Column) -> Column:
@@ -39,18 +48,21 @@ def character(code: Column) -> Column:
 
 
 def _entity(e: Column) -> Column:
-    out = F.when(F.startswith(e, F.lit("#x")), F.when(F.rlike(e, F.lit(r"^#x\+?[0-9a-fA-F]{1,15}$")), character(F.conv(F.regexp_replace(e, r"^#x\+?", ""), 16, 10).cast("long"))).otherwise(F.lit("")))
-    out = out.when(F.startswith(e, F.lit("#")), F.when(F.rlike(e, F.lit(r"^#\+?[0-9]{1,18}$")), character(F.regexp_replace(e, r"^#\+?", "").cast("long"))).otherwise(F.lit("")))
-    for name, text in ENTITIES.items():
-        out = F.when(e == name, F.lit(text)).otherwise(out)
-    known = F.startswith(e, F.lit("#")) | e.isin(*ENTITIES)
-    return F.when(known, out).otherwise(F.concat(F.lit("&"), e, F.lit(";")))
+    number = F.regexp_extract(e, r"^#\+?([0-9]{1,18})$", 1)
+    code = F.coalesce(number.try_cast("long"), F.conv(F.nullif(F.regexp_extract(e, r"^#x\+?([0-9a-fA-F]{1,15})$", 1), F.lit("")), 16, 10).cast("long"), F.lit(-1))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair]), e)
+    return F.when(F.startswith(e, F.lit("#")), character(code)).otherwise(F.coalesce(named, F.concat(F.lit("&"), e, F.lit(";"))))
 
 
 def decode_entities(text: Column) -> Column:
     """Entities and character references decoded; bad numbers vanish, unknown names and a lone ``&`` stay."""
-    between, found = F.split(text, r"(?s)&[^;]*;"), F.regexp_extract_all(text, F.lit(r"(?s)&([^;]*);"), F.lit(1))
-    return F.array_join(F.zip_with(between, found, lambda t, e: F.concat(t, F.when(e.isNull(), F.lit("")).otherwise(_entity(e)))), "")
+
+    def told(own: Column) -> Column:
+        between, found = F.split(own, r"(?s)&[^;]*+;"), F.regexp_extract_all(own, F.lit(r"(?s)&([^;]*+);"), F.lit(1))
+        return F.array_join(F.zip_with(between, found, lambda t, e: F.concat(t, F.when(e.isNull(), F.lit("")).otherwise(_entity(e)))), "")
+
+    # Behind the last semicolon nothing is an entity.
+    return F.when(F.contains(text, F.lit("&")), F.concat(told(upto(text, ";")), F.substring_index(text, ";", -1))).otherwise(text)
 
 
 def decode_css(text: Column) -> Column:

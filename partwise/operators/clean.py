@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partwise.operators.entries import IMAGE_RULE, META_ITEM, TIFF, VIDEO_RULE
+from partwise.functions.text import local_name, lowered
+from partwise.operators.svg import URL_NAMES, stays
 from partwise.operators.walk import arrow_schema, parts_array, parts_of, slices
 from partwise.walkers import Damaged
 from partwise.walkers.audio import CODECS, header_packets, page_crc, pages
@@ -37,8 +40,19 @@ KEEP |= {"mov": KEEP["mp4"], "avif": KEEP["heic"], "heif": KEEP["heic"]}
 MARKS = "array<struct<kind:string,offset:long,size:long,n:long,num:long,sub:boolean,text:string,keep:boolean>>"
 
 
-def marks() -> Column:
-    """The parts without what they carry, each marked by whether it stays."""
+def marks(types: Iterable[str] | None = None) -> Column:
+    """The parts without what they carry, each marked by whether it stays; ``types`` leaves out those that cannot occur."""
+    rows = _marks()
+    if types is not None and "svg" not in types:
+        return rows
+    fields = lambda x: [x[f].alias(f) for f in ("kind", "offset", "size", "n", "num", "sub")]
+    # Of the values only addresses are read again, which may hold an image.
+    address = lambda x: F.when((x["kind"] == "ATTRIBUTE") & lowered(local_name(x["text"])).isin(*URL_NAMES), x["data"].cast("string"))
+    svg = F.transform("parts", lambda x: F.struct(*fields(x), address(x).alias("text"), F.coalesce(stays(x), F.lit(False)).alias("keep")))
+    return F.when(F.col("file_type") == "svg", svg.cast(MARKS)).otherwise(rows.cast(MARKS))
+
+
+def _marks() -> Column:
     arms = " ".join(f"when '{t}' then coalesce({k}, false)" for t, k in KEEP.items())
     fields = ", ".join(f"'{f}', x.{f}" for f in ("kind", "offset", "size", "n", "num", "sub"))
     return F.expr(f"transform(parts, x -> named_struct({fields}, 'text', if(x.kind in ('FILE', 'FAULT'), x.text, null), 'keep', case file_type {arms} else false end))")
@@ -150,6 +164,28 @@ JOIN: dict[str, Callable[[bytes, list[Mark]], bytes]] = {
 }
 
 
+#: What an SVG with images in data addresses answers: they are files of their own.
+PACKAGED_IMAGE = "Cleaning of images in data addresses is not supported"
+_DATA_IMAGE = re.compile(r"\s*[\"']*\s*data:[^,]*;base64,", re.I)
+
+
+def _svg(b: bytes, own: list[Mark]) -> bytes:
+    """The text outside the union of the ranges that go."""
+    out, at = [], own[0]["offset"]
+    for m in sorted(own[1:], key=lambda m: m["offset"]):
+        if m["keep"]:
+            if m["text"] and m["offset"] >= at and _DATA_IMAGE.match(m["text"]):
+                raise Damaged(PACKAGED_IMAGE)
+            continue
+        if m["offset"] > at:
+            out.append(b[at : m["offset"]])
+        at = max(at, m["offset"] + m["size"])
+    return b"".join([*out, b[at:]])
+
+
+JOIN["svg"] = _svg
+
+
 def joined(file_type: str, error: str | None, content: bytes | None, own: list[Mark]) -> tuple[str | None, bytes | None]:
     """(error, cleaned bytes) of one file."""
     if error is not None:
@@ -162,12 +198,14 @@ def joined(file_type: str, error: str | None, content: bytes | None, own: list[M
         return str(e), None
 
 
-def clean(walked: DataFrame, key: str = "path", again: bool = False) -> DataFrame:
+def clean(walked: DataFrame, key: str = "path", again: bool = False, types: Iterable[str] | None = None) -> DataFrame:
     """(key, file_type, error, cleaned, removed_bytes) from ``walk`` with content; ``cleaned`` is null where the file has an error.
 
     RIFF files get their size and padding anew, a WebP header loses its Exif and
     XMP flags, JPEG keeps its orientation, the last FLAC block is marked; TIFF
-    and ISO media keep their length. With ``again``, the cleaned bytes are walked
+    and ISO media keep their length; an SVG that holds images in data addresses
+    answers with an error. ``types`` are the file types that can occur, all if
+    not given. With ``again``, the cleaned bytes are walked
     in the same pass: ``again_error`` and ``parts`` of what is left.
     """
     kind = walked.schema[key].dataType.simpleString()
@@ -186,4 +224,4 @@ def clean(walked: DataFrame, key: str = "path", again: bool = False) -> DataFram
                 columns += [pa.array([e for e, _ in left], pa.string()), parts_array([p for _, p in left], schema.field("parts").type)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return walked.select(key, "file_type", "error", "content", marks().cast(MARKS).alias("marks")).mapInArrow(run, told)
+    return walked.select(key, "file_type", "error", "content", marks(types).cast(MARKS).alias("marks")).mapInArrow(run, told)

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from partwise.functions.text import decode_entities, lowered, shortened, trimmed
-from partwise.operators.xml import attribute_of, attributes, bare, count_tags, texts_of, values_of
+from partwise.operators.xml import attribute_of, attributes, attributes_in, bare, count_tags, texts_of, values_of
 
 KINDS = ("docx", "xlsx", "pptx", "epub", "odt", "ods", "odp")
 ENTRY = "array<struct<category:string,name:string,value:string>>"
@@ -52,6 +51,11 @@ def members(parts: Column) -> Column:
     return F.filter(parts, lambda x: x["kind"] == "ENTRY")
 
 
+def _bound(value: Column, rows: Callable[[Column], Column]) -> Column:
+    """``rows`` of a value that is told once, however often it is used."""
+    return F.get(F.transform(F.array(value), lambda v: rows(v)), 0)
+
+
 def _member(parts: Column, name: str | Column) -> Column:
     return F.get(F.filter(members(parts), lambda x: x["text"] == name), 0)
 
@@ -72,10 +76,11 @@ def safe_name(name: Column) -> Column:
 
 def package_path(parts: Column) -> Column:
     """The package document that an EPUB's container names; null if there is none."""
-    rootfile = r"""(?s)<(?:[^\s/>:]+:)*rootfile(\s(?:[^>"']|"[^"]*"|'[^']*')*)>"""
+    rootfile = r"""(?s)<(?:[^\s/>:]++:)*+rootfile(\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     tags = F.regexp_extract_all(bare(_xml(_member(parts, "META-INF/container.xml"))), F.lit(rootfile), F.lit(1))
-    media = lambda t: F.coalesce(attribute_of(t, "media-type"), F.lit(""))
-    paths = F.transform(F.filter(tags, lambda t: media(t).isin("", "application/oebps-package+xml")), lambda t: F.ltrim(F.replace(trimmed(attribute_of(t, "full-path")), F.lit("\\"), F.lit("/")), F.lit("/")))
+    own = F.transform(tags, lambda t: _bound(attributes_in(t), lambda a: F.struct(F.coalesce(attribute_of(a, "media-type"), F.lit("")).alias("media"), attribute_of(a, "full-path").alias("path"))))
+    fits = F.filter(own, lambda t: t["media"].isin("", "application/oebps-package+xml"))
+    paths = F.transform(fits, lambda t: F.ltrim(F.replace(trimmed(t["path"]), F.lit("\\"), F.lit("/")), F.lit("/")))
     return F.get(F.filter(paths, lambda p: F.array_contains(names(parts), p)), 0)
 
 
@@ -102,45 +107,57 @@ def removed_part(kind: str | Column, name: Column) -> Column:
 
 
 def _properties(parts: Column, name: str, label: str, tags: tuple[str, ...]) -> Column:
-    m = _member(parts, name)
-    head = _when(m.isNotNull(), one("Document properties", label, F.concat(m["n"].cast("string"), F.lit(" bytes"))))
-    return F.concat(head, *[_each(texts_of(_xml(m), t), partial(one, "Document properties", t)) for t in tags])
+    def told(m: Column) -> Column:
+        rows = lambda plain: _each(texts_of(plain, *tags), lambda x: one("Document properties", x["tag"], x["text"]))
+        return F.concat(F.array(one("Document properties", label, F.concat(m["n"].cast("string"), F.lit(" bytes")))), _bound(bare(_xml(m)), rows))
+
+    return _of(parts, name, told)
+
+
+def _of(parts: Column, name: str, rows: Callable[[Column], Column]) -> Column:
+    """``rows`` of the first member of that name; none if there is none."""
+    return F.flatten(F.transform(F.slice(F.filter(members(parts), lambda x: x["text"] == name), 1, 1), lambda m: rows(m)))
 
 
 def properties(parts: Column) -> Column:
     """Core, application and custom properties."""
-    custom = _member(parts, "docProps/custom.xml")
-    heads = F.regexp_extract_all(bare(_xml(custom)), F.lit(r"(?s)<(?:[^\s/>:]+:)?property(\s[^>]*)>"), F.lit(1))
-    own = F.filter(F.transform(heads, lambda h: attribute_of(h, "name")), lambda n: n.isNotNull())
+    head = r"(?s)<(?:[^\s/>:]++:)?+property(\s[^>]*+)>"
+
+    def custom(m: Column) -> Column:
+        names = F.filter(F.transform(F.regexp_extract_all(bare(_xml(m)), F.lit(head), F.lit(1)), lambda h: attribute_of(attributes_in(h), "name")), lambda n: n.isNotNull())
+        first = one("Document properties", "Custom properties", F.concat(m["n"].cast("string"), F.lit(" bytes")))
+        return F.concat(F.array(first), _each(names, lambda n: one("Document properties", "Custom property", shortened(n, 180))))
+
     return F.concat(
-        _properties(parts, "docProps/core.xml", "Core properties", CORE), _properties(parts, "docProps/app.xml", "App properties", APP),
-        _when(custom.isNotNull(), one("Document properties", "Custom properties", F.concat(custom["n"].cast("string"), F.lit(" bytes")))),
-        _each(own, lambda n: one("Document properties", "Custom property", shortened(n, 180))),
+        _properties(parts, "docProps/core.xml", "Core properties", CORE), _properties(parts, "docProps/app.xml", "App properties", APP), _of(parts, "docProps/custom.xml", custom)
     )
 
 
-def _authors(xmls: Column, attribute: str) -> Column:
-    """Distinct values of an attribute over texts, sorted and joined."""
-    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(xmls, lambda x: values_of(x, attribute)), lambda a: a.isNotNull())))), ", ")
+def _authors(own: Column, attribute: str) -> Column:
+    """Distinct values of an attribute over arrays of attributes, sorted and joined."""
+    return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(own, lambda x: values_of(x, attribute)), lambda a: a.isNotNull())))), ", ")
 
 
 def docx_review(parts: Column) -> Column:
     edited = F.filter(members(parts), lambda m: F.rlike(m["text"], F.lit(EDITED)))
     comments = F.filter(members(parts), lambda m: F.rlike(lowered(m["text"]), F.lit(REMOVED["docx"])))
-
-    def told(m: Column) -> Column:
-        xml = _xml(m)
-        counts = (
-            ("Tracked insertions in ", count_tags(xml, "ins", "moveTo")), ("Tracked deletions in ", count_tags(xml, "del", "moveFrom")),
-            ("Revision IDs in ", F.size(F.filter(attributes(xml), lambda a: F.startswith(F.substring_index(a["name"], ":", -1), F.lit("rsid"))))),
+    read = lambda m: _bound(bare(_xml(m)), lambda plain: F.struct(
+        m["text"].alias("name"), count_tags(plain, "ins", "moveTo").alias("ins"), count_tags(plain, "del", "moveFrom").alias("del"), attributes(plain).alias("own")
+    ))
+
+    def told(x: Column) -> Column:
+        ids = F.size(F.filter(x["own"], lambda a: F.startswith(F.substring_index(a["name"], ":", -1), F.lit("rsid"))))
+        counts = (("Tracked insertions in ", x["ins"]), ("Tracked deletions in ", x["del"]), ("Revision IDs in ", ids))
+        return F.concat(*[_when(n > 0, one("Review data", F.concat(F.lit(label), x["name"]), F.concat(n.cast("string"), F.lit(" present; removed during DOCX cleaning")))) for label, n in counts])
+
+    def rows(both: Column) -> Column:
+        authors = _authors(F.transform(F.concat(both["edited"], both["comments"]), lambda x: x["own"]), "author")
+        return F.concat(
+            F.flatten(F.transform(both["edited"], told)), F.transform(both["comments"], lambda x: one("Review data", F.concat(F.lit("Comments in "), x["name"]), "Present; removed during DOCX cleaning")),
+            _bound(authors, lambda a: _when(a != "", one("Review data", "Review authors", a))),
         )
-        return F.concat(*[_when(n > 0, one("Review data", F.concat(F.lit(label), m["text"]), F.concat(n.cast("string"), F.lit(" present; removed during DOCX cleaning")))) for label, n in counts])
 
-    authors = _authors(F.transform(F.concat(edited, comments), _xml), "author")
-    return F.concat(
-        F.flatten(F.transform(edited, told)), F.transform(comments, lambda m: one("Review data", F.concat(F.lit("Comments in "), m["text"]), "Present; removed during DOCX cleaning")),
-        _when(authors != "", one("Review data", "Review authors", authors)),
-    )
+    return _bound(F.struct(F.transform(edited, read).alias("edited"), F.transform(comments, read).alias("comments")), rows)
 
 
 def _review_parts(parts: Column, kind: str) -> Column:
@@ -149,40 +166,49 @@ def _review_parts(parts: Column, kind: str) -> Column:
     return F.transform(own, lambda m: one(category, m["text"], f"Present; removed during {kind.upper()} cleaning"))
 
 
+def _annotations(parts: Column, name: str) -> Column:
+    def told(plain: Column) -> Column:
+        n, authors = count_tags(plain, "annotation"), _authors(F.array(attributes(plain)), "creator")
+        return F.concat(
+            _when(F.coalesce(n > 0, F.lit(False)), one("Review data", f"Annotations in {name}", F.concat(n.cast("string"), F.lit(" present; removed during ODF cleaning")))),
+            _bound(authors, lambda a: _when(plain.isNotNull() & (a != ""), one("Review data", f"Review authors in {name}", a))),
+        )
+
+    return _of(parts, name, lambda m: _bound(bare(_xml(m)), told))
+
+
 def odf_entries(parts: Column) -> Column:
-    out = [_properties(parts, "meta.xml", "ODF metadata", ODF)]
-    for name in ("content.xml", "settings.xml"):
-        xml = _xml(_member(parts, name))
-        n, authors = count_tags(xml, "annotation"), _authors(F.array(xml), "creator")
-        out.append(_when(F.coalesce(n > 0, F.lit(False)), one("Review data", f"Annotations in {name}", F.concat(n.cast("string"), F.lit(" present; removed during ODF cleaning")))))
-        out.append(_when(xml.isNotNull() & (authors != ""), one("Review data", f"Review authors in {name}", authors)))
-    return F.concat(*out)
+    return F.concat(_properties(parts, "meta.xml", "ODF metadata", ODF), _annotations(parts, "content.xml"), _annotations(parts, "settings.xml"))
 
 
 def epub_entries(parts: Column) -> Column:
     """Dublin Core elements, identifiers, meta and link tags of the package, in the order of the text, and parts that go."""
     path = package_path(parts)
     xml = bare(_xml(_member(parts, path)))
-    pattern = r"(?s)<(?:[^\s/>:]+:)?(" + "|".join((*DUBLIN, "identifier", "meta", "link")) + r")((?:\s(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)?)(/?)>(?:([^<]*)</(?:[^\s/>:]+:)?\1\s*>)?"
+    pattern = r"(?s)<(?:[^\s/>:]+:)?(" + "|".join((*DUBLIN, "identifier", "meta", "link")) + r")((?:\s(?:[^>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+)?)(/?)>(?:([^<]*)</(?:[^\s/>:]+:)?\1\s*>)?"
     found = F.regexp_extract_all(xml, F.lit(pattern), F.lit(0))
 
-    def row(t: Column) -> Column:
-        tag, attrs = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
-        text = shortened(trimmed(decode_entities(F.regexp_extract(t, pattern, 4))), 180)
-        text = F.when((text != "") & (F.regexp_extract(t, pattern, 3) == ""), text)
-        prop = lowered(trimmed(F.coalesce(attribute_of(attrs, "property"), F.lit(""))))
-        name = lowered(trimmed(F.coalesce(attribute_of(attrs, "name"), F.lit(""))))
-        labelled = lambda lead, *keys: F.coalesce(*[F.concat(F.lit(f"{lead} "), shortened(attribute_of(attrs, k), 80)) for k in keys], F.lit(lead))
-        stays = F.startswith(prop, F.lit("rendition:")) | F.startswith(prop, F.lit("media:")) | (name == "cover")
+    def row(x: Column) -> Column:
+        tag, text = x["tag"], x["text"]
+        own = lambda k: attribute_of(x["own"], k)
+        labelled = lambda lead, *keys: F.coalesce(*[F.concat(F.lit(f"{lead} "), shortened(own(k), 80)) for k in keys], F.lit(lead))
+        stays = F.startswith(x["property"], F.lit("rendition:")) | F.startswith(x["property"], F.lit("media:")) | (x["name"] == "cover")
         return (
             F.when(tag.isin(*DUBLIN), one("EPUB metadata", tag, F.coalesce(text, F.lit("Present"))))
             .when((tag == "identifier") & (text != NO_IDENTIFIER), one("EPUB metadata", tag, text))
-            .when((tag == "meta") & (prop == "dcterms:modified"), F.when(text != NO_TIME, one("EPUB metadata", "dcterms:modified", text)))
-            .when((tag == "meta") & ~stays, one("EPUB metadata", labelled("meta", "property", "name"), F.coalesce(text, attribute_of(attrs, "content"), F.lit("Present"))))
-            .when(tag == "link", one("EPUB metadata", labelled("link", "rel"), F.coalesce(attribute_of(attrs, "href"), F.lit("Present"))))
+            .when((tag == "meta") & (x["property"] == "dcterms:modified"), F.when(text != NO_TIME, one("EPUB metadata", "dcterms:modified", text)))
+            .when((tag == "meta") & ~stays, one("EPUB metadata", labelled("meta", "property", "name"), F.coalesce(text, own("content"), F.lit("Present"))))
+            .when(tag == "link", one("EPUB metadata", labelled("link", "rel"), F.coalesce(own("href"), F.lit("Present"))))
         )
 
-    rows = F.filter(F.transform(found, row), lambda r: r.isNotNull())
+    def read(t: Column) -> Column:
+        text = shortened(trimmed(decode_entities(F.regexp_extract(t, pattern, 4))), 180)
+        closed = F.regexp_extract(t, pattern, 3) == ""
+        first = F.struct(F.regexp_extract(t, pattern, 1).alias("tag"), attributes_in(F.regexp_extract(t, pattern, 2)).alias("own"), F.when(closed, F.nullif(text, F.lit(""))).alias("text"))
+        low = lambda x, k: lowered(trimmed(F.coalesce(attribute_of(x["own"], k), F.lit(""))))
+        return _bound(first, lambda x: F.struct(x["tag"].alias("tag"), x["own"].alias("own"), x["text"].alias("text"), low(x, "property").alias("property"), low(x, "name").alias("name")))
+
+    rows = F.filter(F.transform(F.transform(found, read), row), lambda r: r.isNotNull())
     head = _when(F.size(rows) > 0, one("EPUB metadata", "Package metadata", F.concat(F.size(rows).cast("string"), F.lit(" removable entries in "), path)))
     return F.concat(F.coalesce(F.concat(head, rows), empty()), _review_parts(parts, "epub"))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from partwise.functions.text import WHITE
 from partwise.operators.documents import KINDS, document_entries, empty
 from partwise.operators.svg import svg_entries
 
@@ -49,8 +50,11 @@ _TAIL = "concat(x.n, ' bytes; removed during {} cleaning')"
 _PRINT = "regexp_replace({}, '[\\\\x00-\\\\x1F\\\\x7F]', '')"
 
 
+_WHITE = "".join(f"\\u{ord(c):04x}" for c in WHITE)
+
+
 def _trim(text: str) -> str:
-    return f"regexp_replace({text}, '(?U)^\\\\s+|\\\\s+$', '')"
+    return f"trim(both '{_WHITE}' from {text})"
 
 
 def _cut(text: str, n: int) -> str:
@@ -215,7 +219,7 @@ def entry_rows(file_type: Column, types: Iterable[str] | None = None) -> Column:
     if wanted & set(KINDS):
         arms.append((file_type.isin(*KINDS), document_entries(file_type, F.col("parts"))))
     if "svg" in wanted:
-        arms.append((file_type == "svg", svg_entries(F.get(F.col("parts"), 0)["data"])))
+        arms.append((file_type == "svg", svg_entries(F.col("parts"))))
     out = F.lit(None)
     for test, rows in arms:
         out = F.when(test, rows).otherwise(out)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from partwise.functions.text import base64_decode, lowered
 from partwise.operators.documents import IMAGES, KINDS, members
 from partwise.operators.entries import entries
-from partwise.operators.svg import data_addresses, opaque_references, svg_text
+from partwise.operators.svg import data_addresses, opaque_references
 from partwise.operators.walk import typed, walk
 
 PACKAGED = ("jpeg", "png", "webp", "gif", "tiff", "svg")
@@ -50,8 +50,8 @@ def packaged_entries(walked: DataFrame, key: str = "path") -> DataFrame:
 
 
 def data_uri_images(svgs: DataFrame, key: str = "path") -> DataFrame:
-    """(key, place, name, content) of the data addresses of SVG texts (key, content); null content unless it is base64 without entities."""
-    values = data_addresses(svg_text(F.col("content")))
+    """(key, place, name, content) of the data addresses of walked SVG texts; null content unless it is base64 without entities."""
+    values = data_addresses(F.col("parts"))
     rows = svgs.select(key, F.posexplode(values).alias("place", "v"))
     head = lowered(F.substring_index("v", ",", 1))
     fits = F.contains("v", F.lit(",")) & F.startswith(head, F.lit("data:")) & F.endswith(head, F.lit(";base64")) & ~F.rlike("v", F.lit("[&<]"))
@@ -68,7 +68,7 @@ def data_uri_entries(svgs: DataFrame, key: str = "path") -> DataFrame:
         F.concat(F.col("n").cast("string"), F.lit(" metadata entries inside embedded "), "file_type", F.lit(" image; removed during SVG cleaning")).alias("value"),
     )
     broken = read.where("error is not null").groupBy(F.col(f"__image.{key}").alias(key)).agg(n.alias("n"))
-    opaque = svgs.select(key, opaque_references(svg_text(F.col("content"))).cast("long").alias("n")).where("n > 0")
+    opaque = svgs.select(key, opaque_references(F.col("parts")).cast("long").alias("n")).where("n > 0")
     all_ = rest.union(broken).union(opaque).groupBy(key).agg(F.sum("n").alias("n"))
     text = F.concat(F.col("n").cast("string"), F.lit(" data URI reference(s) preserved; the embedded content could not be verified or cleaned"))
     return told.unionByName(all_.select(key, F.lit(1 << 30).alias("place"), F.lit(LIMITED).alias("category"), F.lit("Embedded data URI content").alias("name"), text.alias("value")))

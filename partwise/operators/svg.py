@@ -1,15 +1,14 @@
-"""What cleaning an SVG would remove, counted by patterns over its text: no parser, no Python worker."""
+"""What cleaning an SVG would remove, told by expressions over its parts (see ``walkers.markup``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from partwise.functions.text import decode_css, decode_entities, local_name, lowered, trimmed
+from partwise.functions.text import decode_css, decode_entities, local_name, lowered, trimmed, upto
 from partwise.operators.documents import empty, one
-from partwise.operators.xml import COMMENT, INSTRUCTION, OPEN_TAG
+from partwise.operators.xml import COMMENT, INSTRUCTION
 
-MOST_BYTES = 32 << 20
 #: Prefixes and names of attributes that editors leave.
 EDITOR_PREFIXES = ("inkscape:", "sodipodi:", "adobe:", "sketch:", "serif:", "figma:", "dc:", "cc:")
 EDITOR_NAMES = ("xmlns:inkscape", "xmlns:sodipodi", "xmlns:adobe", "xmlns:sketch")
@@ -17,9 +16,15 @@ EDITOR_NAMES = ("xmlns:inkscape", "xmlns:sodipodi", "xmlns:adobe", "xmlns:sketch
 URL_NAMES = ("href", "src", "data", "poster", "action", "formaction")
 ANIMATED_NAMES = ("to", "from", "values", "by")
 CSS_NAMES = ("style", "fill", "stroke", "filter", "clip-path", "mask", "marker-start", "marker-mid", "marker-end", "cursor")
+#: Parts that go whatever they hold.
+GONE = ("COMMENT", "INSTRUCTION", "METADATA", "TITLE", "ACTIVE", "CLOSING")
 _REMOTE = r"^(http:|https:|//|ftp:|file:|javascript:|mailto:)|^[^/:]*:"
-_ATTRIBUTE = r"""(?s)([^=\s]+)(?:[ \t\n\r]*=[ \t\n\r]*(?:"([^"]*)"|'([^']*)'|([^\s"']\S*)))?"""
-_MARKUP = r"""(?s)<!--.*?-->|<[?!](?:[^>"']|"[^"]*"|'[^']*')*>"""
+# Each alternative is possessive: the matcher neither recurses nor goes back, whatever the text.
+_QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+_SVG_NAME = r"<[ \t\n\r]*+(?:[^ \t\n\r/<>:]++:)*+(?i:svg)(?=[ \t\n\r/>])"
+_BEFORE = rf"(?:[^<]++|<!--.*?-->|<(?!!--)[?!]{_QUOTED}>|(?!{_SVG_NAME})<(?![?!]))*+"
+#: Tags that have the name and do not end, passed over before one that does: as each is read to the end of the text, no more are.
+MOST_OPEN = 8
 
 
 def svg_text(data: Column) -> Column:
@@ -28,29 +33,22 @@ def svg_text(data: Column) -> Column:
 
 
 def is_svg(data: Column) -> Column:
-    """Whether an ``svg`` element opens anywhere in a UTF-8 text, outside comments and declarations."""
-    plain = F.regexp_replace(svg_text(data), _MARKUP, "")
-    return F.coalesce(F.rlike(plain, F.lit(r"(?i)<[ \t\n\r]*(?:[^\s/>]+:)?svg(?=[\s/>])")), F.lit(False))
+    """Whether an ``svg`` element opens in a UTF-8 text, after comments and declarations that end; one that does not end hides the rest."""
+    return F.coalesce(F.rlike(svg_text(data), F.lit(rf"(?s)\A(?:{_BEFORE}{_SVG_NAME}(?!{_QUOTED}>)){{0,{MOST_OPEN}}}+{_BEFORE}{_SVG_NAME}{_QUOTED}>")), F.lit(False))
 
 
 def comments(text: Column) -> Column:
     """(n, bytes) of the comments that end."""
-    found = F.regexp_extract_all(text, F.lit(COMMENT), F.lit(0))
+    found = F.regexp_extract_all(upto(text, "-->"), F.lit(COMMENT), F.lit(0))
     return F.struct(F.size(found).alias("n"), F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x)).alias("bytes"))
 
 
 def instructions(text: Column) -> Column:
     """Processing instructions but the XML declaration."""
-    bodies = F.transform(F.regexp_extract_all(text, F.lit(INSTRUCTION), F.lit(1)), lambda t: F.regexp_replace(t, r"(?U)^\s+", ""))
+    bodies = F.transform(F.regexp_extract_all(upto(text, "?>"), F.lit(INSTRUCTION), F.lit(1)), lambda t: F.regexp_replace(t, r"(?U)^\s+", ""))
     return F.size(F.filter(bodies, lambda t: (t != "xml") & ~F.startswith(t, F.lit("xml "))))
 
 
-def _elements(text: Column, names: str) -> Column:
-    """Elements of these names, each from its opening to its closing tag (an open one: its tag alone)."""
-    plain = F.regexp_replace(text, _MARKUP, "")
-    return F.regexp_extract_all(plain, F.lit(rf"""(?si)<[ \t\n\r]*(?:[^\s/>:]+:)*({names})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*?(?:/>|>(?:.*?</\s*(?:[^\s/>:]+:)*\1\s*>)?)"""), F.lit(0))
-
-
 def _bare(value: Column) -> Column:
     return F.regexp_replace(trimmed(value), "^[\"']+|[\"']+$", "")
 
@@ -85,12 +83,20 @@ def _any(columns: list[Column]) -> Column:
     return out
 
 
+def _urls(v: Column) -> Column:
+    return F.regexp_extract_all(upto(v, ")"), F.lit(r"(?is)url\(([^)]*+)\)"), F.lit(1))
+
+
+def _open_url(v: Column) -> Column:
+    """The place of a ``url(`` that does not close, 0 if there is none."""
+    return F.locate("url(", lowered(F.substring_index(v, ")", -1)))
+
+
 def css_reference(value: Column) -> Column:
     """Whether CSS leaves the document in any reading: by ``url()`` (also one that does not close) or ``@import``."""
 
     def plain(v: Column) -> Column:
-        urls = F.regexp_extract_all(v, F.lit(r"(?is)url\(([^)]*)\)"), F.lit(1))
-        return F.exists(urls, external_reference) | F.rlike(v, F.lit(r"(?is)url\([^)]*$|@import"))
+        return F.exists(_urls(v), external_reference) | (_open_url(v) > 0) | F.contains(lowered(v), F.lit("@import"))
 
     return _any([plain(v) for v in _readings(value)])
 
@@ -99,18 +105,17 @@ def css_data(value: Column) -> Column:
     """Whether CSS holds a data address in any reading."""
 
     def plain(v: Column) -> Column:
-        urls = F.regexp_extract_all(v, F.lit(r"(?is)url\(([^)]*)\)"), F.lit(1))
-        return data_address(v) | F.exists(urls, data_address) | F.rlike(v, F.lit(r"(?is)url\([^)]*data:[^)]*$"))
+        rest = F.substr(lowered(F.substring_index(v, ")", -1)), _open_url(v) + 4)
+        return data_address(v) | F.exists(_urls(v), data_address) | ((_open_url(v) > 0) & F.contains(rest, F.lit("data:")))
 
     return _any([plain(v) for v in _readings(value)])
 
 
-def attributes(text: Column) -> Column:
-    """(name, value, raw) of all attributes of opening tags, values with and without entities decoded."""
-    heads = F.regexp_extract_all(F.regexp_replace(text, _MARKUP, ""), F.lit(OPEN_TAG), F.lit(2))
-    pairs = F.flatten(F.transform(heads, lambda h: F.regexp_extract_all(F.regexp_replace(h, r"/\s*$", ""), F.lit(_ATTRIBUTE), F.lit(0))))
-    raw = lambda a: F.concat(*[F.regexp_extract(a, _ATTRIBUTE, k) for k in (2, 3, 4)])
-    return F.transform(pairs, lambda a: F.struct(F.regexp_extract(a, _ATTRIBUTE, 1).alias("name"), decode_entities(raw(a)).alias("value"), raw(a).alias("raw")))
+def attributes(parts: Column) -> Column:
+    """(name, value, raw, offset, size) of all attributes, values with and without entities decoded."""
+    own = F.filter(parts, lambda x: x["kind"] == "ATTRIBUTE")
+    raw = lambda x: x["data"].cast("string")
+    return F.transform(own, lambda x: F.struct(x["text"].alias("name"), decode_entities(raw(x)).alias("value"), raw(x).alias("raw"), x["offset"].alias("offset"), x["size"].alias("size")))
 
 
 def removable(a: Column) -> Column:
@@ -124,26 +129,41 @@ def removable(a: Column) -> Column:
     return editor | handler | address | css_reference(a["value"])
 
 
-def data_addresses(text: Column) -> Column:
+def data_addresses(parts: Column) -> Column:
     """The undecoded values of address attributes that are data addresses."""
-    own = F.filter(attributes(text), lambda a: lowered(local_name(a["name"])).isin(*URL_NAMES) & data_address(a["value"]))
+    own = F.filter(attributes(parts), lambda a: lowered(local_name(a["name"])).isin(*URL_NAMES) & data_address(a["value"]))
     return F.transform(own, lambda a: a["raw"])
 
 
-def opaque_references(text: Column) -> Column:
+def opaque_references(parts: Column) -> Column:
     """CSS attributes with data addresses, which nothing can look into."""
-    return F.size(F.filter(attributes(text), lambda a: lowered(local_name(a["name"])).isin(*CSS_NAMES) & css_data(a["value"])))
+    return F.size(F.filter(attributes(parts), lambda a: lowered(local_name(a["name"])).isin(*CSS_NAMES) & css_data(a["value"])))
+
+
+def external_style(part: Column) -> Column:
+    return (part["kind"] == "STYLE") & css_reference(part["data"].cast("string"))
+
+
+def removed_ranges(parts: Column) -> Column:
+    """(start, end) in the file of all that goes as a whole: comments, instructions, elements. They may lie in one another."""
+    gone = F.filter(parts, lambda x: x["kind"].isin(*GONE) | external_style(x))
+    return F.transform(gone, lambda x: F.struct(x["offset"].alias("start"), (x["offset"] + x["size"]).alias("end")))
+
+
+def stays(part: Column) -> Column:
+    """Whether cleaning keeps a part."""
+    attribute = F.struct(part["text"].alias("name"), decode_entities(part["data"].cast("string")).alias("value"))
+    return ~(part["kind"].isin(*GONE) | external_style(part) | ((part["kind"] == "ATTRIBUTE") & removable(attribute)))
 
 
-def svg_entries(data: Column) -> Column:
-    """All entries of an SVG but those of its data addresses (see ``nested``)."""
-    text = svg_text(data)
-    styles = F.filter(_elements(text, "style"), lambda s: css_reference(F.regexp_replace(s, r"(?s)^<[^>]*>", "")))
+def svg_entries(parts: Column) -> Column:
+    """All entries of an SVG but those of its data addresses (see ``nested``). Texts that are no UTF-8 have none."""
+    n = lambda kind: F.size(F.filter(parts, lambda x: x["kind"] == kind))
     counted = (
-        ("SVG metadata", "metadata elements", F.size(_elements(text, "metadata"))), ("SVG metadata", "title/description elements", F.size(_elements(text, "title|desc"))),
-        ("SVG metadata", "XML comments", comments(text)["n"]), ("SVG metadata", "Processing instructions", instructions(text)),
-        ("SVG active content", "script/foreignObject elements", F.size(_elements(text, "script|foreignObject"))),
-        ("SVG external references", "external style references", F.size(styles)), ("SVG metadata", "removable attributes", F.size(F.filter(attributes(text), removable))),
+        ("SVG metadata", "metadata elements", n("METADATA")), ("SVG metadata", "title/description elements", n("TITLE")), ("SVG metadata", "XML comments", n("COMMENT")),
+        ("SVG metadata", "Processing instructions", n("INSTRUCTION")), ("SVG active content", "script/foreignObject elements", n("ACTIVE")),
+        ("SVG external references", "external style references", F.size(F.filter(parts, external_style))),
+        ("SVG metadata", "removable attributes", F.size(F.filter(attributes(parts), removable))),
     )
     rows = [F.when(n > 0, F.array(one(c, name, F.concat(n.cast("string"), F.lit(" present; removed during SVG cleaning"))))).otherwise(empty()) for c, name, n in counted]
     return F.coalesce(F.concat(*rows), empty())

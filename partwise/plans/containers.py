@@ -295,17 +295,27 @@ _GONE = " present; removed during SVG cleaning'"
 
 def svg_sql() -> str:
     return _listed("'svg'", [
-        ("'SVG metadata'", "'metadata elements'", f"doc_id % 3 || '{_GONE}", "doc_id % 3 > 0"), ("'SVG metadata'", "'title/description elements'", f"'2{_GONE}"), ("'SVG metadata'", "'XML comments'", f"'1{_GONE}"),
+        ("'SVG metadata'", "'metadata elements'", f"doc_id % 3 || '{_GONE}", "doc_id % 3 > 0"), ("'SVG metadata'", "'title/description elements'", f"2 + CAST(doc_id % 4 IN (1, 2) AS INTEGER) || '{_GONE}"), ("'SVG metadata'", "'XML comments'", f"1 + doc_id % 3 || '{_GONE}"),
         ("'SVG metadata'", "'Processing instructions'", f"'1{_GONE}"), ("'SVG active content'", "'script/foreignObject elements'", f"'1{_GONE}", "doc_id % 2 = 1"),
         ("'SVG external references'", "'external style references'", f"'1{_GONE}"), ("'SVG metadata'", "'removable attributes'", f"'3{_GONE}"),
     ])
 
 
 SVG_DATA = " UNION ALL ".join(
-    f"SELECT doc_id, '{c}' AS category, '{n}' AS name, '{v}' AS value FROM documents"
+    f"SELECT doc_id, '{c}' AS category, '{n}' AS name, '{v}' AS value FROM documents WHERE doc_id % 2 = 1"
     for c, n, v in [
         ("Embedded image metadata", "Embedded data URI image", "1 metadata entries inside embedded jpeg image; removed during SVG cleaning"),
         ("Limited verification", "Embedded data URI content", "1 data URI reference(s) preserved; the embedded content could not be verified or cleaned"),
     ]
 )
+_SHAPES = "CASE WHEN doc_id % 2 = 1 THEN '<image href=\"data:image/jpeg;base64,/9j//gAIaW5zaWRl/9k=\"/><image xlink:href=\"data:text/plain,x\"/>' ELSE '' END || '<use href=\"#a\"/><rect fill=\"url(#b)\"{}/>'"
+_MORE = "CASE doc_id % 4 WHEN 1 THEN '<g></g>' WHEN 2 THEN 'open' WHEN 3 THEN '<text><![CDATA[ <title>x</title> ]]></text>' ELSE '' END"
+_SVG_HEAD = '\'<?xml version="1.0"?><svg xmlns="http://www.w3.org/2000/svg"{}>\''
+#: Instruction and comment touch, as do title, description, metadata and script.
+_STYLED = _SHAPES.format(' style="fill:url(http://e.example/)"')
+SVG_KEPT = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN chr(65279) ELSE '' END || {_SVG_HEAD.format(' xmlns:inkscape="x" onload="go()"')} || {_STYLED} || {_MORE} || '</svg>' AS kept,
+    CAST(3 + CAST(doc_id % 4 IN (1, 2) AS INTEGER) AS BIGINT) AS n_ranges FROM documents"""
+_BARE = _SHAPES.format("")
+SVG_CLEAN = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_SVG_HEAD.format('')} || {_BARE} || {_MORE} || '</svg>' END AS cleaned,
+    CASE WHEN doc_id % 2 = 1 THEN 'Cleaning of images in data addresses is not supported' END AS error FROM documents"""
 SVG_ATTRS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, '{v}' AS value FROM documents" for n, v in [("xmlns:inkscape", "x"), ("onload", "go()"), ("style", "fill:url(http://e.example/)")])

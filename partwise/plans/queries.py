@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from partwise.functions import scalars, text
 from partwise.functions.detect import detect_file_type, image_size
-from partwise.operators import documents, nested, review, svg
+from partwise.operators import documents, nested, ranges, review, svg
 from partwise.operators.clean import clean
 from partwise.operators.entries import entries
 from partwise.operators.walk import identify, legacy_office, typed, walk
@@ -79,7 +79,7 @@ def analyze_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("q_process", made.process_sql())
 def process_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = process(_files(spark, sf_dir).select("doc_id", "content"), "doc_id")
+    out = process(_files(spark, sf_dir).select("doc_id", "content"), "doc_id", TYPES)
     return out.select("doc_id", "file_type", "removed_bytes", "remaining", "status")
 
 
@@ -200,14 +200,30 @@ def svg_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(walk(typed(_files(spark, sf_dir, "svg").drop("file_type")), "doc_id"), "doc_id", ("svg",))
 
 
+@_query("q_svg_kept", made.SVG_KEPT)
+def svg_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts outside all ranges that go as a whole, some of which lie in one another."""
+    walked = _walked(spark, sf_dir, "svg", content=True)
+    gone = walked.select("doc_id", F.explode(svg.removed_ranges(F.col("parts"))).alias("r")).select("doc_id", "r.start", "r.end")
+    out = ranges.kept(walked, gone, "doc_id")
+    return out.select("doc_id", F.decode("kept", "UTF-8").alias("kept"), "n_ranges")
+
+
+@_query("q_svg_clean", made.SVG_CLEAN)
+def svg_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SVG texts without what goes, and by their number with an image that only its own cleaning could mend."""
+    done = clean(_walked(spark, sf_dir, "svg", content=True), "doc_id", types=("svg",))
+    return done.select("doc_id", F.decode("cleaned", "UTF-8").alias("cleaned"), "error")
+
+
 @_query("q_svg_data_uris", made.SVG_DATA)
 def svg_data_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.data_uri_entries(_files(spark, sf_dir, "svg"), "doc_id").select("doc_id", "category", "name", "value")
+    return nested.data_uri_entries(_walked(spark, sf_dir, "svg"), "doc_id").select("doc_id", "category", "name", "value")
 
 
 @_query("q_svg_attrs", made.SVG_ATTRS)
 def svg_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _files(spark, sf_dir, "svg").select("doc_id", F.explode(svg.attributes(svg.svg_text(F.col("content")))).alias("a"))
+    rows = _walked(spark, sf_dir, "svg").select("doc_id", F.explode(svg.attributes(F.col("parts"))).alias("a"))
     return rows.where(svg.removable(F.col("a"))).select("doc_id", F.col("a.name").alias("name"), F.col("a.value").alias("value"))
 
 

@@ -319,11 +319,18 @@ def other_document(i: int, t: str) -> bytes:
     return _zip({k: v.encode() for k, v in m.items()}, i)
 
 
+#: What follows the shapes, by number: elements in one another, one that is not closed, a section whose tags are seen or not by where it is read.
+_SVG_MORE = ("", "<g><desc>a<desc>b</desc>c</desc></g>", "<desc>open", "<text><![CDATA[ <title>x</title> ]]></text>")
+
+
 def svg(i: int, t: str) -> bytes:
+    """Text in a comment and a title; metadata with comments inside, a script, addresses and styles by number; every second with images in data addresses."""
     p = xml(printable(t))
     image = "data:image/jpeg;base64,/9j//gAIaW5zaWRl/9k="
-    body = f'<?xml version="1.0"?><?xml-stylesheet href="a.css"?><!-- {p.replace("--", "")} --><svg xmlns="http://www.w3.org/2000/svg" xmlns:inkscape="x" onload="go()"><title>{p}</title><desc/>'
-    body += "<metadata><a/></metadata>" * (i % 3) + "<script>x</script>" * (i % 2) + f'<image href="{image}"/><image xlink:href="data:text/plain,x"/><use href="#a"/><rect fill="url(#b)" style="fill:url(http://e.example/)"/>'
+    body = f'<?xml version="1.0"?><?xml-stylesheet href="a.css"?><!-- {p.replace("--", "").replace(chr(39), "")} --><svg xmlns="http://www.w3.org/2000/svg" xmlns:inkscape="x" onload="go()"><title>{p}</title><desc/>'
+    body += "<metadata><!-- m --><a/></metadata>" * (i % 3) + "<script>x</script>" * (i % 2)
+    body += f'<image href="{image}"/><image xlink:href="data:text/plain,x"/>' * (i % 2)
+    body += '<use href="#a"/><rect fill="url(#b)" style="fill:url(http://e.example/)"/>' + _SVG_MORE[i % 4]
     return (b"\xef\xbb\xbf" if i % 2 else b"") + (body + "<style>@import 'x.css';</style></svg>").encode()
 
 

@@ -6,18 +6,13 @@ from collections.abc import Callable, Iterator
 
 from partwise.walkers.audio import flac, mp3, ogg, wav
 from partwise.walkers.images import gif, jpeg, png, webp
+from partwise.walkers.markup import svg
 from partwise.walkers.media import heif, video
 from partwise.walkers.part import Damaged, Part
 from partwise.walkers.tiff import tiff
 from partwise.walkers.zipped import zipped
 
 
-
-def svg(b: bytes, faults: list[str]) -> Iterator[Part]:
-    """The whole text: SVG is read by expressions alone."""
-    yield Part("TEXT", 0, len(b), len(b), b)
-
-
 Walker = Callable[[bytes, list[str]], Iterator[Part]]
 
 WALKERS: dict[str, Walker] = {
