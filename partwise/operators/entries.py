@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,9 +209,15 @@ def _rows(file_type: str) -> str:
     return f"filter(flatten({many}), e -> e.category is not null)"
 
 
-def entry_rows(file_type: Column, types: Iterable[str] | None = None) -> Column:
-    """The array of entries of a file from its ``parts``. All types in one expression, as a batch may mix them; ``types`` leaves out those that cannot occur, which plans faster."""
-    wanted = set(types) if types is not None else {*RULES, *KINDS, "svg"}
+def entry_rows(types: Iterable[str] | None = None) -> Column:
+    """The array of entries of a file from its columns ``file_type`` and ``parts``. All types in one expression, as a batch may mix them; ``types`` leaves out those that cannot occur, which plans faster."""
+    return _entry_rows(frozenset(types if types is not None else (*RULES, *KINDS, "svg")))
+
+
+@cache
+def _entry_rows(wanted: frozenset[str]) -> Column:
+    """The same expression serves every query: it is long, and built once for each choice of types."""
+    file_type = F.col("file_type")
     done: dict[str, list[str]] = {}
     for t in RULES:
         if t in wanted:
@@ -233,5 +240,5 @@ def entries(walked: DataFrame, key: str = "path", types: Iterable[str] | None =
     types without metadata have no entries. ``types`` are the file types that
     can occur, all if not given.
     """
-    rows = walked.select(key, "file_type", F.posexplode(entry_rows(F.col("file_type"), types)).alias("ord", "e"))
+    rows = walked.select(key, "file_type", F.posexplode(entry_rows(types)).alias("ord", "e"))
     return rows.select(key, "file_type", "ord", "e.category", "e.name", "e.value")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.functions.text import base64_decode, lowered
-from partwise.operators.documents import IMAGES, KINDS, members
-from partwise.operators.entries import entries
+from partwise.operators.documents import IMAGES, KINDS, empty, members, one
+from partwise.operators.entries import entries, entry_rows
 from partwise.operators.svg import data_addresses, opaque_references
 from partwise.operators.walk import typed, walk
 
 PACKAGED = ("jpeg", "png", "webp", "gif", "tiff", "svg")
 LIMITED = "Limited verification"
+#: Entries of packaged files count from here, behind those of the file itself.
+AFTER = 1 << 24
 
 
 def packaged_images(walked: DataFrame, key: str = "path") -> DataFrame:
@@ -22,33 +26,6 @@ def packaged_images(walked: DataFrame, key: str = "path") -> DataFrame:
     return rows.select(key, "place", F.col("m.text").alias("name"), F.col("m.data").alias("content"))
 
 
-def _inside(images: DataFrame, key: str, types: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """(walked images of the types, number of the others by key): each image goes by a key of its own."""
-    keyed = typed(images.withColumn("__image", F.struct(key, "place", "name")))
-    read = walk(keyed.select("__image", "file_type", "content"), "__image")
-    fits = F.col("file_type").isin(*types)
-    rest = read.where(~F.coalesce(fits, F.lit(False))).groupBy(F.col(f"__image.{key}").alias(key)).agg(F.count("*").alias("n"))
-    return read.where(fits), rest
-
-
-def packaged_entries(walked: DataFrame, key: str = "path") -> DataFrame:
-    """Entries of packaged images (key, place, ord, category, name, value): for each image with entries how many, then these; for each file how many images could not be read.
-
-    Images are files of their own: what they hold decides their type, not their name.
-    """
-    read, rest = _inside(packaged_images(walked, key), key, PACKAGED)
-    told = entries(read, "__image", PACKAGED).select(F.col(f"__image.{key}").alias(key), F.col("__image.place").alias("place"), F.col("__image.name").alias("image"), "ord", "category", "name", "value")
-    heads = told.groupBy(key, "place", "image").agg(F.count("*").alias("n")).select(
-        key, "place", F.lit(-1).alias("ord"), F.lit("Embedded image metadata").alias("category"), F.col("image").alias("name"),
-        F.concat(F.col("n").cast("string"), F.lit(" metadata entries inside packaged image; removed during cleaning")).alias("value"),
-    )
-    category = F.when(F.col("category") == LIMITED, F.col("category")).otherwise(F.concat(F.lit("Embedded image metadata: "), "category"))
-    inner = told.select(key, "place", "ord", category.alias("category"), F.concat("image", F.lit(": "), "name").alias("name"), "value")
-    text = F.concat(F.col("n").cast("string"), F.lit(" packaged image(s) preserved without cleaning because the content could not be read as a supported image format"))
-    limited = rest.select(key, F.lit(1 << 30).alias("place"), F.lit(0).alias("ord"), F.lit(LIMITED).alias("category"), F.lit("Embedded package images").alias("name"), text.alias("value"))
-    return heads.unionByName(inner).unionByName(limited)
-
-
 def data_uri_images(svgs: DataFrame, key: str = "path") -> DataFrame:
     """(key, place, name, content) of the data addresses of walked SVG texts; null content unless it is base64 without entities."""
     values = data_addresses(F.col("parts"))
@@ -59,16 +36,88 @@ def data_uri_images(svgs: DataFrame, key: str = "path") -> DataFrame:
     return rows.select(key, "place", F.lit("").alias("name"), F.when(fits, base64_decode(body)).alias("content"))
 
 
+ROWS = "array<struct<place:int,rows:array<struct<category:string,name:string,value:string>>>>"
+RASTERS = tuple(t for t in PACKAGED if t != "svg")
+
+
+def _read(images: DataFrame, key: str) -> DataFrame:
+    """Images (key, place, name, content) taken apart: each goes by a key ``image`` of these three."""
+    keyed = typed(images.withColumn("image", F.struct(F.col(key).alias("of"), "place", "name")))
+    return walk(keyed.select("image", "file_type", "content"), "image")
+
+
+def _gathered(told: DataFrame) -> DataFrame:
+    """(of, rows, rest): for each file the rows of its images in their order, and how many could not be read. One exchange of entries, no bytes."""
+    order = F.struct(F.col("place").cast("int").alias("place"), F.col("rows").alias("rows"))
+    own = F.array_sort(F.collect_list(F.when(F.size("rows") > 0, order)))
+    return told.groupBy("of").agg(F.flatten(F.transform(own.cast(ROWS), lambda x: x["rows"])).alias("rows"), F.sum("rest").alias("rest"))
+
+
+def data_uri_rows(svgs: DataFrame, key: str = "path") -> DataFrame:
+    """(of, rows) for walked SVG texts: a row for each image with entries, then how many addresses nothing can look into."""
+    read = _read(data_uri_images(svgs, key), key)
+    n = F.size(entry_rows(RASTERS))
+    sound = F.col("file_type").isin(*RASTERS) & F.col("error").isNull()
+    text = F.concat(n.cast("string"), F.lit(" metadata entries inside embedded "), F.col("file_type"), F.lit(" image; removed during SVG cleaning"))
+    row = F.when(sound & (n > 0), F.array(one("Embedded image metadata", "Embedded data URI image", text))).otherwise(empty())
+    told = read.select("image.of", "image.place", row.alias("rows"), F.when(sound, 0).otherwise(1).cast("long").alias("rest"))
+    opaque = svgs.select(F.col(key).alias("of"), F.lit(0).alias("place"), empty().alias("rows"), opaque_references(F.col("parts")).cast("long").alias("rest")).where("rest > 0")
+    left = F.concat(F.col("rest").cast("string"), F.lit(" data URI reference(s) preserved; the embedded content could not be verified or cleaned"))
+    last = F.when(F.col("rest") > 0, F.array(one(LIMITED, "Embedded data URI content", left))).otherwise(empty())
+    return _gathered(told.unionByName(opaque)).select("of", F.concat("rows", last).alias("rows"))
+
+
+def packaged_rows(walked: DataFrame, key: str = "path") -> DataFrame:
+    """(of, rows) for walked documents: for each packaged image with entries how many, then these; then how many images could not be read.
+
+    What images hold decides their type, not their name. An SVG among them tells
+    of the images in its data addresses too; those hold no further files, as an
+    SVG in a data address is not looked into. So nothing is left below these.
+    """
+    read = _read(packaged_images(walked, key), key)
+    inner = data_uri_rows(read.where("file_type = 'svg'"), "image").withColumnsRenamed({"of": "image", "rows": "inner"})
+    read = read.select("image", "file_type", entry_rows(PACKAGED).alias("own")).join(inner, "image", "left")
+    read = read.withColumn("all", F.concat("own", F.coalesce("inner", empty())))
+    label = lambda e: F.when(e["category"] == LIMITED, e["category"]).otherwise(F.concat(F.lit("Embedded image metadata: "), e["category"]))
+    told = F.transform("all", lambda e: one(label(e), F.concat(F.col("image.name"), F.lit(": "), e["name"]), e["value"]))
+    head = one("Embedded image metadata", F.col("image.name"), F.concat(F.size("all").cast("string"), F.lit(" metadata entries inside packaged image; removed during cleaning")))
+    fits = F.coalesce(F.col("file_type").isin(*PACKAGED), F.lit(False))
+    rows = F.when(fits & (F.size("all") > 0), F.concat(F.array(head), told)).otherwise(empty())
+    gathered = _gathered(read.select("image.of", "image.place", rows.alias("rows"), F.when(fits, 0).otherwise(1).cast("long").alias("rest")))
+    left = F.concat(F.col("rest").cast("string"), F.lit(" packaged image(s) preserved without cleaning because the content could not be read as a supported image format"))
+    last = F.when(F.col("rest") > 0, F.array(one(LIMITED, "Embedded package images", left))).otherwise(empty())
+    return gathered.select("of", F.concat("rows", last).alias("rows"))
+
+
+def _as_entries(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(F.col("of").alias(key), F.posexplode("rows").alias("ord", "e")).select(key, "ord", "e.category", "e.name", "e.value")
+
+
+def packaged_entries(walked: DataFrame, key: str = "path") -> DataFrame:
+    """Entries of the packaged images of walked documents (key, ord, category, name, value), see ``packaged_rows``."""
+    return _as_entries(packaged_rows(walked, key), key)
+
+
 def data_uri_entries(svgs: DataFrame, key: str = "path") -> DataFrame:
-    """Entries of data addresses (key, place, category, name, value): one for each image with entries, and for each text how many addresses nothing can look into."""
-    read, rest = _inside(data_uri_images(svgs, key), key, tuple(t for t in PACKAGED if t != "svg"))
-    n = F.count("*")
-    told = entries(read.where("error is null"), "__image", PACKAGED[:-1]).groupBy("__image", "file_type").agg(n.alias("n")).select(
-        F.col(f"__image.{key}").alias(key), F.col("__image.place").alias("place"), F.lit("Embedded image metadata").alias("category"), F.lit("Embedded data URI image").alias("name"),
-        F.concat(F.col("n").cast("string"), F.lit(" metadata entries inside embedded "), "file_type", F.lit(" image; removed during SVG cleaning")).alias("value"),
-    )
-    broken = read.where("error is not null").groupBy(F.col(f"__image.{key}").alias(key)).agg(n.alias("n"))
-    opaque = svgs.select(key, opaque_references(F.col("parts")).cast("long").alias("n")).where("n > 0")
-    all_ = rest.union(broken).union(opaque).groupBy(key).agg(F.sum("n").alias("n"))
-    text = F.concat(F.col("n").cast("string"), F.lit(" data URI reference(s) preserved; the embedded content could not be verified or cleaned"))
-    return told.unionByName(all_.select(key, F.lit(1 << 30).alias("place"), F.lit(LIMITED).alias("category"), F.lit("Embedded data URI content").alias("name"), text.alias("value")))
+    """Entries of the data addresses of walked SVG texts (key, ord, category, name, value), see ``data_uri_rows``."""
+    return _as_entries(data_uri_rows(svgs, key), key)
+
+
+def all_entries(walked: DataFrame, key: str = "path", types: Iterable[str] | None = None) -> DataFrame:
+    """(key, file_type, ord, category, name, value): the entries of each file, then those of the files that it packages, to the last of them.
+
+    ``types`` are the file types that can occur, all if not given; without
+    documents and SVG among them nothing is packaged and nothing is shuffled.
+    """
+    own = entries(walked, key, types)
+    wanted = {*KINDS, "svg"} if types is None else set(types)
+    inner = []
+    if wanted & set(KINDS):
+        inner.append(packaged_rows(walked, key))
+    if "svg" in wanted:
+        inner.append(data_uri_rows(walked.where("file_type = 'svg'"), key))
+    kinds = walked.select(key, "file_type")
+    for rows in inner:
+        told = kinds.join(rows.withColumnRenamed("of", key), key).select(key, "file_type", F.posexplode("rows").alias("ord", "e"))
+        own = own.unionByName(told.select(key, "file_type", (F.col("ord") + AFTER).alias("ord"), "e.category", "e.name", "e.value"))
+    return own

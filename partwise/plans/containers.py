@@ -281,13 +281,17 @@ def other_documents_sql() -> str:
 
 
 _DOCX_NAMES = ["[Content_Types].xml", "word/document.xml", "docProps/core.xml", "docProps/app.xml", "docProps/custom.xml", "word/media/image1.png", "word/media/image2.jpg"]
-ZIP_ENTRIES = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, CAST(8 * (doc_id % 2) AS BIGINT) AS method FROM documents" for n in _DOCX_NAMES) + " UNION ALL SELECT doc_id, 'word/comments.xml', CAST(8 * (doc_id % 2) AS BIGINT) FROM documents WHERE doc_id % 5 = 0"
+ZIP_ENTRIES = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, CAST(8 * (doc_id % 2) AS BIGINT) AS method FROM documents" for n in _DOCX_NAMES) + " UNION ALL SELECT doc_id, 'word/comments.xml', CAST(8 * (doc_id % 2) AS BIGINT) FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 'word/media/image3.svg', CAST(8 * (doc_id % 2) AS BIGINT) FROM documents WHERE doc_id % 3 = 0"
 REMOVED_PARTS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name FROM documents" for n in _DOCX_NAMES[2:5]) + " UNION ALL SELECT doc_id, 'word/comments.xml' FROM documents WHERE doc_id % 5 = 0"
+_INSIDE = "Embedded image metadata"
 EMBEDDED = " UNION ALL ".join(
-    f"SELECT doc_id, '{c}' AS category, '{n}' AS name, '{v}' AS value FROM documents"
-    for c, n, v in [
-        ("Embedded image metadata", "word/media/image1.png", "1 metadata entries inside packaged image; removed during cleaning"), ("Embedded image metadata: Comment", "word/media/image1.png: Comment", "inside"),
-        ("Limited verification", "Embedded package images", "1 packaged image(s) preserved without cleaning because the content could not be read as a supported image format"),
+    f"SELECT doc_id, '{c}' AS category, '{n}' AS name, '{v}' AS value FROM documents WHERE {w}"
+    for c, n, v, w in [
+        (_INSIDE, "word/media/image1.png", "1 metadata entries inside packaged image; removed during cleaning", "true"), (f"{_INSIDE}: Comment", "word/media/image1.png: Comment", "inside", "true"),
+        (_INSIDE, "word/media/image3.svg", "2 metadata entries inside packaged image; removed during cleaning", "doc_id % 3 = 0"),
+        (f"{_INSIDE}: SVG metadata", "word/media/image3.svg: title/description elements", "1 present; removed during SVG cleaning", "doc_id % 3 = 0"),
+        (f"{_INSIDE}: {_INSIDE}", "word/media/image3.svg: Embedded data URI image", "1 metadata entries inside embedded jpeg image; removed during SVG cleaning", "doc_id % 3 = 0"),
+        ("Limited verification", "Embedded package images", "1 packaged image(s) preserved without cleaning because the content could not be read as a supported image format", "true"),
     ]
 )
 _GONE = " present; removed during SVG cleaning'"
@@ -319,3 +323,10 @@ _BARE = _SHAPES.format("")
 SVG_CLEAN = f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN {_SVG_HEAD.format('')} || {_BARE} || {_MORE} || '</svg>' END AS cleaned,
     CASE WHEN doc_id % 2 = 1 THEN 'Cleaning of images in data addresses is not supported' END AS error FROM documents"""
 SVG_ATTRS = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, '{v}' AS value FROM documents" for n, v in [("xmlns:inkscape", "x"), ("onload", "go()"), ("style", "fill:url(http://e.example/)")])
+
+
+def extract_all_sql() -> str:
+    """By number a document or an SVG, with all that it packages, in order."""
+    own = f"SELECT doc_id, file_type, 0 AS packaged, category, name, value FROM ({{}}) WHERE doc_id % 2 = {{}}"
+    inner = "SELECT doc_id, '{}' AS file_type, 1 AS packaged, category, name, value FROM ({}) WHERE doc_id % 2 = {}"
+    return " UNION ALL ".join([own.format(docx_sql(), 0), own.format(svg_sql(), 1), inner.format("docx", EMBEDDED, 0), inner.format("svg", SVG_DATA, 1)])

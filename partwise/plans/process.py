@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from partwise.functions.detect import detect_file_type
 from partwise.functions.scalars import clean_name, friendly_error
 from partwise.operators.clean import JOIN, clean
-from partwise.operators.entries import entries, entry_rows
+from partwise.operators.entries import entry_rows
+from partwise.operators.nested import all_entries
 from partwise.operators.review import status
 from partwise.operators.walk import legacy_office, typed, walk
 
@@ -29,8 +30,8 @@ def analyze(files: DataFrame, key: str = "path", content: bool = False) -> DataF
 
 
 def analyzed_entries(files: DataFrame, key: str = "path", types: Iterable[str] | None = None) -> DataFrame:
-    """Entries of the files that are sound, as an analysis shows them: a file with an error has none."""
-    return entries(analyze(files, key).where("error is null"), key, types)
+    """Entries of the files that are sound and of what they package, as an analysis shows them: a file with an error has none."""
+    return all_entries(analyze(files, key).where("error is null"), key, types)
 
 
 def type_stable(cleaned: DataFrame, key: str = "path") -> DataFrame:
@@ -52,7 +53,7 @@ def process(files: DataFrame, key: str = "path", types: Iterable[str] | None = N
     types = [t for t in JOIN if types is None or t in set(types)]
     proved = type_stable(clean(analyze(files, key, content=True), key, again=True, types=types), key)
     failed = F.col("error").isNotNull()
-    left = F.when(failed, F.lit(0)).otherwise(F.size(entry_rows(F.col("file_type"), types))).cast("long")
+    left = F.when(failed, F.lit(0)).otherwise(F.size(entry_rows(types))).cast("long")
     out = proved.withColumn("remaining", left)
     return out.select(
         key, "file_type", "error", F.when(~failed, F.col("cleaned")).alias("cleaned"), F.when(~failed, F.col("removed_bytes")).alias("removed_bytes"),

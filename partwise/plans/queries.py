@@ -195,6 +195,14 @@ def embedded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.packaged_entries(walked, "doc_id").select("doc_id", "category", "name", "value")
 
 
+@_query("q_extract_all", made.extract_all_sql())
+def extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and SVG texts with the entries of all that they package: images, and images in data addresses of packaged SVG texts."""
+    docs, svgs = (_files(spark, sf_dir, t).where(F.col("doc_id") % 2 == k).drop("file_type") for k, t in enumerate(("docx", "svg")))
+    told = nested.all_entries(walk(typed(docs.union(svgs)), "doc_id"), "doc_id", ("docx", "svg"))
+    return told.select("doc_id", "file_type", (F.col("ord") >= nested.AFTER).cast("int").alias("packaged"), "category", "name", "value")
+
+
 @_query("q_svg_extract", made.svg_sql())
 def svg_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries(walk(typed(_files(spark, sf_dir, "svg").drop("file_type")), "doc_id"), "doc_id", ("svg",))

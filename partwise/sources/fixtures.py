@@ -281,7 +281,7 @@ def _zip(members: dict[str, bytes], i: int) -> bytes:
 
 
 def docx(i: int, t: str) -> bytes:
-    """Core properties with the text, tracked changes by their number, comments, a custom property, a JPEG and what is no image."""
+    """Core properties with the text, tracked changes by their number, comments, a custom property, a JPEG, what is no image, and by number an SVG with a JPEG in a data address."""
     p = xml(printable(t))
     changes = "".join(f'<w:ins w:author="Ann {k % 3}"><w:r>x</w:r></w:ins>' for k in range(i % 4)) + '<w:del w:author="Bob"/>' * (i % 2)
     members = {
@@ -295,6 +295,8 @@ def docx(i: int, t: str) -> bytes:
     made = {k: v.encode() for k, v in members.items()}
     made["word/media/image1.png"] = b"\xff\xd8" + _segment(0xFE, b"inside") + b"\xff\xd9"
     made["word/media/image2.jpg"] = b"nothing"
+    if i % 3 == 0:
+        made["word/media/image3.svg"] = b'<svg><title>t</title><image href="data:image/jpeg;base64,/9j//gAIaW5zaWRl/9k="/></svg>'
     return _zip(made, i)
 
 
