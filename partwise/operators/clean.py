@@ -116,8 +116,16 @@ def _ogg(b: bytes, own: list[Mark]) -> bytes:
     return b"".join(out)
 
 
+def _sound(own: list[Mark]) -> None:
+    """Damage that reading passes over ends cleaning."""
+    fault = next((m["text"] for m in own if m["kind"] == "FAULT"), None)
+    if fault:
+        raise Damaged(fault)
+
+
 def _tiff(b: bytes, own: list[Mark]) -> bytes:
     """In place: values that go become zero, and directories close up around the fields that stay."""
+    _sound(own)
     out = bytearray(b)
     order = own[0]["text"]
 
@@ -142,9 +150,7 @@ def _tiff(b: bytes, own: list[Mark]) -> bytes:
 
 def _boxes(b: bytes, own: list[Mark]) -> bytes:
     """In place: boxes that go become ``free``, times and extents become zero, cleared items are renamed."""
-    fault = next((m["text"] for m in own if m["kind"] == "FAULT"), None)
-    if fault:
-        raise Damaged(fault)
+    _sound(own)
     out = bytearray(b)
     for m in own:
         if m["keep"] or m["size"] < 0:

@@ -330,3 +330,23 @@ def extract_all_sql() -> str:
     own = f"SELECT doc_id, file_type, 0 AS packaged, category, name, value FROM ({{}}) WHERE doc_id % 2 = {{}}"
     inner = "SELECT doc_id, '{}' AS file_type, 1 AS packaged, category, name, value FROM ({}) WHERE doc_id % 2 = {}"
     return " UNION ALL ".join([own.format(docx_sql(), 0), own.format(svg_sql(), 1), inner.format("docx", EMBEDDED, 0), inner.format("svg", SVG_DATA, 1)])
+
+
+#: (relationship part, place, target, external, part it names, there, dropped) in SQL.
+_LINKS = [
+    ("_rels/.rels", 0, "'word/document.xml'", False, "'word/document.xml'", True, False), ("_rels/.rels", 1, "'/docProps/core.xml'", False, "'docprops/core.xml'", True, True),
+    ("_rels/.rels", 2, "'http://a.example/' || doc_id", True, "NULL", False, False), ("word/_rels/document.xml.rels", 0, "'comments.xml'", False, "'word/comments.xml'", True, True),
+    ("word/_rels/document.xml.rels", 1, "'../docProps/./app.xml#f'", False, "'docprops/app.xml'", False, True), ("word/_rels/document.xml.rels", 2, "'../../beyond/' || doc_id || '.xml'", False, "NULL", False, False),
+    ("word/_rels/document.xml.rels", 3, "'media' || chr(92) || doc_id || '.png'", False, "'word/media/' || doc_id || '.png'", False, False), ("word/_rels/document.xml.rels", 4, "' '", False, "NULL", False, False),
+    ("word/_rels/document.xml.rels", 5, "'a/../b//' || doc_id || '&.XML'", False, "'word/b/' || doc_id || '&.xml'", False, False),
+]
+RELATIONSHIPS = " UNION ALL ".join(
+    f"SELECT doc_id, '{part}' AS part, {k} AS ord, {target} AS target, {external} AS external, CAST({resolved} AS VARCHAR) AS resolved, {there} AS present, {dropped} AS dropped FROM documents"
+    for part, k, target, external, resolved, there, dropped in _LINKS
+)
+
+
+def damage_sql() -> str:
+    """A second directory beyond the end: reading tells the first, cleaning answers with an error."""
+    told = f"SELECT doc_id, count(*) AS n FROM ({entries_sql('tiff')}) GROUP BY 1"
+    return f"SELECT doc_id, CAST(NULL AS VARCHAR) AS read_error, n - 2 * (doc_id % 2) AS entries, CASE WHEN doc_id % 2 = 1 THEN 'Unexpected end of TIFF file' END AS clean_error FROM ({told})"

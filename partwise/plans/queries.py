@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from partwise.functions import scalars, text
 from partwise.functions.detect import detect_file_type, image_size
-from partwise.operators import documents, nested, ranges, review, svg
+from partwise.operators import documents, nested, ranges, relationships, review, svg
 from partwise.operators.clean import clean
-from partwise.operators.entries import entries
+from partwise.operators.entries import entries, entry_rows
 from partwise.operators.walk import identify, legacy_office, typed, walk
 from partwise.plans import containers as made
-from partwise.plans.process import analyzed_entries, process, type_stable
+from partwise.plans.process import analyze, analyzed_entries, process, type_stable
 from partwise.sources.fixtures import MAGIC, TYPES, files, magic_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,6 +189,21 @@ def zip_safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", documents.safe_name(F.col("name")).alias("safe"))
 
 
+@_query("q_resolve_rels", made.RELATIONSHIPS)
+def resolve_rels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relationships.relationships(walk(typed(_files(spark, sf_dir, "linked").drop("file_type")), "doc_id"), "doc_id")
+
+
+@_query("q_damage", made.damage_sql())
+def damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage that counts for cleaning only: entries of sound directories, and the error of cleaning."""
+    files_ = _files(spark, sf_dir, "tiff_lost").drop("file_type")
+    read = analyze(files_, "doc_id", content=True)
+    rows = read.select("doc_id", F.col("error").alias("read_error"), F.size(entry_rows(("tiff",))).cast("long").alias("entries"))
+    cleaned = clean(read, "doc_id", types=("tiff",)).select("doc_id", F.col("error").alias("clean_error"))
+    return rows.join(cleaned, "doc_id")
+
+
 @_query("q_embedded_images", made.EMBEDDED)
 def embedded_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     walked = walk(typed(_files(spark, sf_dir, "docx").drop("file_type")), "doc_id")
@@ -250,16 +265,16 @@ def xml_pis(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@_query("q_xml_entities", f"SELECT doc_id, md5(encode(coalesce(text, '') || ' é A & b &unknown; ')) AS decoded, md5(encode({_ESCAPED.format('coalesce(text, chr(0))')})) AS escaped FROM documents WHERE text IS NOT NULL")
+@_query("q_xml_entities", f"SELECT doc_id, md5(encode(text || ' é A & b &unknown; ')) AS decoded, md5(encode({_ESCAPED.format('text')})) AS escaped FROM documents")
 def xml_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    docs = _table(spark, sf_dir, "documents")
     encoded = F.concat(text.escape_html(F.col("text")), F.lit(" &#233; &#x41; &#xD800;&#xZ;&amp; b &unknown; "))
     return docs.select("doc_id", F.md5(F.encode(text.decode_entities(F.replace(encoded, F.lit("&nbsp;"), F.lit("\u00a0"))), "UTF-8")).alias("decoded"), F.md5(F.encode(F.replace(text.escape_html(F.col("text")), F.lit("&nbsp;"), F.lit("\u00a0")), "UTF-8")).alias("escaped"))
 
 
-@_query("q_base64", "SELECT doc_id, md5(base64(encode(text))) AS coded, md5(encode(text)) AS decoded, md5(encode(text)) AS loose FROM documents WHERE text IS NOT NULL")
+@_query("q_base64", "SELECT doc_id, md5(base64(encode(text))) AS coded, md5(encode(text)) AS decoded, md5(encode(text)) AS loose FROM documents")
 def base64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").where("text is not null")
+    docs = _table(spark, sf_dir, "documents")
     coded = text.base64_encode(F.encode("text", "UTF-8"))
     loose = F.concat(F.lit(" "), F.regexp_replace(coded, "=", ""), F.lit("\n=ignored!"))
     return docs.select("doc_id", F.md5(F.encode(coded, "UTF-8")).alias("coded"), F.md5(text.base64_decode(coded)).alias("decoded"), F.md5(text.base64_decode(loose)).alias("loose"))
@@ -497,7 +512,8 @@ def unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.unique_names(docs, "lang", "doc_id", "name").select("lang", "doc_id", "output_name")
 
 
-@_query("q_legacy", "SELECT doc_id, CASE WHEN doc_id % 15 = 13 THEN 'Legacy binary Office files (.doc, .xls, .ppt) are not supported. Save the file as .docx, .xlsx, or .pptx first.' END AS error FROM documents WHERE doc_id % 15 IN (13)")
+@_query("q_legacy", "SELECT doc_id, CASE WHEN doc_id % 15 = 13 THEN 'Legacy binary Office files (.doc, .xls, .ppt) are not supported. Save the file as .docx, .xlsx, or .pptx first.' END AS error FROM documents")
 def legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     walked = walk(typed(magic_files(_table(spark, sf_dir, "documents"))), "doc_id")
-    return walked.where("file_type = 'office-legacy'").select("doc_id", legacy_office(F.col("file_type"), F.col("error")).alias("error"))
+    old = F.col("file_type") == "office-legacy"
+    return walked.select("doc_id", F.when(old, legacy_office(F.col("file_type"), F.col("error"))).alias("error"))

@@ -59,7 +59,7 @@ def tiff_file(order: str, directories: list[list[tuple]], payload: bytes = b"")
         fields, nxt = b"", 0
         for f in d:
             if f[0] == "next":
-                nxt = starts[f[1]]
+                nxt = starts[f[1]] if f[1] < len(starts) else 0x7FFFFFF0
                 continue
             tag, form, count, value = f
             if isinstance(value, tuple):
@@ -225,16 +225,21 @@ def ogg(i: int, t: str) -> bytes:
     return b"".join([*first, *heads, *sound])
 
 
-def tiff(i: int, t: str) -> bytes:
+def tiff(i: int, t: str, lost: bool = False) -> bytes:
     raw, p = t.encode(), printable(t)
     order = "little" if i % 2 else "big"
     about, soft = _ascii(p), _ascii(f"soft {i}")
-    first = [(0x0100, 4, 1, 1 + i % 900), (0x010E, 2, len(about), about), (0x0111, 4, 1, ("strip",)), (0x0112, 3, 1, 1 + i % 8), (0x0117, 4, 1, len(raw)), (0x0131, 2, len(soft), soft), (0x8769, 4, 1, ("dir", 1)), ("next", 2)]
+    first = [(0x0100, 4, 1, 1 + i % 900), (0x010E, 2, len(about), about), (0x0111, 4, 1, ("strip",)), (0x0112, 3, 1, 1 + i % 8), (0x0117, 4, 1, len(raw)), (0x0131, 2, len(soft), soft), (0x8769, 4, 1, ("dir", 1)), ("next", 99 if lost else 2)]
     below = [(0x9003, 2, 20, _ascii("2024:01:02 03:04:05")), (0x9000, 7, 4, b"0230")]
     last = [(0x0100, 4, 1, 5), (0x8298, 2, 4, b"me \0"), (0x02BC, 1, 3, b"xmp")]
     return tiff_file(order, [first, below, last], raw)
 
 
+def tiff_lost(i: int, t: str) -> bytes:
+    """For odd numbers the second directory lies beyond the end."""
+    return tiff(i, t, i % 2 == 1)
+
+
 def _box(kind: bytes, *body: bytes) -> bytes:
     whole = b"".join(body)
     return (len(whole) + 8).to_bytes(4) + kind + whole
@@ -300,6 +305,17 @@ def docx(i: int, t: str) -> bytes:
     return _zip(made, i)
 
 
+def linked(i: int, t: str) -> bytes:
+    """A DOCX whose relationships lead to parts, out of the document, above its root and nowhere."""
+    rel = lambda *rows: "<Relationships>" + "".join(f'<r:Relationship Id="r{k}" Target="{xml(x)}"{mode}/>' for k, (x, mode) in enumerate(rows)) + "</Relationships>"
+    members = {
+        "[Content_Types].xml": "<Types/>", "word/document.xml": f"<a>{xml(printable(t))}</a>", "docProps/core.xml": "<c/>", "word/comments.xml": "<c/>",
+        "_rels/.rels": rel(("word/document.xml", ""), ("/docProps/core.xml", ""), (f"http://a.example/{i}", ' TargetMode="external"')),
+        "word/_rels/document.xml.rels": rel(("comments.xml", ""), ("../docProps/./app.xml#f", ""), (f"../../beyond/{i}.xml", ""), (f"media\\{i}.png", ""), (" ", ""), (f"a/../b//{i}&.XML", "")),
+    }
+    return _zip({k: v.encode() for k, v in members.items()}, i)
+
+
 def other_document(i: int, t: str) -> bytes:
     """By number: XLSX, PPTX, ODT, EPUB, or an archive of no known kind."""
     p = xml(printable(t))
@@ -342,7 +358,7 @@ def avif(i: int, t: str) -> bytes:
 
 BUILD: dict[str, Callable[[int, str], bytes]] = {
     "jpeg": jpeg, "png": png, "webp": webp, "wav": wav, "gif": gif, "flac": flac, "mp3": mp3, "ogg": ogg, "tiff": tiff, "mp4": mp4, "heic": heic, "avif": avif,
-    "docx": docx, "zip": other_document, "svg": svg,
+    "docx": docx, "zip": other_document, "svg": svg, "tiff_lost": tiff_lost, "linked": linked,
 }
 #: The types that can be cleaned, by number.
 TYPES = ("jpeg", "png", "webp", "wav", "gif", "flac", "mp3", "ogg", "tiff", "mp4", "heic")

@@ -221,7 +221,10 @@ def tiff(b: bytes, faults: list[str]) -> Iterator[Part]:
         try:
             fields, nxt = t.directory(at)
         except Damaged as e:
-            faults.append(str(e)) if k == 0 else faults.append(f"{e}")
+            if k == 0:
+                faults.append(str(e))
+            else:  # reading is content with the first directory, cleaning is not
+                yield Part("FAULT", at, 0, text=str(e), sub=True, told=False)
             return
         yield from fields_of("IFD", at, fields)
         at = nxt
