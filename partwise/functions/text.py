@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 
 
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that stands in the plan once and is told once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), 0)
+
+
 def local_name(name: Column) -> Column:
     """What follows the last colon."""
     return F.substring_index(name, ":", -1)
@@ -62,15 +69,20 @@ def decode_entities(text: Column) -> Column:
         return F.array_join(F.zip_with(between, found, lambda t, e: F.concat(t, F.when(e.isNull(), F.lit("")).otherwise(_entity(e)))), "")
 
     # Behind the last semicolon nothing is an entity.
-    return F.when(F.contains(text, F.lit("&")), F.concat(told(upto(text, ";")), F.substring_index(text, ";", -1))).otherwise(text)
+    whole = lambda t: F.when(F.contains(t, F.lit("&")), F.concat(bound(upto(t, ";"), told), F.substring_index(t, ";", -1))).otherwise(t)
+    return bound(text, whole)
 
 
 def decode_css(text: Column) -> Column:
     """CSS escapes decoded: a backslash and up to six hexadecimal digits with one blank, or a character that stands for itself."""
     escape = r"(?s)\\(?:([0-9a-fA-F]{1,6})[ \t\n\r\f]?|(.)|$)"
-    digits, other = (F.regexp_extract_all(text, F.lit(escape), F.lit(k)) for k in (1, 2))
-    plain = F.zip_with(digits, other, lambda d, o: F.when(d != "", character(F.conv(d, 16, 10).cast("long"))).otherwise(o))
-    return F.array_join(F.zip_with(F.split(text, escape), plain, lambda t, e: F.concat(t, F.coalesce(e, F.lit("")))), "")
+
+    def whole(t: Column) -> Column:
+        digits, other = (F.regexp_extract_all(t, F.lit(escape), F.lit(k)) for k in (1, 2))
+        plain = F.zip_with(digits, other, lambda d, o: F.when(d != "", character(F.conv(d, 16, 10).cast("long"))).otherwise(o))
+        return F.array_join(F.zip_with(F.split(t, escape), plain, lambda t, e: F.concat(t, F.coalesce(e, F.lit("")))), "")
+
+    return bound(text, whole)
 
 
 def base64_decode(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from partwise.functions.text import decode_entities, lowered, shortened, trimmed
+from partwise.functions.text import bound, decode_entities, lowered, shortened, trimmed
 from partwise.operators.xml import attribute_of, attributes, attributes_in, bare, count_tags, texts_of, values_of
 
 KINDS = ("docx", "xlsx", "pptx", "epub", "odt", "ods", "odp")
@@ -51,11 +51,6 @@ def members(parts: Column) -> Column:
     return F.filter(parts, lambda x: x["kind"] == "ENTRY")
 
 
-def _bound(value: Column, rows: Callable[[Column], Column]) -> Column:
-    """``rows`` of a value that is told once, however often it is used."""
-    return F.get(F.transform(F.array(value), lambda v: rows(v)), 0)
-
-
 def _member(parts: Column, name: str | Column) -> Column:
     return F.get(F.filter(members(parts), lambda x: x["text"] == name), 0)
 
@@ -78,7 +73,7 @@ def package_path(parts: Column) -> Column:
     """The package document that an EPUB's container names; null if there is none."""
     rootfile = r"""(?s)<(?:[^\s/>:]++:)*+rootfile(\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
     tags = F.regexp_extract_all(bare(_xml(_member(parts, "META-INF/container.xml"))), F.lit(rootfile), F.lit(1))
-    own = F.transform(tags, lambda t: _bound(attributes_in(t), lambda a: F.struct(F.coalesce(attribute_of(a, "media-type"), F.lit("")).alias("media"), attribute_of(a, "full-path").alias("path"))))
+    own = F.transform(tags, lambda t: bound(attributes_in(t), lambda a: F.struct(F.coalesce(attribute_of(a, "media-type"), F.lit("")).alias("media"), attribute_of(a, "full-path").alias("path"))))
     fits = F.filter(own, lambda t: t["media"].isin("", "application/oebps-package+xml"))
     paths = F.transform(fits, lambda t: F.ltrim(F.replace(trimmed(t["path"]), F.lit("\\"), F.lit("/")), F.lit("/")))
     return F.get(F.filter(paths, lambda p: F.array_contains(names(parts), p)), 0)
@@ -109,7 +104,7 @@ def removed_part(kind: str | Column, name: Column) -> Column:
 def _properties(parts: Column, name: str, label: str, tags: tuple[str, ...]) -> Column:
     def told(m: Column) -> Column:
         rows = lambda plain: _each(texts_of(plain, *tags), lambda x: one("Document properties", x["tag"], x["text"]))
-        return F.concat(F.array(one("Document properties", label, F.concat(m["n"].cast("string"), F.lit(" bytes")))), _bound(bare(_xml(m)), rows))
+        return F.concat(F.array(one("Document properties", label, F.concat(m["n"].cast("string"), F.lit(" bytes")))), bound(bare(_xml(m)), rows))
 
     return _of(parts, name, told)
 
@@ -141,7 +136,7 @@ def _authors(own: Column, attribute: str) -> Column:
 def docx_review(parts: Column) -> Column:
     edited = F.filter(members(parts), lambda m: F.rlike(m["text"], F.lit(EDITED)))
     comments = F.filter(members(parts), lambda m: F.rlike(lowered(m["text"]), F.lit(REMOVED["docx"])))
-    read = lambda m: _bound(bare(_xml(m)), lambda plain: F.struct(
+    read = lambda m: bound(bare(_xml(m)), lambda plain: F.struct(
         m["text"].alias("name"), count_tags(plain, "ins", "moveTo").alias("ins"), count_tags(plain, "del", "moveFrom").alias("del"), attributes(plain).alias("own")
     ))
 
@@ -154,10 +149,10 @@ def docx_review(parts: Column) -> Column:
         authors = _authors(F.transform(F.concat(both["edited"], both["comments"]), lambda x: x["own"]), "author")
         return F.concat(
             F.flatten(F.transform(both["edited"], told)), F.transform(both["comments"], lambda x: one("Review data", F.concat(F.lit("Comments in "), x["name"]), "Present; removed during DOCX cleaning")),
-            _bound(authors, lambda a: _when(a != "", one("Review data", "Review authors", a))),
+            bound(authors, lambda a: _when(a != "", one("Review data", "Review authors", a))),
         )
 
-    return _bound(F.struct(F.transform(edited, read).alias("edited"), F.transform(comments, read).alias("comments")), rows)
+    return bound(F.struct(F.transform(edited, read).alias("edited"), F.transform(comments, read).alias("comments")), rows)
 
 
 def _review_parts(parts: Column, kind: str) -> Column:
@@ -171,10 +166,10 @@ def _annotations(parts: Column, name: str) -> Column:
         n, authors = count_tags(plain, "annotation"), _authors(F.array(attributes(plain)), "creator")
         return F.concat(
             _when(F.coalesce(n > 0, F.lit(False)), one("Review data", f"Annotations in {name}", F.concat(n.cast("string"), F.lit(" present; removed during ODF cleaning")))),
-            _bound(authors, lambda a: _when(plain.isNotNull() & (a != ""), one("Review data", f"Review authors in {name}", a))),
+            bound(authors, lambda a: _when(plain.isNotNull() & (a != ""), one("Review data", f"Review authors in {name}", a))),
         )
 
-    return _of(parts, name, lambda m: _bound(bare(_xml(m)), told))
+    return _of(parts, name, lambda m: bound(bare(_xml(m)), told))
 
 
 def odf_entries(parts: Column) -> Column:
@@ -206,7 +201,7 @@ def epub_entries(parts: Column) -> Column:
         closed = F.regexp_extract(t, pattern, 3) == ""
         first = F.struct(F.regexp_extract(t, pattern, 1).alias("tag"), attributes_in(F.regexp_extract(t, pattern, 2)).alias("own"), F.when(closed, F.nullif(text, F.lit(""))).alias("text"))
         low = lambda x, k: lowered(trimmed(F.coalesce(attribute_of(x["own"], k), F.lit(""))))
-        return _bound(first, lambda x: F.struct(x["tag"].alias("tag"), x["own"].alias("own"), x["text"].alias("text"), low(x, "property").alias("property"), low(x, "name").alias("name")))
+        return bound(first, lambda x: F.struct(x["tag"].alias("tag"), x["own"].alias("own"), x["text"].alias("text"), low(x, "property").alias("property"), low(x, "name").alias("name")))
 
     rows = F.filter(F.transform(F.transform(found, read), row), lambda r: r.isNotNull())
     head = _when(F.size(rows) > 0, one("EPUB metadata", "Package metadata", F.concat(F.size(rows).cast("string"), F.lit(" removable entries in "), path)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from partwise.functions.text import decode_css, decode_entities, local_name, lowered, trimmed, upto
+from partwise.functions.text import bound, decode_css, decode_entities, local_name, lowered, trimmed, upto
 from partwise.operators.documents import empty, one
 from partwise.operators.xml import COMMENT, INSTRUCTION
 
@@ -53,27 +55,29 @@ def _bare(value: Column) -> Column:
     return F.regexp_replace(trimmed(value), "^[\"']+|[\"']+$", "")
 
 
+def _leaves(value: Column, remote: Callable[[Column], Column]) -> Column:
+    stays = lambda v: (v == "") | F.startswith(v, F.lit("#")) | F.startswith(v, F.lit("data:"))
+    return bound(_bare(value), lambda v: ~stays(v) & remote(v))
+
+
 def external_reference(value: Column) -> Column:
     """Whether an address leaves the document: anything but an empty text, a fragment or a data address."""
-    v = _bare(value)
-    stays = (v == "") | F.startswith(v, F.lit("#")) | F.startswith(v, F.lit("data:"))
-    return ~stays & (F.rlike(lowered(v), F.lit(_REMOTE)) | ~F.contains(v, F.lit(":")))
+    return _leaves(value, lambda v: F.rlike(lowered(v), F.lit(_REMOTE)) | ~F.contains(v, F.lit(":")))
 
 
 def remote_reference(value: Column) -> Column:
     """Whether an address is remote or active; a path inside the document is not."""
-    v = _bare(value)
-    stays = (v == "") | F.startswith(v, F.lit("#")) | F.startswith(v, F.lit("data:"))
-    return ~stays & F.rlike(lowered(v), F.lit(_REMOTE))
+    return _leaves(value, lambda v: F.rlike(lowered(v), F.lit(_REMOTE)))
 
 
 def data_address(value: Column) -> Column:
     return F.startswith(lowered(_bare(value)), F.lit("data:"))
 
 
-def _readings(value: Column) -> list[Column]:
-    """A value as it stands, with entities decoded, with CSS escapes decoded, and with both."""
-    return [value, decode_entities(value), decode_css(value), decode_css(decode_entities(value))]
+def _read_any(value: Column, holds: Callable[[Column], Column]) -> Column:
+    """Whether something holds of a value as it stands, with entities decoded, with CSS escapes decoded, or with both."""
+    xml = bound(value, lambda v: F.array(v, decode_entities(v)))
+    return F.exists(bound(xml, lambda x: F.concat(x, F.transform(x, lambda v: decode_css(v)))), lambda v: holds(v))
 
 
 def _any(columns: list[Column]) -> Column:
@@ -98,7 +102,7 @@ def css_reference(value: Column) -> Column:
     def plain(v: Column) -> Column:
         return F.exists(_urls(v), external_reference) | (_open_url(v) > 0) | F.contains(lowered(v), F.lit("@import"))
 
-    return _any([plain(v) for v in _readings(value)])
+    return _read_any(value, plain)
 
 
 def css_data(value: Column) -> Column:
@@ -108,7 +112,7 @@ def css_data(value: Column) -> Column:
         rest = F.substr(lowered(F.substring_index(v, ")", -1)), _open_url(v) + 4)
         return data_address(v) | F.exists(_urls(v), data_address) | ((_open_url(v) > 0) & F.contains(rest, F.lit("data:")))
 
-    return _any([plain(v) for v in _readings(value)])
+    return _read_any(value, plain)
 
 
 def attributes(parts: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,20 +61,3 @@ def zip_records(files: DataFrame, name: str = "output_name", data: str = "cleane
     large = F.when((F.col("data") > MOST_SIZE) | (F.col("directory") > MOST_SIZE), F.raise_error(F.lit("Batch is too large for ZIP download.")).cast("binary"))
     end = sums.select("shard", F.struct(F.lit(2).alias("k"), F.lit(0).alias("place")).alias("ord"), F.concat(F.coalesce(many, large, raw("504B0506")), raw("0000 0000"), little(F.col("n"), 2), little(F.col("n"), 2), little(F.col("directory"), 4), little(F.col("data"), 4), raw("0000")).alias("record"))
     return local.union(central).union(end)
-
-
-def write_archives(records: DataFrame, folder: str) -> None:
-    """One archive for each shard, written record by record to ``folder``/<shard>.zip, a folder that all executors mount."""
-
-    def write(rows: Iterator) -> None:  # noqa: ANN001
-        now, out = None, None
-        for r in rows:
-            if out is None or r["shard"] != now:
-                if out is not None:
-                    out.close()
-                now, out = r["shard"], open(f"{folder}/{r['shard']}.zip", "wb")  # noqa: SIM115
-            out.write(r["record"])
-        if out is not None:
-            out.close()
-
-    records.repartition("shard").sortWithinPartitions("shard", "ord").foreachPartition(write)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from partwise.functions.scalars import clean_name
 from partwise.operators.clean import clean
-from partwise.plans.process import analyze
+from partwise.plans.process import analyze, process
 
 
 def clean_stream(files: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -24,3 +24,28 @@ def clean_stream(files: DataFrame, out: str, checkpoint: str, once: bool = True)
     )
     writer = told.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def prove_stream(files: DataFrame, out: str, errors: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Clean each arriving file, read it again as proof, and store (path, length, name, output_name, file_type, cleaned, removed_bytes, remaining, status) in ``out``.
+
+    Files that fail, at the gate or later, go to ``errors`` (path, length, name,
+    file_type, error). Each batch owns the folder ``batch=<number>`` of both and
+    writes it anew: a batch that runs again after a loss replaces its rows, so
+    each file is told once.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        keyed = batch.select(F.struct("path", "length", "name", F.col("error").alias("gate")).alias("key"), "content")
+        done = process(keyed, "key").persist()
+        try:
+            error = F.coalesce("key.gate", "error")
+            failed = done.where(error.isNotNull()).select("key.path", "key.length", "key.name", F.when(F.col("key.gate").isNull(), F.col("file_type")).alias("file_type"), error.alias("error"))
+            sound = done.where(error.isNull()).select("key.path", "key.length", "key.name", clean_name(F.col("key.name")).alias("output_name"), "file_type", "cleaned", "removed_bytes", "remaining", "status")
+            sound.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            failed.write.mode("overwrite").parquet(f"{errors}/batch={number}")
+        finally:
+            done.unpersist()
+
+    writer = files.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

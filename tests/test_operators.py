@@ -19,7 +19,8 @@ from partwise.operators.entries import entries
 from partwise.operators.walk import LEGACY, parts_of, walk
 from partwise.plans.process import analyze, process, report, version
 from partwise.sources import fixtures
-from partwise.sources.files import read_files, stream_files, write_archives, zip_records
+from partwise.sources.files import read_files, stream_files, zip_records
+from partwise.sources.sink import write_archives
 from partwise.streaming.process import clean_stream
 from partwise.walkers import WALKERS
 from partwise.walkers.audio import page_crc
