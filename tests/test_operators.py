@@ -23,7 +23,7 @@ from partwise.sources.files import read_files, stream_files, zip_records
 from partwise.sources.sink import write_archives
 from partwise.streaming.process import clean_stream
 from partwise.walkers import WALKERS
-from partwise.walkers.audio import page_crc
+from partwise.walkers.audio import page_crc, tails
 
 
 def one(spark, file_type, content):
@@ -97,6 +97,15 @@ def test_jpeg_keeps_its_orientation_and_tells_it_no_more(spark):
     assert b"Exif" not in cleaned(spark, "jpeg", fixtures.jpeg(8, "text"))
 
 
+def test_tag_that_holds_the_letters_of_another():
+    """128 bytes from the end of an APEv2 tag of 131 bytes stands TAG, of APETAGEX."""
+    for text in (b"x" * 67, b"x" * 29 + b"TAG" + b"x" * 93):
+        for behind in (b"", fixtures.id3v1(b"old")):
+            for ahead in (b"", fixtures.lyrics(b"la")):
+                found = tails(b"\xff\xfb\x90\x64sound" + ahead + fixtures.ape(text) + behind)
+                assert [(p.kind, p.size) for p in found] == [("TAIL:ID3v1", 128)] * bool(behind) + [("TAIL:APEv2", 64 + len(text))] + [("TAIL:Lyrics3", 28)] * bool(ahead)
+
+
 def test_flac_behind_a_tag_and_before_tails(spark):
     body = fixtures.id3((b"TPE1", b"\0me")) + b"fLaC\x80\0\0\x22" + bytes(34) + b"\xff\xf8sound" + fixtures.lyrics(b"la") + fixtures.ape(b"x") + fixtures.id3v1(b"old")
     assert [n for _, n, _ in told(spark, "flac", body)] == ["ID3v2 tag prepended to FLAC", "Artist", "ID3v1 tag", "Title", "Artist", "Year", "APEv2 tag", "Lyrics3 tag"]
