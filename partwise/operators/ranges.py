@@ -21,37 +21,30 @@ def union(ranges: DataFrame, key: str = "path") -> DataFrame:
     return island.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
-def gaps(merged: DataFrame, whole: DataFrame, key: str = "path") -> DataFrame:
-    """(key, start, end) of what disjoint ranges leave of ``whole`` (key, start, end), a range for each file."""
-    cuts = merged.select(key, "start", "end")
-    # An empty range at the end of each file closes its last gap.
-    ends = whole.select(key, F.col("end").alias("start"), "end")
-    before = F.lag("end").over(Window.partitionBy(key).orderBy("start", "end"))
-    rows = cuts.union(ends).select(key, before.alias("before"), F.col("start").alias("stop"))
-    first = whole.select(key, F.col("start").alias("first"))
-    out = rows.join(first, key).select(key, F.greatest("first", F.coalesce("before", "first")).alias("start"), F.col("stop").alias("end"))
-    return out.where("end > start")
-
-
 def cut_out(content: Column, pieces: Column) -> Column:
     """The bytes of disjoint, sorted ``pieces`` (start, end), joined by one pass: as hexadecimal digits, as arrays of bytes have no join."""
     one = lambda p: F.hex(F.substr(content, (p["start"] + 1).cast("int"), (p["end"] - p["start"]).cast("int")))
     return F.unhex(F.array_join(F.transform(pieces, one), ""))
 
 
+def _between(content: Column, cuts: Column) -> Column:
+    """The pieces (start, end) of a content that disjoint, sorted ``cuts`` leave."""
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(cuts, lambda c: c["end"]))
+    ends = F.concat(F.transform(cuts, lambda c: F.least(c["start"], F.octet_length(content).cast("long"))), F.array(F.octet_length(content).cast("long")))
+    pieces = F.zip_with(starts, ends, lambda s, e: F.struct(F.greatest(s, F.lit(0)).alias("start"), e.alias("end")))
+    return F.filter(pieces, lambda p: p["end"] > p["start"])
+
+
 def kept(files: DataFrame, ranges: DataFrame, key: str = "path") -> DataFrame:
     """(key, kept, n_ranges, removed_bytes): the ``content`` of each file outside its ``ranges``, which may overlap.
 
-    Only ranges are shuffled and sorted; files meet their gaps in one join. A
+    Ranges are shuffled and sorted once; files meet their cuts in one join. A
     file without ranges stays whole; null content is an empty file.
     """
     held = files.select(key, F.coalesce("content", F.lit(b"")).alias("content"))
-    merged = union(ranges, key)
-    whole = held.select(key, F.lit(0).cast("long").alias("start"), F.octet_length("content").cast("long").alias("end"))
-    left = gaps(merged, whole, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("pieces"))
-    n = merged.groupBy(key).agg(F.count("*").alias("n_ranges"))
-    rows = held.join(left, key, "left").join(n, key, "left")
-    out = F.coalesce(cut_out(F.col("content"), F.col("pieces")), F.lit(b""))
-    return rows.select(key, out.alias("kept"), F.coalesce("n_ranges", F.lit(0)).alias("n_ranges"), "content").select(
+    cuts = union(ranges, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    rows = held.join(cuts, key, "left").select(key, "content", F.coalesce("cuts", F.array().cast("array<struct<start:long,end:long>>")).alias("cuts"))
+    out = cut_out(F.col("content"), _between(F.col("content"), F.col("cuts")))
+    return rows.select(key, out.alias("kept"), F.size("cuts").cast("long").alias("n_ranges"), "content").select(
         key, "kept", "n_ranges", (F.octet_length("content") - F.octet_length("kept")).cast("long").alias("removed_bytes")
     )

@@ -25,3 +25,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ranges_are_cut_with_one_walk(spark):
+    """Files are built twice and walked once: contents and ranges meet in one join."""
+    plan = QUERIES["q_svg_kept"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 3
