@@ -6,6 +6,7 @@ import io
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,7 @@ from partwise.functions.detect import detect_file_type
 from partwise.operators import review
 from partwise.operators.clean import clean
 from partwise.operators.entries import entries
-from partwise.operators.walk import LEGACY, parts_of, walk
+from partwise.operators.walk import BATCH, LEGACY, parts_of, walk
 from partwise.plans.process import analyze, process, report, version
 from partwise.sources import fixtures
 from partwise.sources.files import read_files, stream_files, zip_records
@@ -97,6 +98,18 @@ def test_jpeg_keeps_its_orientation_and_tells_it_no_more(spark):
     assert b"Exif" not in cleaned(spark, "jpeg", fixtures.jpeg(8, "text"))
 
 
+def test_workers_get_few_bytes_at_a_time(spark):
+    """Batches follow bytes, not rows: the files of many rows would fill a worker."""
+    docs = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("repeat('text ', 8000)").alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    got = walk(fixtures.files(docs, "png"), "doc_id", content=True).mapInArrow(sizes, "n long").collect()
+    assert len(got) > 4 and max(r["n"] for r in got) < 2 * BATCH
+
+
 def test_tag_that_holds_the_letters_of_another():
     """128 bytes from the end of an APEv2 tag of 131 bytes stands TAG, of APETAGEX."""
     for text in (b"x" * 67, b"x" * 29 + b"TAG" + b"x" * 93):
