@@ -31,3 +31,15 @@ def test_ranges_are_cut_with_one_walk(spark):
     """Files are built twice and walked once: contents and ranges meet in one join."""
     plan = QUERIES["q_svg_kept"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 3
+
+
+def test_every_document_has_data_addresses(spark):
+    """Of q_svg_data_uris no half of the documents is left out: two rows for each."""
+    got = QUERIES["q_svg_data_uris"](spark, SF).groupBy("doc_id").count().collect()
+    assert len(got) == 200 and {r["count"] for r in got} == {2}
+
+
+def test_packaged_files_are_read_once(spark):
+    """Files are built and walked for their own entries, for packaged images and for data addresses, and no image twice."""
+    plan = QUERIES["q_extract_all"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 12
