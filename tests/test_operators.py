@@ -119,6 +119,13 @@ def test_tag_that_holds_the_letters_of_another():
                 assert [(p.kind, p.size) for p in found] == [("TAIL:ID3v1", 128)] * bool(behind) + [("TAIL:APEv2", 64 + len(text))] + [("TAIL:Lyrics3", 28)] * bool(ahead)
 
 
+def test_cleaning_takes_a_whole_tag_of_131_bytes(spark):
+    """Of q_clean, q_process and q_bytes_by_type: what an APEv2 tag of that size leaves is no ID3v1 tag."""
+    t = "x" * 67
+    assert cleaned(spark, "mp3", fixtures.mp3(6, t)) == b"\xff\xfb\x90\x64" + t.encode()
+    assert cleaned(spark, "flac", fixtures.flac(10, t)).endswith(b"\xff\xf8" + t.encode())
+
+
 def test_flac_behind_a_tag_and_before_tails(spark):
     body = fixtures.id3((b"TPE1", b"\0me")) + b"fLaC\x80\0\0\x22" + bytes(34) + b"\xff\xf8sound" + fixtures.lyrics(b"la") + fixtures.ape(b"x") + fixtures.id3v1(b"old")
     assert [n for _, n, _ in told(spark, "flac", body)] == ["ID3v2 tag prepended to FLAC", "Artist", "ID3v1 tag", "Title", "Artist", "Year", "APEv2 tag", "Lyrics3 tag"]
