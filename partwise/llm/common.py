@@ -110,10 +110,16 @@ def digest_unit(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-#: Bytes of Arrow data that a Python worker turns into tuples at a time.
+#: Bytes of Arrow data that Spark hands a Python worker at once (or one row), and that the worker turns into tuples at a time.
 SLICE = 8 << 20
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands Python workers SLICE bytes at a time from here on: by its own measure, 10,000 rows or 64 MB, JVM and worker hold several times as much."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE))
+    return df
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about SLICE bytes: Arrow counts rows, and texts may be long."""
     for b in batches:
@@ -135,7 +141,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[list[tuple]]]
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def texts(docs: DataFrame) -> DataFrame:

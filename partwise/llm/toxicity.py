@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partwise.llm.common import map_batches, texts
+from partwise.llm.common import bounded, map_batches, texts
 
 #: Fixed word lists of the grammar.
 THREATS = frozenset("kill hurt beat destroy shoot stab burn punish crush töten schlagen tuer frapper matar golpear".split())
@@ -302,4 +302,4 @@ def reject(docs: DataFrame, grammar: Grammar) -> DataFrame:
         for text in batches:
             yield text.map(lambda t: scorer.probability(None if pd.isna(t) else t)).astype("float64")
 
-    return docs.where(probability(F.col("text")) < 0.5)
+    return bounded(docs).where(probability(F.col("text")) < 0.5)

@@ -379,3 +379,11 @@ def test_long_texts_are_read_whole(spark):
     assert kept[1] == b"" and kept[2] == b"x"[:0] + kept[2][-2:] and len(kept[2]) <= 2
     assert {x["payload_sha256"] for x in media.media_digests(docs).collect()} == {hashlib.sha256(t.encode() + bytes(-len(t.encode()) % 64 or 0)).hexdigest() for t in (text, text + " x")}
     assert toxicity.toxicity(docs, toxicity.Grammar()).count() == 2 and mixing.mix(docs).count() == 2
+
+
+def test_tasks_hold_few_megabytes_at_a_time(spark, docs):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    toxicity.reject(docs, toxicity.Grammar())
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+    groups = [[len(t) for _, t in g] for g in bpe._gathered(iter([[(i, "x" * 1_000_000) for i in range(12)]]))]
+    assert max(map(sum, groups)) <= 6_000_000 and sum(map(sum, groups)) == 12_000_000
