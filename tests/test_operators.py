@@ -126,6 +126,16 @@ def test_cleaning_takes_a_whole_tag_of_131_bytes(spark):
     assert cleaned(spark, "flac", fixtures.flac(10, t)).endswith(b"\xff\xf8" + t.encode())
 
 
+def test_tags_behind_the_sound_begin_behind_what_leads_it(spark):
+    """TAG in a comment 128 bytes from the end of a FLAC file, or in the tag before an MP3's sound, is no ID3v1 tag."""
+    t = "x" * 9 + "TAG" + "x" * 6
+    body = fixtures.flac(1, t)
+    song = fixtures.id3((b"TIT2", b"\3TAG" + b"y" * 112)) + b"\xff\xfb\x90"
+    assert body[-128:-125] == song[-128:-125] == b"TAG"
+    assert cleaned(spark, "flac", body).endswith(b"\xff\xf8" + t.encode())
+    assert cleaned(spark, "mp3", song) == b"\xff\xfb\x90"
+
+
 def test_flac_behind_a_tag_and_before_tails(spark):
     body = fixtures.id3((b"TPE1", b"\0me")) + b"fLaC\x80\0\0\x22" + bytes(34) + b"\xff\xf8sound" + fixtures.lyrics(b"la") + fixtures.ape(b"x") + fixtures.id3v1(b"old")
     assert [n for _, n, _ in told(spark, "flac", body)] == ["ID3v2 tag prepended to FLAC", "Artist", "ID3v1 tag", "Title", "Artist", "Year", "APEv2 tag", "Lyrics3 tag"]
