@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from partwise.functions.detect import detect_file_type
 from partwise.functions.scalars import clean_name, friendly_error
+from partwise.functions.text import bound
 from partwise.operators.clean import JOIN, clean
 from partwise.operators.entries import entry_rows
 from partwise.operators.nested import all_entries
@@ -36,29 +37,34 @@ def analyzed_entries(files: DataFrame, key: str = "path", types: Iterable[str] |
 
 def type_stable(cleaned: DataFrame, key: str = "path") -> DataFrame:
     """``cleaned`` (see ``clean`` with ``again``) with ``error`` set where the cleaned bytes are of another type or break their format's rules."""
-    seen = detect_file_type(F.col("cleaned"))
-    changed = F.when(seen != F.col("file_type"), F.concat(F.lit("Cleaned file type changed from "), "file_type", F.lit(" to "), seen))
+    seen = bound(F.col("cleaned"), detect_file_type)
+    changed = bound(seen, lambda t: F.when(t != F.col("file_type"), F.concat(F.lit("Cleaned file type changed from "), "file_type", F.lit(" to "), t)))
     broken = F.when(F.col("again_error").isNotNull(), F.concat(F.lit("Cleaned file failed validation: "), "again_error"))
     return cleaned.withColumn("error", F.coalesce("error", F.when(F.col("cleaned").isNotNull(), F.coalesce(changed, broken))))
 
 
+def remove_metadata(files: DataFrame, key: str = "path", types: Iterable[str] | None = None) -> DataFrame:
+    """(key, file_type, error, cleaned, removed_bytes, parts) from (key, content): detected, checked, cleaned, and detected and read again as proof.
+
+    A damaged file, and one whose cleaned bytes change type or no longer read,
+    has an error and no cleaned bytes. ``parts`` are those of the cleaned bytes.
+    Two passes over the bytes, and nothing is shuffled. ``types`` are the file
+    types that can occur, all if not given: fewer plan faster.
+    """
+    proved = type_stable(clean(analyze(files, key, content=True), key, again=True, types=types), key)
+    sound = F.col("error").isNull()
+    return proved.select(key, "file_type", "error", *[F.when(sound, F.col(c)).alias(c) for c in ("cleaned", "removed_bytes")], "parts")
+
+
 def process(files: DataFrame, key: str = "path", types: Iterable[str] | None = None) -> DataFrame:
-    """(key, file_type, error, cleaned, removed_bytes, remaining, status): cleaned files, each read again as proof.
+    """(key, file_type, error, cleaned, removed_bytes, remaining, status): ``remove_metadata``, and what is left told.
 
-    ``remaining`` counts the entries that the cleaned bytes still hold; a
-    cleaned file whose type changes or that no longer reads has an error. Two
-    passes over the bytes, and nothing is shuffled. ``types`` are the file types
-    that can occur, all if not given: fewer plan faster.
+    ``remaining`` counts the entries that the cleaned bytes still hold.
     """
     types = [t for t in JOIN if types is None or t in set(types)]
-    proved = type_stable(clean(analyze(files, key, content=True), key, again=True, types=types), key)
-    failed = F.col("error").isNotNull()
-    left = F.when(failed, F.lit(0)).otherwise(F.size(entry_rows(types))).cast("long")
-    out = proved.withColumn("remaining", left)
-    return out.select(
-        key, "file_type", "error", F.when(~failed, F.col("cleaned")).alias("cleaned"), F.when(~failed, F.col("removed_bytes")).alias("removed_bytes"),
-        "remaining", status(F.col("error"), F.col("remaining")).alias("status"),
-    )
+    left = F.when(F.col("error").isNotNull(), F.lit(0)).otherwise(F.size(entry_rows(types))).cast("long")
+    out = remove_metadata(files, key, types).withColumn("remaining", left)
+    return out.select(key, "file_type", "error", "cleaned", "removed_bytes", "remaining", status(F.col("error"), F.col("remaining")).alias("status"))
 
 
 def report(processed: DataFrame, name: str = "name") -> DataFrame:

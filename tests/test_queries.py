@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from partwise.plans import queries
+from partwise.plans.process import remove_metadata
 from partwise.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +45,17 @@ def test_packaged_files_are_read_once(spark):
     """Files are built and walked for their own entries, for packaged images and for data addresses, and no image twice."""
     plan = QUERIES["q_extract_all"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") <= 12
+
+
+def test_cleaned_files_are_proved(spark, monkeypatch):
+    """Of q_clean: types come from the bytes, and a TIFF whose text lies over its header loses its type or its directory with it."""
+    tiff = lambda at, n: b"II*\0\x08\0\0\0\1\0\x0e\1\2\0" + bytes([n, 0, 0, 0, at]) + bytes(7)
+    rows = [(0, "tiff", tiff(0, 8)), (1, "tiff", tiff(4, 5)), (2, "tiff", tiff(0, 1)), (3, "png", b"\xff\xd8\xff\xfe\0\4hi\xff\xd9"), (4, "tiff", b"II*\0")]
+    files = spark.createDataFrame(rows, "doc_id long, file_type string, content binary")
+    monkeypatch.setattr(queries, "_files", lambda *_: files)
+    got = QUERIES["q_clean"](spark, SF).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(0, "tiff", None, None), (1, "tiff", None, None), (2, "tiff", 26, 0), (3, "jpeg", 4, 6), (4, "tiff", None, None)]
+    errors = {r["doc_id"]: r["error"] for r in remove_metadata(files.select("doc_id", "content"), "doc_id").collect()}
+    assert errors == {
+        0: "Cleaned file type changed from tiff to unknown", 1: "Cleaned file failed validation: TIFF IFD contains too many entries", 2: None, 3: None, 4: "File too small",
+    }
